@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, packing
+from . import exact_dedup, importance, language_id, mixing, packing, pii
 
 QUERIES = {
     "op4_source_mixing": mixing.op4_source_mixing,
     "op5_pattern_packing": packing.op5_pattern_packing,
+    "op6_importance_resampling": importance.op6_importance_resampling,
+    "op7_language_id": language_id.op7_language_id,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
+    "op9_pii": pii.op9_pii,
 }
 
 SQL = {
