@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, importance, language_id, mixing, packing, pii
+from . import exact_dedup, importance, language_id, mixing, packing, pii, spotsigs
 
 QUERIES = {
+    "op3_spotsigs": spotsigs.op3_spotsigs,
     "op4_source_mixing": mixing.op4_source_mixing,
     "op5_pattern_packing": packing.op5_pattern_packing,
     "op6_importance_resampling": importance.op6_importance_resampling,
