@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, importance, language_id, mixing, packing, pii, spotsigs
+from . import exact_dedup, importance, language_id, mixing, ngram_join, packing, pii, spotsigs
 
 QUERIES = {
     "op3_spotsigs": spotsigs.op3_spotsigs,
@@ -12,8 +12,10 @@ QUERIES = {
     "op7_language_id": language_id.op7_language_id,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_pii": pii.op9_pii,
+    "op10_ngram_jaccard_join": ngram_join.op10_ngram_jaccard_join,
 }
 
 SQL = {
     "op8_exact_dedup": exact_dedup.SQL,
+    "op10_ngram_jaccard_join": ngram_join.SQL,
 }
