@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, importance, language_id, mixing, ngram_join, packing, pii, spotsigs
+from . import exact_dedup, importance, language_id, line_dedup, mixing, ngram_join, packing, pii, spotsigs
 
 QUERIES = {
+    "op1_line_dedup": line_dedup.op1_line_dedup,
     "op3_spotsigs": spotsigs.op3_spotsigs,
     "op4_source_mixing": mixing.op4_source_mixing,
     "op5_pattern_packing": packing.op5_pattern_packing,
