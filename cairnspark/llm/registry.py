@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, importance, language_id, line_dedup, mixing, ngram_join, packing, pii, spotsigs
+from . import exact_dedup, importance, language_id, line_dedup, lm_score, mixing, ngram_join, packing, pii, spotsigs
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
+    "op2_lm_score": lm_score.op2_lm_score,
     "op3_spotsigs": spotsigs.op3_spotsigs,
     "op4_source_mixing": mixing.op4_source_mixing,
     "op5_pattern_packing": packing.op5_pattern_packing,
