@@ -60,3 +60,8 @@ def blocks(members: DataFrame, component: str = "component", node: str = "sid")
 def with_ids(docs: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
     """``docs`` joined with ``wanted`` by ``key``: by broadcast if ``wanted`` has few rows, else by shuffle."""
     return docs.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted, key)
+
+
+def without_ids(docs: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    """``docs`` without those whose ``key`` is in ``gone``: by broadcast if ``gone`` has few rows, else by shuffle."""
+    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, key, "left_anti")

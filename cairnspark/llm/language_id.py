@@ -237,6 +237,27 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lambda it: predicted(it, shared), RESULT)
 
 
+def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
+    """``docs`` without the documents that :func:`predict` rejects; all columns are carried."""
+    shared, text = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def pairs(held: list) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                held.append(batch)
+                yield pa.record_batch([pa.nulls(len(batch), pa.int64()), batch.column(text)], names=["doc_id", "text"])
+
+        held: list[pa.RecordBatch] = []
+        marks: list[np.ndarray] = []
+        for out in predicted(pairs(held), shared):
+            marks.append(~np.asarray(out.column(4)))
+            if sum(map(len, marks)) == len(held[0]):
+                yield held.pop(0).filter(pa.array(np.concatenate(marks)))
+                marks.clear()
+
+    return docs.mapInArrow(kept, docs.schema)
+
+
 def op7_language_id(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = predict(docs, fit(docs, crc_mod("doc_id", 3) != 1))

@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -47,10 +47,14 @@ def measured(docs: DataFrame, id_column: str = "doc_id", source_column: str = "s
     return docs.select(F.col(id_column).alias("doc_id"), F.col(source_column).cast("string").alias("source"), words.alias("size"))
 
 
+def key_of(seed: int, doc_id: str = "doc_id", size: str = "size") -> Column:
+    return F.xxhash64(F.lit(seed), F.col(doc_id), F.col(size))
+
+
 def plan(docs: DataFrame, seed: int = 17, **columns: str) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken: what the mix takes of each document, in words, repeats counted."""
+    """doc_id, source, size, key, source_size, target, epochs, part and taken: what the mix takes of each document, in words, repeats counted: ``epochs`` times all, and ``part``."""
     spark = docs.sparkSession
-    rows = materialise(measured(docs, **columns).withColumn("key", F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("size"))))
+    rows = materialise(measured(docs, **columns).withColumn("key", key_of(seed)))
     per_source = rows.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()
     n = sum(r.n for r in per_source)
     sizes = {r.source: int(r["size"]) for r in per_source}
@@ -69,22 +73,32 @@ def plan(docs: DataFrame, seed: int = 17, **columns: str) -> DataFrame:
     within = Window.partitionBy(*group, "range").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     before = rows.withColumn("inner", F.coalesce(F.sum("size").over(within), F.lit(0))).join(totals, [*group, "range"]).join(cut, group)
     part = F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), F.col("rest") - F.col("base") - F.col("inner")))
-    return before.select("doc_id", F.when(F.col("has"), F.col("source")).alias("source"), "size", "source_size", "target", (F.col("epochs") * F.col("size") + part).alias("taken"))
+    out = before.select("doc_id", F.when(F.col("has"), F.col("source")).alias("source"), "size", "key", "source_size", "target", "epochs", part.alias("part"))
+    return out.withColumn("taken", F.col("epochs") * F.col("size") + F.col("part"))
 
 
 def mix(docs: DataFrame, seed: int = 17) -> DataFrame:
     """The mixed documents, with the columns of ``docs``: one row for every whole copy taken, and one with the first words where a cut runs through the document.
 
-    ``docs`` needs doc_id, text and source; rows with equal doc_id and size are taken alike.  Other columns are carried; n_chars, where present, follows the text.
+    ``docs`` needs doc_id, text and source; other columns are carried, and n_chars, where present, follows the text.  The
+    plan comes down to a row per source: the key up to which documents are taken whole, and the document with the cut.  So
+    texts neither shuffle nor join with anything larger; rows of equal doc_id and size are taken alike.
     """
-    marked = docs.withColumn("_size", F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD)).cast("long"))
-    taken = plan(docs, seed).where("taken > 0").groupBy("doc_id", "size").agg(F.max("taken").alias("_taken")).select(F.col("doc_id").alias("_id"), F.col("size").alias("_words"), "_taken")
-    copies = F.concat(F.array_repeat(F.lit(None).cast("long"), (F.col("_taken") / F.col("_size")).cast("int")), F.when(F.col("_taken") % F.col("_size") > 0, F.array(F.col("_taken") % F.col("_size"))).otherwise(F.array().cast("array<bigint>")))
-    joined = marked.join(taken, marked["doc_id"].eqNullSafe(taken["_id"]) & (marked["_size"] == taken["_words"]))
+    planned = plan(docs, seed)
+    whole = F.max(F.when((F.col("part") == F.col("size")) & (F.col("size") > 0), F.col("key")))
+    cut = F.max(F.when((F.col("part") > 0) & (F.col("part") < F.col("size")), F.struct("key", "part")))
+    ends = planned.groupBy("source").agg(F.max("epochs").alias("_epochs"), whole.alias("_whole"), cut.alias("_cut_at")).withColumnRenamed("source", "_source")
+    ends = F.broadcast(materialise(ends))  # one row per source
+    words = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD)).cast("long")
+    rows = docs.withColumn("_size", words).withColumn("_key", F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("_size")))
+    rows = rows.join(ends, rows["source"].cast("string").eqNullSafe(ends["_source"]))
+    again = (F.col("_key") <= F.col("_whole")) & (F.col("_size") > 0)
+    times = F.when(F.col("_size") > 0, F.col("_epochs") + F.coalesce(again, F.lit(False)).cast("int")).otherwise(0).cast("int")
+    last = F.when(F.col("_key") == F.col("_cut_at.key"), F.array(F.col("_cut_at.part"))).otherwise(F.array().cast("array<bigint>"))
+    rows = rows.withColumn("_cut", F.explode(F.concat(F.array_repeat(F.lit(None).cast("long"), times), last)))
     # the first words and the blanks before each
     head = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), 1, F.col("_cut").cast("int")), "")
-    text = F.when(F.col("_cut").isNull(), F.col("text")).otherwise(head)
-    out = joined.withColumn("_cut", F.explode(copies)).withColumn("text", text)
+    out = rows.withColumn("text", F.when(F.col("_cut").isNull(), F.col("text")).otherwise(head))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast("long"))
     return out.select(*docs.columns)

@@ -29,7 +29,7 @@ from cairnspark.operators.components import connected_components
 
 from . import rarity
 from .common import hash_words, join_groups, materialise, mix, slices, strings, table, words_of
-from .groups import Overlaps, blocks, similar, with_ids
+from .groups import Overlaps, blocks, similar, with_ids, without_ids
 
 WORDS, SUBCLASS, SMALL = 5, 16, 16
 ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -206,8 +206,8 @@ def components(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """One document of each component stays: the one with the smallest id.  Documents with an empty set all stay; ids must be unique and not null."""
-    dropped = components(docs).where("doc_id <> component_id").select("doc_id")
-    return docs.join(dropped, "doc_id", "left_anti")
+    dropped = materialise(components(docs).where("doc_id <> component_id").select("doc_id"))
+    return without_ids(docs, dropped, "doc_id")
 
 
 def op10_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
