@@ -17,9 +17,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     the shared folder.  Loops and repeated edges do no harm; ids must not be null.
     """
     a, b = F.col(src), F.col(dst)
-    edges = edges.where(a.isNotNull() & b.isNotNull())
-    loops = edges.where(a == b).select(a.alias("id"))
-    pairs = materialise(edges.where(a != b).select(F.greatest(a, b).alias("x"), F.least(a, b).alias("r")).distinct())
+    every = materialise(edges.where(a.isNotNull() & b.isNotNull()).select(F.greatest(a, b).alias("x"), F.least(a, b).alias("r")).distinct())
+    loops, pairs = every.where("x = r").select(F.col("x").alias("id")), every.where("x <> r")
     while True:
         least = materialise(pairs.groupBy("x").agg(F.min("r").alias("m")))
         hooks = pairs.join(least, "x").where("r <> m").select(F.col("r").alias("x"), F.col("m").alias("r"), F.lit(True).alias("changed"))
