@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import crc_mod, hash_words, materialise, slices, strings, table, words_of
 from .elias_fano import LEVELS, Trie, quantised
 
-CHUNK, VOCABULARY, MOST_NGRAMS, DISCOUNT = 16 << 20, 8190, 1 << 23, 0.75
+CHUNK, VOCABULARY, MOST_NGRAMS, DISCOUNT = 8 << 20, 8190, 1 << 23, 0.75
 BITS = 13
 OTHER, END = VOCABULARY, VOCABULARY + 1
 END_HASH = np.int64(0x7EDC0FFEE0DDF00D)
@@ -276,7 +276,8 @@ def split_points(chunks: DataFrame, unigrams, n_entries: int) -> list[np.ndarray
                 keys = grams(unigrams.value.ids_of(numbers(words, "<i8"))[numbers(tokens, "<u4")], numbers(lengths, "<i8"))
                 yield rows([(blob(np.unique(keys & ((1 << BITS * o) - 1))[::64], "<i8"),) for o in (2, 3)], (pa.binary(),), ["keys"])
 
-    found = chunks.orderBy(F.xxhash64("chunk")).limit(4).select("lengths", "tokens", "words").mapInArrow(sampled, "keys binary").collect()
+    few = [r.chunk for r in chunks.select("chunk").orderBy(F.xxhash64("chunk")).limit(8).collect()]
+    found = chunks.where(F.col("chunk").isin(few)).select("lengths", "tokens", "words").mapInArrow(sampled, "keys binary").collect()
     cuts = []
     for order in (2, 3):
         keys = np.sort(np.concatenate([np.frombuffer(r["keys"], "<i8") for r in found[order - 2 :: 2]]))
