@@ -5,7 +5,6 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,21 +59,36 @@ def words_of(texts: pa.Array) -> tuple[np.ndarray, pa.DictionaryArray]:
     flat, ends = parts.flatten(), np.asarray(parts.offsets, dtype=np.int64)
     ends = ends - ends[0]
     filled = np.asarray(pc.binary_length(flat)) > 0
-    before = np.concatenate(([0], np.cumsum(filled)))
-    flat = flat.filter(pa.array(filled))
-    return before[ends], flat.dictionary_encode() if len(flat) else pa.array([], pa.large_string()).dictionary_encode()
-
-
-def hash_words(words: pa.Array) -> np.ndarray:
-    """64-bit hashes, the same on every machine."""
-    digest = xxhash.xxh3_64_intdigest
-    return np.fromiter(map(digest, words.cast(pa.large_binary()).to_pylist()), dtype=np.uint64, count=len(words))
+    if not filled.all():
+        ends = np.concatenate(([0], np.cumsum(filled)))[ends]
+        flat = flat.filter(pa.array(filled))
+    return ends, flat.dictionary_encode() if len(flat) else pa.array([], pa.large_string()).dictionary_encode()
 
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit integers that spreads every bit."""
     x = x ^ (x >> np.uint64(30))
-    x = x * np.uint64(0xBF58476D1CE4E5B9)
-    x = x ^ (x >> np.uint64(27))
-    x = x * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x
+
+
+def hash_words(words: pa.Array) -> np.ndarray:
+    """64-bit hashes of distinct words, the same on every machine: sums of a mixed value for each byte at its place."""
+    n = len(words)
+    if not n:
+        return np.zeros(0, np.uint64)
+    raw = words.cast(pa.large_binary())
+    ends = np.frombuffer(raw.buffers()[1], dtype=np.int64)[raw.offset : raw.offset + n + 1]
+    data = np.frombuffer(raw.buffers()[2] or b"", dtype=np.uint8)[ends[0] : ends[-1]]
+    ends = ends - ends[0]
+    lengths = np.diff(ends)
+    place = np.arange(len(data)) - np.repeat(ends[:-1], lengths)
+    value = mix((place.astype(np.uint64) << np.uint64(8)) + data + np.uint64(0x9E3779B97F4A7C15))
+    sums = np.zeros(n, dtype=np.uint64)
+    filled = np.flatnonzero(lengths)
+    if len(filled):
+        sums[filled] = np.add.reduceat(value, ends[:-1][filled])
+    return mix(sums + lengths.astype(np.uint64))
