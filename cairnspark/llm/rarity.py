@@ -34,28 +34,33 @@ class Counter:
         self.cells += np.bincount(cell_of(tokens), minlength=CELLS)
 
     def value(self) -> bytes:
-        return self.cells.astype("<i8").tobytes()
+        return packed(self.cells)
+
+
+def packed(cells: np.ndarray) -> bytes:
+    return np.minimum(cells, np.iinfo(np.uint32).max).astype("<u4").tobytes()
 
 
 def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(CELLS, dtype=np.int64)
     for batch in batches:
         for value in batch.column(0):
-            total += np.frombuffer(value.as_buffer(), dtype="<i8")
-    yield pa.record_batch([pa.array([total.tobytes()], pa.binary())], names=["cells"])
+            total += np.frombuffer(value.as_buffer(), dtype="<u4")
+    yield pa.record_batch([pa.array([packed(total)], pa.binary())], names=["cells"])
+
+
+FAN_IN = 16
 
 
 def total(rows: DataFrame) -> np.ndarray:
-    """The sum of a binary column ``cells`` of one row per task, added up in two levels of tasks; the driver gets 8 rows of 8 MiB."""
-    for tasks in (64, 8):
-        if rows.rdd.getNumPartitions() > tasks:
-            rows = rows.coalesce(tasks)
-            rows = rows.mapInArrow(summed, "cells binary")
-            if tasks > 8:
-                rows = materialise(rows)
+    """The sum of a binary column ``cells`` of one row per task, added up by a tree of tasks; the driver gets one row of 4 MiB."""
+    parts = rows.rdd.getNumPartitions()
+    while parts > 1:
+        parts = -(-parts // FAN_IN)
+        rows = materialise(rows.coalesce(parts).mapInArrow(summed, "cells binary"))
     out = np.zeros(CELLS, dtype=np.int64)
     for row in rows.collect():
-        out += np.frombuffer(row.cells, dtype="<i8")
+        out += np.frombuffer(row.cells, dtype="<u4")
     return out
 
 
