@@ -7,10 +7,11 @@ block by block in as many tasks as there are pairs of blocks, so that no task ga
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MOST, BLOCK = 3000, 1500
+MOST, BLOCK = 1000, 500
 #: Rows of (id, component) that are broadcast at most; above, the join shuffles.
 BROADCAST_ROWS = 2_000_000
 
@@ -21,30 +22,61 @@ def similar(n_a: np.ndarray, n_b: np.ndarray, both: np.ndarray) -> np.ndarray:
 
 
 class Overlaps:
-    """Sizes of the intersections of each set with all sets, from an inverted index."""
+    """Sizes of the intersections of each set with all sets, from an inverted index of the tokens that several sets have."""
 
     def __init__(self, sets: list[np.ndarray]):
         self.n = np.array([len(s) for s in sets])
         every = np.concatenate(sets) if sets else np.zeros(0, np.int64)
-        self.ends = np.concatenate(([0], np.cumsum(self.n)))
-        owner = np.repeat(np.arange(len(sets)), self.n)
+        owner = np.repeat(np.arange(len(sets), dtype=np.int32), self.n)
         order = np.argsort(every, kind="stable")
         ranked = every[order]
-        new = np.concatenate(([True], ranked[1:] != ranked[:-1])) if len(ranked) else np.zeros(0, bool)
+        new = np.append(True, ranked[1:] != ranked[:-1]) if len(ranked) else np.zeros(0, bool)
         begins = np.flatnonzero(new)
-        code = np.empty(len(every), dtype=np.int64)
-        code[order] = np.cumsum(new) - 1
-        self.code, self.lists = code, np.split(owner[order], begins[1:])
-        self.often = np.diff(np.append(begins, len(ranked)))
+        often = np.diff(np.append(begins, len(ranked)))
+        code = np.cumsum(new) - 1
+        shared = often[code] > 1
+        self.owners = owner[order]
+        self.begins, self.often = begins, often
+        # the shared tokens of each set
+        by_set = np.argsort(self.owners[shared], kind="stable")
+        self.codes = code[shared][by_set]
+        self.ends = np.searchsorted(self.owners[shared][by_set], np.arange(len(sets) + 1))
 
     def of(self, k: int) -> np.ndarray:
-        codes = self.code[self.ends[k] : self.ends[k + 1]]
-        codes = codes[self.often[codes] > 1]
-        if not len(codes):
-            out = np.zeros(len(self.n), dtype=np.int64)
-            out[k] = self.n[k]
-            return out
-        return np.bincount(np.concatenate([self.lists[c] for c in codes]), minlength=len(self.n))
+        codes = self.codes[self.ends[k] : self.ends[k + 1]]
+        often = self.often[codes]
+        at = np.repeat(self.begins[codes] - np.cumsum(often) + often, often) + np.arange(int(often.sum()))
+        out = np.bincount(self.owners[at], minlength=len(self.n))
+        out[k] = self.n[k]
+        return out
+
+
+def numbers(value, kind) -> np.ndarray:
+    return np.frombuffer(value.as_buffer(), dtype=kind)
+
+
+def dealt(rows: np.ndarray, to: np.ndarray) -> pa.RecordBatch:
+    """Structured ``rows`` as one blob for each range ``to``."""
+    order = np.argsort(to, kind="stable")
+    there, begin = np.unique(to[order], return_index=True)
+    return pa.record_batch([pa.array(there.astype(np.int32)), pa.array([x.tobytes() for x in np.split(rows[order], begin[1:])] if len(rows) else [], pa.binary())], names=["range", "postings"])
+
+
+def spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of a spanning forest of the edges (a, b): repeated hooking of larger to smaller roots."""
+    ids, inverse = np.unique(np.concatenate((a, b)), return_inverse=True)
+    x, y = inverse[: len(a)], inverse[len(a) :]
+    root = np.arange(len(ids))
+    while True:
+        rx, ry = root[x], root[y]
+        differ = rx != ry
+        if not differ.any():
+            break
+        np.minimum.at(root, np.maximum(rx, ry)[differ], np.minimum(rx, ry)[differ])
+        while (root[root] != root).any():
+            root = root[root]
+    child = np.flatnonzero(root != np.arange(len(ids)))
+    return ids[child], ids[root[child]]
 
 
 def blocks(members: DataFrame, component: str = "component", node: str = "sid") -> DataFrame:

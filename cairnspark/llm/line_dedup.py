@@ -27,15 +27,17 @@ from cairnspark.operators.components import connected_components
 
 from . import rarity
 from .common import hash_words, join_groups, materialise, mix, slices, strings, table, words_of
-from .groups import Overlaps, blocks, similar, with_ids
+from .groups import Overlaps, blocks, dealt, numbers, similar, spanning, with_ids
 
-#: Postings that a task compares at once; lists that may be longer than LIST are dealt over pairs of blocks.
-CHUNK, LIST = 400_000, 8192
-POSTINGS = "sig long, part string, sid long, n int, place int, low long, high long"
+#: Postings that a task compares, about; longer lists than LIST are dealt over pairs of blocks.
+RANGE, LIST = 400_000, 8192
+SLICES = "doc_ids array<bigint>, lines binary, n binary, sid binary, tokens binary, postings long, cells binary"
+#: A token of a list: the list, the set, its size, the token's place in it, and the set's parities.
+POSTING = np.dtype([("key", "<u4"), ("n", "<u4"), ("place", "<u4"), ("sid", "<i8"), ("low", "<u8"), ("high", "<u8")])
 
 
 class Lines:
-    """The lines of some texts: offsets of each text's lines, and the distinct words of each line as sorted runs."""
+    """The lines of some texts: offsets of each text's lines, and the distinct words of each line as runs of hashes."""
 
     def __init__(self, texts: pa.Array):
         parts = pc.split_pattern(pc.ascii_lower(texts), "\n")
@@ -43,143 +45,162 @@ class Lines:
         self.ends = self.ends - self.ends[0]
         ends, coded = words_of(parts.flatten())
         codes = np.asarray(coded.indices).astype(np.uint64) if len(coded) else np.zeros(0, np.uint64)
-        owner = np.repeat(np.arange(len(ends) - 1, dtype=np.uint64), np.diff(ends))
-        packed = np.unique(owner << np.uint64(32) | codes)
-        owner = (packed >> np.uint64(32)).astype(np.int64)
+        packed = np.repeat(np.arange(len(ends) - 1, dtype=np.uint64) << np.uint64(32), np.diff(ends)) | codes
+        packed.sort()
+        packed = packed[np.append(True, packed[1:] != packed[:-1])] if len(packed) else packed
         word = hash_words(coded.dictionary) if len(coded) else np.zeros(0, np.uint64)
         self.words = word[(packed & np.uint64(0xFFFFFFFF)).astype(np.int64)]
-        self.n = np.bincount(owner, minlength=len(ends) - 1)
+        self.n = np.bincount((packed >> np.uint64(32)).astype(np.int64), minlength=len(ends) - 1)
         self.begins = np.cumsum(self.n) - self.n
-        self.owner = owner
         sums = np.zeros(len(self.n), dtype=np.uint64)
         filled = np.flatnonzero(self.n)
         if len(filled):
-            sums[filled] = np.add.reduceat(mix(self.words), self.begins[filled])
+            sums[filled] = np.add.reduceat(self.words, self.begins[filled])
         self.sid = mix(sums + self.n.astype(np.uint64)).view(np.int64)
 
     def set_of(self, line: int) -> np.ndarray:
         return np.sort(self.words[self.begins[line] : self.begins[line] + self.n[line]])
 
 
+def prefix_of(n: np.ndarray) -> np.ndarray:
+    return n - (4 * n + 4) // 5 + 1
+
+
 def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counter, names = rarity.Counter(), ["doc_id", "line", "n", "sid", "cells"]
+    """A row for each slice of texts, with all its lines; tokens are kept by the upper halves of their hashes, which serves to find candidates."""
+    counter, names = rarity.Counter(), ["doc_ids", "lines", "n", "sid", "tokens", "postings", "cells"]
+    types = (pa.list_(pa.int64()), *(pa.binary(),) * 4, pa.int64(), pa.binary())
     for batch in batches:
         texts = strings(batch.column(1))
         there = np.asarray(batch.column(1).is_valid())
         for a, b in slices(texts):
             lines = Lines(texts[a:b])
             counter.add(lines.words)
-            count = np.diff(lines.ends) * there[a:b]
-            row = np.repeat(np.arange(b - a), count)
-            at = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-            own = lines.ends[:-1][row] + at
-            yield pa.record_batch([batch.column(0)[a:b].take(pa.array(row)), pa.array(at, pa.int32()), pa.array(lines.n[own], pa.int32()), pa.array(lines.sid[own], mask=lines.n[own] == 0), pa.nulls(len(row), pa.binary())], names=names)
-    yield pa.record_batch([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.int64()), pa.array([counter.value()], pa.binary())], names=names)
+            row = (batch.column(0)[a:b].to_pylist(), np.diff(lines.ends) * there[a:b], lines.n, lines.sid, lines.words >> np.uint64(32), int(prefix_of(lines.n[lines.n >= 4]).sum()), None)
+            # a null text is one line without words here, and has none in ``lines``
+            row = [x if k in (0, 5, 6) else np.ascontiguousarray(x, kind).tobytes() for k, (x, kind) in enumerate(zip(row, ("", "<i4", "<i4", "<i8", "<u4", "", ""), strict=True))]
+            yield pa.record_batch([pa.array([x], t) for x, t in zip(row, types, strict=True)], names=names)
+    yield pa.record_batch([pa.array([x], t) for x, t in zip([None] * 6 + [counter.value()], types, strict=True)], names=names)
 
 
-def indexed(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
-    """Postings of the prefixes of distinct sets of four words or more (smaller ones are similar only to equal ones)."""
-    cells, seen = shared.value, set()
+def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc_id, line and sid of every line; sid is null for a line without words."""
     for batch in batches:
-        texts = strings(batch.column(0))
-        for a, b in slices(texts):
-            lines = Lines(texts[a:b])
-            _, first = np.unique(lines.sid, return_index=True)
-            new = [k for k in first[lines.n[first] >= 4].tolist() if int(lines.sid[k]) not in seen]
-            seen.update(lines.sid[new].tolist())
-            if len(seen) > 500_000:
-                seen.clear()
-            if not new:
-                continue
-            chosen = np.zeros(len(lines.n), dtype=bool)
-            chosen[new] = True
-            keep = chosen[lines.owner]
-            words, owner = lines.words[keep], lines.owner[keep]
-            often = cells[rarity.cell_of(words)]
-            order = np.lexsort((words, often, owner))
-            words, owner, often = words[order], owner[order], often[order].astype(np.int64)
-            n = lines.n[owner]
-            kept = lines.n * chosen
-            place = np.arange(len(words)) - (np.cumsum(kept) - kept)[owner]
-            bits = mix(words + np.uint64(1))
-            half = (bits >> np.uint64(6)) & np.uint64(1)
-            one = np.uint64(1) << (bits & np.uint64(63))
-            begins = np.flatnonzero(place == 0)
-            parity = [np.bitwise_xor.reduceat(np.where(half == h, one, np.uint64(0)), begins) for h in (0, 1)]
-            row = np.cumsum(place == 0) - 1
-            prefix = place < n - (4 * n + 4) // 5 + 1
-            sid = lines.sid[owner]
-            # a word that may have more than LIST sets: pairs of blocks of the sets, as many as the cell's count asks for
-            split = np.maximum(1, -(-often // LIST))
-            columns = [words[prefix].view(np.int64), None, sid[prefix], n[prefix], place[prefix], parity[0][row][prefix].view(np.int64), parity[1][row][prefix].view(np.int64)]
-            own = (mix(columns[2].view(np.uint64)) % split[prefix].astype(np.uint64)).astype(np.int64)
-            times = split[prefix]
-            many = np.repeat(np.arange(len(own)), times)
-            other = np.arange(len(many)) - np.repeat(np.cumsum(times) - times, times)
-            x, y = np.minimum(own[many], other), np.maximum(own[many], other)
-            part = pa.array([""], pa.string()).take(pa.array(np.zeros(len(many), np.int64))) if times.max(initial=1) == 1 else pa.array([f"{i}-{j}" if t > 1 else "" for i, j, t in zip(x.tolist(), y.tolist(), times[many].tolist(), strict=True)], pa.string())
-            out = [pa.array(c[many]) if c is not None else part for c in columns]
-            yield pa.record_batch([out[0], part, out[2], out[3].cast(pa.int32()), out[4].cast(pa.int32()), out[5], out[6]], names=["sig", "part", "sid", "n", "place", "low", "high"])
-
-
-def spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Edges of a spanning forest of the edges (a, b): repeated hooking of larger to smaller roots."""
-    ids, inverse = np.unique(np.concatenate((a, b)), return_inverse=True)
-    x, y = inverse[: len(a)], inverse[len(a) :]
-    root = np.arange(len(ids))
-    while True:
-        rx, ry = root[x], root[y]
-        differ = rx != ry
-        if not differ.any():
-            break
-        np.minimum.at(root, np.maximum(rx, ry)[differ], np.minimum(rx, ry)[differ])
-        while (root[root] != root).any():
-            root = root[root]
-    child = np.flatnonzero(root != np.arange(len(ids)))
-    return ids[child], ids[root[child]]
-
-
-def candidates_in(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by (sig, part, n).  Row r meets row r + k for k = 1, 2, ... while any two are of one list and of fitting length."""
-
-    def edges(rows: list[np.ndarray]) -> pa.RecordBatch:
-        key, sid, n, place, low, high = rows
-        at, src, dst = np.arange(len(key) - 1), [], []
-        k = 1
-        while len(at):
-            other = at + k
-            at = at[(key[at] == key[other]) & (5 * n[at] >= 4 * n[other])]
-            other = at + k
-            most = (n[at] + n[other]) // 9  # tokens in which similar sets differ at most
-            differ = np.bitwise_count(low[at] ^ low[other]).astype(np.int64) + np.bitwise_count(high[at] ^ high[other])
-            left = np.minimum(n[at] - place[at], n[other] - place[other]) + np.minimum(place[at], place[other])
-            good = (sid[at] != sid[other]) & (differ <= most) & (9 * left >= 4 * (n[at] + n[other]))
-            if good.any():
-                src.append(sid[at[good]])
-                dst.append(sid[other[good]])
-                if sum(map(len, src)) > 2_000_000:
-                    a, b = spanning(np.concatenate(src), np.concatenate(dst))
-                    src, dst = [a], [b]
-            k += 1
-            at = at[at + k < len(key)]
-        a, b = spanning(np.concatenate(src), np.concatenate(dst)) if src else (np.zeros(0, np.int64),) * 2
-        return pa.record_batch([pa.array(a), pa.array(b)], names=["src", "dst"])
-
-    held: list[np.ndarray] | None = None
+        for docs, lines, n, sid in zip(*(batch.column(k) for k in range(4)), strict=True):
+            count, n, sid = numbers(lines, "<i4").astype(np.int64), numbers(n, "<i4"), numbers(sid, "<i8")
+            held = np.maximum(count, 1)
+            row = np.repeat(np.arange(len(held)), held)
+            at = np.arange(len(row)) - np.repeat(np.cumsum(held) - held, held)
+            real = np.repeat(count > 0, held)
+            yield pa.record_batch([pa.array(docs.as_py(), pa.int64()).take(pa.array(row[real])), pa.array(at[real], pa.int32()), pa.array(sid[real], mask=n[real] == 0)], names=["doc_id", "line", "sid"])
+
+
+def prefixes(n: np.ndarray, sid: np.ndarray, tokens: np.ndarray, cells: np.ndarray, seen: set) -> tuple | None:
+    """Of the sets of four words or more that aren't in ``seen`` (smaller ones are similar only to equal ones): sizes, ids, parities, and their prefixes by rarity as (token, set, place)."""
+    n = n.astype(np.int64)
+    _, first = np.unique(sid, return_index=True)
+    first = first[n[first] >= 4]
+    first = np.sort(first[[s not in seen for s in sid[first].tolist()]]) if len(first) else first
+    if not len(first):
+        return None
+    if len(seen) > 500_000:
+        seen.clear()
+    seen.update(sid[first].tolist())
+    chosen = np.zeros(len(n), dtype=bool)
+    chosen[first] = True
+    tokens, n, sid = tokens[np.repeat(chosen, n)], n[first], sid[first]
+    often = cells[tokens >> np.uint32(32 - rarity.CELL_BITS)].astype(np.int64)
+    rank = (16 * np.log2(1.0 + often)).astype(np.uint64)  # below 2**10
+    line = np.repeat(np.arange(len(n), dtype=np.uint64), n)
+    if len(n) < 1 << 22:
+        tokens = np.sort(line << np.uint64(42) | rank << np.uint64(32) | tokens) & np.uint64(0xFFFFFFFF)
+    else:
+        tokens = tokens[np.lexsort((tokens, rank, line))].astype(np.uint64)
+    begins = np.cumsum(n) - n
+    bits = mix(tokens)
+    one = np.uint64(1) << (bits & np.uint64(63))
+    half = bits & np.uint64(64) > 0
+    parities = [np.bitwise_xor.reduceat(np.where(h, one, np.uint64(0)), begins) for h in (~half, half)]
+    own = np.repeat(np.arange(len(n)), n)
+    place = np.arange(len(tokens)) - begins[own]
+    kept = np.flatnonzero(place < prefix_of(n)[own])
+    return n, sid, parities, tokens[kept], own[kept], place[kept]
+
+
+def prefix_cells(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
+    counter, seen = rarity.Counter(), set()
     for batch in batches:
-        sig, part = batch.column(0).to_numpy(), batch.column(1)
-        coded = part.dictionary_encode()
-        key = mix(sig.view(np.uint64) + hash_words(coded.dictionary)[coded.indices.to_numpy()])
-        rows = [key, *(batch.column(k).to_numpy() for k in (2, 3, 4, 5, 6))]
-        rows[2:] = [x.astype(np.int64) for x in rows[2:4]] + [x.view(np.uint64) for x in rows[4:]]
-        held = [np.concatenate(x) for x in zip(held, rows, strict=True)] if held else rows
-        if len(held[0]) >= CHUNK:
-            last = int(np.flatnonzero(held[0] != held[0][-1])[-1]) + 1 if held[0][0] != held[0][-1] else 0
-            if last:  # whole lists only
-                yield edges([x[:last] for x in held])
-                held = [x[last:] for x in held]
-    if held and len(held[0]):
-        yield edges(held)
+        for n, sid, tokens in zip(*(batch.column(k) for k in range(3)), strict=True):
+            found = prefixes(numbers(n, "<i4"), numbers(sid, "<i8"), numbers(tokens, "<u4"), shared.value, seen)
+            if found:
+                counter.add(found[3] << np.uint64(32))
+    yield pa.record_batch([pa.array([counter.value()], pa.binary())], names=["cells"])
+
+
+def indexed(batches: Iterator[pa.RecordBatch], shared, shared_splits, ranges: int) -> Iterator[pa.RecordBatch]:
+    """Postings of the prefixes of distinct sets, a row for each range of lists."""
+    cells, splits, seen = shared.value, shared_splits.value, set()
+    for batch in batches:
+        for n, sid, tokens in zip(*(batch.column(k) for k in range(3)), strict=True):
+            found = prefixes(numbers(n, "<i4"), numbers(sid, "<i8"), numbers(tokens, "<u4"), cells, seen)
+            if not found:
+                continue
+            n, sid, (low, high), tokens, own, place = found
+            # a long list: pairs of blocks of its sets
+            split = splits[(tokens >> np.uint64(32 - rarity.CELL_BITS)).astype(np.int64)].astype(np.int64)
+            if split.max(initial=1) > 1:
+                block = (mix(sid[own].view(np.uint64)) % split.astype(np.uint64)).astype(np.int64)
+                many = np.repeat(np.arange(len(own)), split)
+                other = np.arange(len(many)) - np.repeat(np.cumsum(split) - split, split)
+                low_block, high_block = np.minimum(block[many], other), np.maximum(block[many], other)
+                tokens, own, place = tokens[many], own[many], place[many]
+                tokens = tokens + (low_block.astype(np.uint64) << np.uint64(32)) + (high_block.astype(np.uint64) << np.uint64(48))
+            key = mix(tokens + np.uint64(1))
+            out = np.empty(len(key), dtype=POSTING)
+            for name, x in (("key", key >> np.uint64(32)), ("n", n[own]), ("place", place), ("sid", sid[own]), ("low", low[own]), ("high", high[own])):
+                out[name] = x
+            yield dealt(out, (key & np.uint64(0xFFFFFFFF)).astype(np.int64) % ranges)
+
+
+def list_splits(parts: DataFrame, shared) -> np.ndarray:
+    """Into how many blocks the lists of each cell's words are cut: about one for every LIST sets, by the lengths of the lists of a few slices.  It shapes tasks, not results."""
+    few = [r["slice"] for r in parts.select("slice").orderBy(F.xxhash64("slice")).limit(8).collect()]
+    counts = rarity.total(parts.where(F.col("slice").isin(few)).select("n", "sid", "tokens").mapInArrow(lambda it: prefix_cells(it, shared), "cells binary"))
+    return np.minimum(1 + counts * (parts.count() / max(1, len(few))) // LIST, 65_535).astype(np.uint16)
+
+
+def candidates_in(group: pa.Table) -> pa.Table:
+    """Edges of a spanning forest of the candidates in some lists.
+
+    By list and size, row r meets row r + k for k = 1, 2, ... while any two are of one list and of fitting length.
+    """
+    rows = np.concatenate([numbers(v, POSTING) for v in group.column("postings")])
+    rows = rows[np.argsort(rows["key"].astype(np.uint64) << np.uint64(32) | rows["n"])]
+    key, sid, low, high = (np.ascontiguousarray(rows[x]) for x in ("key", "sid", "low", "high"))
+    n, place = rows["n"].astype(np.int64), rows["place"].astype(np.int64)
+    # the smaller of two sets shares a token in a shorter prefix: their overlap is at least 8/9 of its size
+    short = place < n - (8 * n + 8) // 9 + 1
+    at, src, dst, k = np.flatnonzero(short[:-1]), [], [], 1
+    while len(at):
+        other = at + k
+        at = at[(key[at] == key[other]) & (5 * n[at] >= 4 * n[other])]
+        other = at + k
+        most = (n[at] + n[other]) // 9  # tokens in which similar sets differ at most
+        good = np.bitwise_count(low[at] ^ low[other]) <= most
+        x, y = at[good], other[good]
+        differ = np.bitwise_count(low[x] ^ low[y]).astype(np.int64) + np.bitwise_count(high[x] ^ high[y])
+        left = np.minimum(n[x] - place[x], n[y] - place[y]) + np.minimum(place[x], place[y])
+        good = (sid[x] != sid[y]) & (differ <= most[good]) & (9 * left >= 4 * (n[x] + n[y]))
+        if good.any():
+            src.append(sid[x[good]])
+            dst.append(sid[y[good]])
+            if sum(map(len, src)) > 1_000_000:
+                a, b = spanning(np.concatenate(src), np.concatenate(dst))
+                src, dst = [a], [b]
+        k += 1
+        at = at[at + k < len(key)]
+    a, b = spanning(np.concatenate(src), np.concatenate(dst)) if src else (np.zeros(0, np.int64),) * 2
+    return pa.table({"src": a, "dst": b})
 
 
 def set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,8 +223,10 @@ def set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated_in(group: pa.Table) -> pa.Table:
     """The sets of one group that are similar to one that occurs earlier."""
     doc = group.column("doc_id").fill_null(np.iinfo(np.int64).min).to_numpy()
-    order = np.lexsort((group.column("line").to_numpy(), doc))
-    sids = group.column("sid").to_numpy()[order]
+    every = group.column("sid").to_numpy()
+    _, first = np.unique(every, return_index=True)  # rows that share a doc_id may bring a set twice
+    order = first[np.lexsort((group.column("line").to_numpy()[first], doc[first]))]
+    sids = every[order]
     tokens = group.column("tokens").to_pylist()
     overlaps = Overlaps([np.frombuffer(tokens[k], dtype=np.uint64) for k in order])
     out = [sids[k] for k in range(1, len(order)) if similar(overlaps.n[k], overlaps.n[:k], overlaps.of(k)[:k]).any()]
@@ -214,19 +237,21 @@ def decisions(docs: DataFrame) -> DataFrame:
     """doc_id, line (from 0), removed: a row for every line."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    everything = materialise(docs.mapInArrow(measured, "doc_id long, line int, n int, sid long, cells binary"))
-    rows = everything.where("cells IS NULL").drop("cells")
-    cells = rarity.total(everything.where("cells IS NOT NULL").select("cells"))
-    shared = rarity.shared_cells(spark, cells)
-    postings = docs.select("text").mapInArrow(lambda it: indexed(it, shared), POSTINGS)
-    edges = postings.repartition("sig", "part").sortWithinPartitions("sig", "part", "n").mapInArrow(candidates_in, "src long, dst long")
+    everything = materialise(docs.mapInArrow(measured, SLICES).withColumn("slice", F.monotonically_increasing_id()))
+    parts = everything.where("cells IS NULL")
+    shared = rarity.shared_cells(spark, rarity.total(everything.where("cells IS NOT NULL").select("cells")))
+    rows = materialise(parts.select("doc_ids", "lines", "n", "sid").mapInArrow(listed, "doc_id long, line int, sid long"))
+    ranges = max(1, (parts.agg(F.sum("postings")).first()[0] or 0) // RANGE)
+    splits = spark.sparkContext.broadcast(list_splits(parts, shared))
+    postings = parts.select("n", "sid", "tokens").mapInArrow(lambda it: indexed(it, shared, splits, ranges), "range int, postings binary")
+    edges = postings.groupBy("range").applyInArrow(candidates_in, "src long, dst long")
     members = connected_components(edges).select(F.col("id").alias("sid"), "component")
     place = F.struct("doc_id", "line")
     firsts = materialise(rows.where("sid IS NOT NULL").groupBy("sid").agg(F.min(place).alias("first"), F.count("*").alias("_size")))
     wanted = blocks(members.join(firsts, "sid")).select(F.col("first.doc_id").alias("doc_id"), F.struct("sid", "component", "first.doc_id", "first.line", "parts").alias("w"))
     wanted = materialise(wanted.groupBy("doc_id").agg(F.collect_list("w").alias("wanted")))  # no more than the document has lines
     found = with_ids(docs, wanted, "doc_id").select("text", "wanted").mapInArrow(set_rows, "sid long, component long, doc_id long, line int, parts array<string>, tokens binary")
-    sets = found.select("sid", "component", "doc_id", "line", F.explode("parts").alias("part"), "tokens").dropDuplicates(["component", "part", "sid"])
+    sets = found.select("sid", "component", "doc_id", "line", F.explode("parts").alias("part"), "tokens")
     repeated = materialise(sets.groupBy("component", "part").applyInArrow(repeated_in, "sid long").distinct().withColumn("repeated", F.lit(True)))
     known = materialise(firsts.join(repeated, "sid", "left").where("_size > 1 OR repeated"))
     joined = join_groups(rows.where("sid IS NOT NULL"), known, "sid", "_size", rows.count())

@@ -29,12 +29,16 @@ from cairnspark.operators.components import connected_components
 
 from . import rarity
 from .common import hash_words, join_groups, materialise, mix, slices, strings, table, words_of
-from .groups import Overlaps, blocks, similar, with_ids, without_ids
+from .groups import Overlaps, blocks, dealt, numbers, similar, spanning, with_ids, without_ids
 
 WORDS, SUBCLASS, SMALL = 5, 16, 16
 ODD = np.uint64(0x9E3779B97F4A7C15)
 #: A signature that may have more nodes is dealt over several tasks.
 SALT_ROWS = 100_000
+#: Postings that a task chains, about.
+RANGE = 500_000
+#: A signature's list, the set, its size, and whether the list is dealt over several ranges.
+POSTING = np.dtype([("key", "<u4"), ("n", "<u4"), ("sid", "<i8"), ("salted", "u1")])
 
 
 def shingle_sets(texts: pa.Array, words: int = WORDS) -> Iterator[np.ndarray]:
@@ -46,7 +50,8 @@ def shingle_sets(texts: pa.Array, words: int = WORDS) -> Iterator[np.ndarray]:
         run = mix(run * ODD + word[j : j + len(run)] + np.uint64(j))
     for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
         if b - a >= words:
-            yield np.unique(run[a : b - words + 1])
+            own = np.sort(run[a : b - words + 1])
+            yield own[np.append(True, own[1:] != own[:-1])]
         elif b > a:
             h = np.array([b - a], dtype=np.uint64)
             for w in word[a:b]:
@@ -110,12 +115,13 @@ def signatures(tokens: np.ndarray, often: np.ndarray, common: int) -> Iterator[t
                 yield mix(mix(low * ODD + np.uint64(family)) + high), np.minimum(often[at[i]], often[at[j]])
 
 
-def indexed(batches: Iterator[pa.RecordBatch], shared, common: int) -> Iterator[pa.RecordBatch]:
+def indexed(batches: Iterator[pa.RecordBatch], shared, common: int, ranges: int) -> Iterator[pa.RecordBatch]:
+    """Postings of the signatures of distinct sets, a row for each range of signatures."""
     cells, seen = shared.value, set()
     for batch in batches:
         texts = strings(batch.column(0))
         for a, b in slices(texts):
-            sig, most, owner, size, salt = [], [], [], [], []
+            sig, most, owner, size = [], [], [], []
             for s in shingle_sets(texts[a:b]):
                 if len(s) < 4:  # similar means equal, so the node has no links
                     continue
@@ -127,28 +133,46 @@ def indexed(batches: Iterator[pa.RecordBatch], shared, common: int) -> Iterator[
                     sig.append(signature)
                     most.append(often)
                     owner.append(np.full(len(signature), sid))
-                    size.append(np.full(len(signature), len(s)))
-            if len(seen) > 1_000_000:
+                    size.append(np.full(len(signature), len(s), dtype=np.uint32))
+            if len(seen) > 500_000:
                 seen.clear()
             if sig:
-                own, top = np.concatenate(owner), np.concatenate(most).astype(np.int64)
-                salt = mix(own.view(np.uint64)).astype(np.uint64) % (np.uint64(1) + (top // SALT_ROWS).astype(np.uint64))
-                yield pa.record_batch([pa.array(np.concatenate(sig).view(np.int64)), pa.array(salt.astype(np.int32)), pa.array(own), pa.array(np.concatenate(size), pa.int32())], names=["sig", "salt", "sid", "n"])
+                sigs, own = np.concatenate(sig), np.concatenate(owner)
+                salts = np.concatenate(most).astype(np.uint64) // np.uint64(SALT_ROWS) + np.uint64(1)
+                key = mix(sigs)
+                to = mix(key + mix(own.view(np.uint64)) % salts) if salts.max() > 1 else key
+                out = np.empty(len(key), dtype=POSTING)
+                out["key"], out["n"], out["sid"], out["salted"] = key >> np.uint64(32), np.concatenate(size), own, salts > 1
+                yield dealt(out, (to & np.uint64(0xFFFFFFFF)).astype(np.int64) % ranges)
 
 
-def neighbours(postings: DataFrame, salted: bool) -> DataFrame:
-    """Edges (src, dst) that join, under each signature, every node to the next by size if their sizes may be similar."""
+def neighbours_in(group: pa.Table) -> pa.Table:
+    """Edges (src, dst) that join, under each signature, every node to the next by size if their sizes may be similar.
+
+    Of a signature that is dealt over several ranges, the first node of each size comes back too, with the signature.
+    """
+    rows = np.concatenate([numbers(v, POSTING) for v in group.column("postings")])
+    rows = rows[np.lexsort((rows["sid"], rows["n"], rows["key"]))]
+    key, n, sid = rows["key"], rows["n"].astype(np.int64), rows["sid"]
+    a, b = spanning(*chained(key, n, sid))
+    first = np.append(True, (key[1:] != key[:-1]) | (n[1:] != n[:-1])) & (rows["salted"] > 0)
+    k = int(first.sum())
+    return pa.table({"src": np.concatenate((a, sid[first])), "dst": pa.array(np.concatenate((b, sid[first])), mask=np.append(np.zeros(len(a), bool), np.ones(k, bool))), "sig": np.concatenate((np.zeros(len(a), np.int64), key[first].astype(np.int64))), "n": np.concatenate((np.zeros(len(a), np.int64), n[first]))})
+
 
-    def linked(rows: DataFrame, *key: str) -> DataFrame:
-        order = Window.partitionBy(*key).orderBy("n", "sid")
-        rows = rows.withColumn("p", F.lag("sid").over(order)).withColumn("pn", F.lag("n").over(order))
-        return rows.where("p IS NOT NULL AND p <> sid AND 5 * pn >= 4 * n").select(F.least("p", "sid").alias("src"), F.greatest("p", "sid").alias("dst"))
+def chained(key: np.ndarray, n: np.ndarray, sid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    next_to = (key[1:] == key[:-1]) & (sid[1:] != sid[:-1]) & (5 * n[:-1] >= 4 * n[1:])
+    return sid[:-1][next_to], sid[1:][next_to]
 
+
+def neighbours(postings: DataFrame, salted: bool) -> DataFrame:
+    found = postings.groupBy("range").applyInArrow(neighbours_in, "src long, dst long, sig long, n long")
     if not salted:
-        return linked(postings, "sig").distinct()
-    # the first node of each size under each salt joins the salts
-    first = postings.groupBy("sig", "salt", "n").agg(F.min("sid").alias("sid"))
-    return linked(postings, "sig", "salt").unionByName(linked(first, "sig")).distinct()
+        return found.select("src", "dst")
+    found = materialise(found)
+    order = Window.partitionBy("sig").orderBy("n", "src")
+    firsts = found.where("dst IS NULL").withColumn("p", F.lag("src").over(order)).withColumn("pn", F.lag("n").over(order))
+    return found.where("dst IS NOT NULL").select("src", "dst").unionByName(firsts.where("p <> src AND 5 * pn >= 4 * n").select("src", F.col("p").alias("dst")))
 
 
 def set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,8 +185,9 @@ def set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def compared(group: pa.Table) -> pa.Table:
     """Edges of a spanning forest of the links within one group."""
-    sids = group.column("sid").to_numpy()
-    sets = [np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in group.column("tokens")]
+    sids, first = np.unique(group.column("sid").to_numpy(), return_index=True)  # rows that share a doc_id may bring a set twice
+    tokens = group.column("tokens").take(pa.array(first))
+    sets = [numbers(v, np.uint64) for v in tokens]
     overlaps, root = Overlaps(sets), np.arange(len(sets))
     src, dst = [], []
     for k in range(len(sets)):
@@ -186,14 +211,16 @@ def components(docs: DataFrame) -> DataFrame:
     rows = everything.where("cells IS NULL").drop("cells")
     cells = rarity.total(everything.where("cells IS NOT NULL").select("cells"))
     common, shared = rarity.common_from(cells), rarity.shared_cells(spark, cells)
-    postings = docs.select("text").mapInArrow(lambda it: indexed(it, shared, common), "sig long, salt int, sid long, n int")
+    prefix = F.col("n") - F.ceil(F.col("n") * 4 / 5) + 1
+    ranges = max(1, (rows.agg(F.sum(prefix)).first()[0] or 0) // RANGE)
+    postings = docs.select("text").mapInArrow(lambda it: indexed(it, shared, common, ranges), "range int, postings binary")
     salted = bool(cells.max(initial=0) >= SALT_ROWS)
     candidates = connected_components(neighbours(postings, salted)).select(F.col("id").alias("sid"), "component")
     owners = rows.where("sid IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("doc_id"))
     members = materialise(blocks(candidates.join(owners, "sid")))
     found = with_ids(docs, members, "doc_id").select("sid", "component", "parts", "text").mapInArrow(set_rows, "own long, sid long, component long, parts array<string>, tokens binary")
-    # a doc_id that several rows share may bring other sets, or the same one twice
-    sets = found.where("own = sid").select("sid", "component", F.explode("parts").alias("part"), "tokens").dropDuplicates(["component", "part", "sid"])
+    # a doc_id that several rows share may bring other sets
+    sets = found.where("own = sid").select("sid", "component", F.explode("parts").alias("part"), "tokens")
     links = materialise(sets.groupBy("component", "part").applyInArrow(compared, "src long, dst long"))
     labels = connected_components(links).select(F.col("id").alias("sid"), F.col("component").alias("root"))
     n = rows.count()
