@@ -41,6 +41,11 @@ def check_radius(radius: float) -> None:
         raise ValueError("the radius must be a number of at least 0")
 
 
+def raise_if_any(cloud: DataFrame) -> None:
+    if cloud.take(1):
+        raise ValueError("points need coordinates")
+
+
 def _cells(dims: list[int], radius: float):
     # a little over the radius, so that rounding can't put neighbours two cells apart
     side = radius * (1 + 1e-9) or 1e-9
@@ -124,6 +129,9 @@ def range_join(a: DataFrame, b: DataFrame, radius: float, strategy: str = "auto"
     """``(src, dst, d2)``: pairs of a point of ``a`` and one of ``b`` with d2 <= radius^2."""
     check_radius(radius)
     d = dimension(a)
+    if not d:
+        raise_if_any(a)
+        return a.select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(0.0).alias("d2"))
     plan, dims = choose(spread(a, d), radius)
     return _grid(a, b, radius, dims, False) if (plan if strategy == "auto" else strategy) == "grid" else _block(a, b, radius)
 
@@ -132,6 +140,9 @@ def range_self_join(cloud: DataFrame, radius: float, strategy: str = "auto") ->
     """``(src, dst, d2)`` with src <= dst, every point with itself included."""
     check_radius(radius)
     d = dimension(cloud)
+    if not d:  # no points, or points without coordinates, which can't be told apart
+        raise_if_any(cloud)
+        return cloud.select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(0.0).alias("d2"))
     plan, dims = choose(spread(cloud, d), radius)
     return _grid(cloud, cloud, radius, dims, True) if (plan if strategy == "auto" else strategy) == "grid" else _block(cloud, None, radius)
 
