@@ -1,7 +1,8 @@
 """N-gram Jaccard join: documents whose sets of five-word shingles have a Jaccard coefficient of 0.8 or more.
 
-Documents with the same set are one node.  A set's tokens are ordered by rarity, and candidates come from its prefix, the
-tokens of which no similar set can miss all.  Rare tokens are indexed singly.  Common ones are indexed in pairs: they fall
+Documents with the same set are one node.  A set's tokens are ordered by rarity, by exact counts
+of all sets (tokens meet in ranges of their hash, and only those of several sets come back), and candidates come from its
+prefix, the tokens of which no similar set can miss all.  Rare tokens are indexed singly.  Common ones are indexed in pairs: they fall
 into subclasses by a hash, the prefix is extended until the tokens beyond the first of each subclass outnumber those that
 a similar set may miss, and then two similar sets share two tokens of one subclass in their prefixes.  The number of
 subclasses follows the set's size (one per SUBCLASS tokens, by size band), so the pairs are as many as the tokens; a set
@@ -17,6 +18,7 @@ rows with equal doc_id are nodes by their own texts; an empty table gives an emp
 from __future__ import annotations
 
 import math
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +29,6 @@ from pyspark.sql import functions as F
 
 from cairnspark.operators.components import connected_components
 
-from . import rarity
 from .common import hash_words, join_groups, materialise, mix, slices, strings, table, words_of
 from .groups import Overlaps, blocks, dealt, numbers, similar, spanning, with_ids, without_ids
 
@@ -35,8 +36,8 @@ WORDS, SUBCLASS, SMALL = 5, 16, 16
 ODD = np.uint64(0x9E3779B97F4A7C15)
 #: A signature that may have more nodes is dealt over several tasks.
 SALT_ROWS = 100_000
-#: Postings that a task chains, about.
-RANGE = 500_000
+#: From how many sets on a token is common, and how many bytes of text have about the tokens that a task counts.
+COMMON, RANGE_BYTES = 512, 16 << 20
 #: A signature's list, the set, its size, and whether the list is dealt over several ranges.
 POSTING = np.dtype([("key", "<u4"), ("n", "<u4"), ("sid", "<i8"), ("salted", "u1")])
 
@@ -66,16 +67,77 @@ def node_of(tokens: np.ndarray) -> int:
     return int(mix(np.array([mix(tokens).sum(dtype=np.uint64) + np.uint64(len(tokens))], dtype=np.uint64)).view(np.int64)[0])
 
 
-def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counter, names = rarity.Counter(), ["doc_id", "n", "sid", "cells"]
+SLICES = "slice long, range int, doc_ids array<bigint>, n binary, sid binary, low binary, high binary, owner binary"
+
+
+def row_of(types: tuple, names: list[str], *values) -> pa.RecordBatch:
+    return pa.record_batch([pa.array([v], t) for v, t in zip(values, types, strict=True)], names=names)
+
+
+def measured(batches: Iterator[pa.RecordBatch], ranges: int) -> Iterator[pa.RecordBatch]:
+    """For each slice of texts a row (range null) with ids, sizes and nodes, and a row with its tokens for each range.
+
+    Tokens are 48 bits of the hash, with the place of their document in the slice; sets that the task has seen, and those
+    below four tokens, to which only an equal set is similar, send none.
+    """
+    types, names, seen = (pa.int64(), pa.int32(), pa.list_(pa.int64()), *(pa.binary(),) * 5), ["slice", "range", "doc_ids", "n", "sid", "low", "high", "owner"], set()
     for batch in batches:
         texts = strings(batch.column(1))
         for a, b in slices(texts):
             sets = list(shingle_sets(texts[a:b]))
-            counter.add(np.concatenate(sets))
-            n = [len(s) for s in sets]
-            yield pa.record_batch([batch.column(0)[a:b], pa.array(n, pa.int64()), pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()), pa.nulls(b - a, pa.binary())], names=names)
-    yield pa.record_batch([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([counter.value()], pa.binary())], names=names)
+            n = np.array([len(s) for s in sets])
+            sid = np.array([node_of(s) if len(s) else 0 for s in sets], dtype=np.int64)
+            name = int.from_bytes(os.urandom(8), "little") >> 1
+            yield row_of(types, names, name, None, batch.column(0)[a:b].to_pylist(), n.astype("<i4").tobytes(), sid.astype("<i8").tobytes(), None, None, None)
+            new = []
+            for k in np.flatnonzero(n >= 4).tolist():
+                if int(sid[k]) not in seen:
+                    seen.add(int(sid[k]))
+                    new.append(k)
+            if len(seen) > 500_000:
+                seen.clear()
+            if not new:
+                continue
+            tokens = np.concatenate([sets[k] for k in new]) >> np.uint64(16)
+            owner = np.repeat(np.array(new, dtype=np.uint32), n[new])
+            high = (tokens >> np.uint64(32)).astype(np.uint16)
+            order = np.argsort(high, kind="stable")
+            high, low, owner = high[order], (tokens & np.uint64(0xFFFFFFFF)).astype(np.uint32)[order], owner[order]
+            cut = np.searchsorted(high.astype(np.int64) * ranges >> 16, np.arange(ranges + 1))
+            for r in np.flatnonzero(np.diff(cut)).tolist():
+                x = slice(cut[r], cut[r + 1])
+                yield row_of(types, names, name, r, None, None, None, low[x].tobytes(), high[x].tobytes(), owner[x].tobytes())
+
+
+def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for docs, n, sid in zip(*(batch.column(k) for k in range(3)), strict=True):
+            n, sid = numbers(n, "<i4").astype(np.int64), numbers(sid, "<i8")
+            yield pa.record_batch([pa.array(docs.as_py(), pa.int64()), pa.array(n), pa.array(sid, mask=n == 0)], names=["doc_id", "n", "sid"])
+
+
+def repeated_in(group: pa.Table) -> pa.Table:
+    """Of one range, a row for each slice with the tokens that occur more than once, and how often they do (eight steps for each doubling)."""
+    parts = [[numbers(v, kind) for v in group.column(c)] for c, kind in (("low", "<u4"), ("high", "<u2"), ("owner", "<u4"))]
+    slices_, sizes = group.column("slice").to_numpy(), np.array([len(x) for x in parts[0]])
+    low, high, owner = (np.concatenate(x) for x in parts)
+    tokens = high.astype(np.uint64) << np.uint64(32) | low
+    order = np.argsort(tokens)
+    ranked = tokens[order]
+    first = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1]))
+    counts = np.diff(np.append(first, len(ranked)))
+    often = np.empty(len(tokens), dtype=np.int64)
+    often[order] = np.repeat(counts, counts)
+    keep = often > 1
+    steps = np.minimum(255, np.ceil(8 * np.log2(np.maximum(often, 1)))).astype(np.uint8)
+    begin = np.cumsum(sizes) - sizes
+    out = []
+    for name, a, k in zip(slices_.tolist(), begin.tolist(), sizes.tolist(), strict=True):
+        own = np.flatnonzero(keep[a : a + k]) + a
+        if len(own):
+            out.append((name, tokens[own].tobytes(), owner[own].tobytes(), steps[own].tobytes()))
+    columns = list(zip(*out, strict=True)) if out else [[]] * 4
+    return pa.table({n: pa.array(c, t) for n, c, t in zip(("slice", "tokens", "owner", "steps"), columns, (pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)})
 
 
 def needed(n: int) -> int:
@@ -83,13 +145,16 @@ def needed(n: int) -> int:
     return (4 * n + 4) // 5
 
 
-def signatures(tokens: np.ndarray, often: np.ndarray, common: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Signatures of a set, with how often their tokens occur at most.  ``often``: of each token."""
-    n = len(tokens)
-    order = np.lexsort((tokens, often))
-    tokens, often = tokens[order], often[order]
-    prefix = n - needed(n) + 1
-    rare = int(np.searchsorted(often, common))
+def signatures(tokens: np.ndarray, often: np.ndarray, n: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Signatures of a set of n tokens, with how often their tokens occur at most.
+
+    ``tokens``: those that occur in other sets too, by rarity; ``often``: of each.  The others come before them in the
+    order, and share no signature with any set.
+    """
+    prefix = n - needed(n) + 1 - (n - len(tokens))
+    if prefix <= 0:
+        return
+    rare = int(np.searchsorted(often, COMMON))
     yield tokens[: min(prefix, rare)], often[: min(prefix, rare)]
     if rare >= prefix:
         return
@@ -111,39 +176,37 @@ def signatures(tokens: np.ndarray, often: np.ndarray, common: int) -> Iterator[t
             at = np.flatnonzero(subclass[:stop] == k) + rare
             if len(at) > 1:
                 i, j = np.triu_indices(len(at), 1)
-                low, high = np.minimum(tokens[at[i]], tokens[at[j]]), np.maximum(tokens[at[i]], tokens[at[j]])
-                yield mix(mix(low * ODD + np.uint64(family)) + high), np.minimum(often[at[i]], often[at[j]])
-
-
-def indexed(batches: Iterator[pa.RecordBatch], shared, common: int, ranges: int) -> Iterator[pa.RecordBatch]:
-    """Postings of the signatures of distinct sets, a row for each range of signatures."""
-    cells, seen = shared.value, set()
-    for batch in batches:
-        texts = strings(batch.column(0))
-        for a, b in slices(texts):
-            sig, most, owner, size = [], [], [], []
-            for s in shingle_sets(texts[a:b]):
-                if len(s) < 4:  # similar means equal, so the node has no links
-                    continue
-                sid = node_of(s)
-                if sid in seen:
-                    continue
-                seen.add(sid)
-                for signature, often in signatures(s, cells[rarity.cell_of(s)], common):
-                    sig.append(signature)
-                    most.append(often)
-                    owner.append(np.full(len(signature), sid))
-                    size.append(np.full(len(signature), len(s), dtype=np.uint32))
-            if len(seen) > 500_000:
-                seen.clear()
-            if sig:
-                sigs, own = np.concatenate(sig), np.concatenate(owner)
-                salts = np.concatenate(most).astype(np.uint64) // np.uint64(SALT_ROWS) + np.uint64(1)
-                key = mix(sigs)
-                to = mix(key + mix(own.view(np.uint64)) % salts) if salts.max() > 1 else key
-                out = np.empty(len(key), dtype=POSTING)
-                out["key"], out["n"], out["sid"], out["salted"] = key >> np.uint64(32), np.concatenate(size), own, salts > 1
-                yield dealt(out, (to & np.uint64(0xFFFFFFFF)).astype(np.int64) % ranges)
+                a, b = np.minimum(tokens[at[i]], tokens[at[j]]), np.maximum(tokens[at[i]], tokens[at[j]])
+                yield mix(mix(a * ODD + np.uint64(family)) + b), np.minimum(often[at[i]], often[at[j]])
+
+
+def indexed_in(group: pa.Table, ranges: int) -> pa.Table:
+    """Postings of one slice's signatures, a row for each range of signatures."""
+    head = np.asarray(group.column("n").is_valid())
+    at = int(np.flatnonzero(head)[0])
+    n, sid = numbers(group.column("n")[at], "<i4"), numbers(group.column("sid")[at], "<i8")
+    kept = group.filter(pa.array(~head))
+    sig, most, owner, size = [], [], [], []
+    if len(kept):
+        tokens, own, steps = (np.concatenate([numbers(v, kind) for v in kept.column(c)]) for c, kind in (("tokens", "<u8"), ("owner", "<u4"), ("steps", "u1")))
+        order = np.lexsort((tokens, steps, own))
+        tokens, own, often = tokens[order], own[order], np.exp2(steps[order] / 8.0)
+        there, begin = np.unique(own, return_index=True)
+        for k, a, b in zip(there.tolist(), begin.tolist(), np.append(begin[1:], len(own)).tolist(), strict=True):
+            for signature, count in signatures(tokens[a:b], often[a:b], int(n[k])):
+                sig.append(signature)
+                most.append(count)
+                owner.append(np.full(len(signature), sid[k]))
+                size.append(np.full(len(signature), n[k], dtype=np.uint32))
+    if not sig:
+        return pa.table({"range": pa.array([], pa.int32()), "postings": pa.array([], pa.binary())})
+    sigs, own = np.concatenate(sig), np.concatenate(owner)
+    salts = (np.concatenate(most) / SALT_ROWS).astype(np.uint64) + np.uint64(1)
+    key = mix(sigs)
+    to = mix(key + mix(own.view(np.uint64)) % salts) if salts.max() > 1 else key
+    out = np.empty(len(key), dtype=POSTING)
+    out["key"], out["n"], out["sid"], out["salted"] = key >> np.uint64(32), np.concatenate(size), own, salts > 1
+    return pa.Table.from_batches([dealt(out, (to & np.uint64(0xFFFFFFFF)).astype(np.int64) % ranges)])
 
 
 def neighbours_in(group: pa.Table) -> pa.Table:
@@ -207,14 +270,16 @@ def components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, sid (null for an empty set) and component_id: one row per document."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    everything = materialise(docs.mapInArrow(measured, "doc_id long, n long, sid long, cells binary"))
-    rows = everything.where("cells IS NULL").drop("cells")
-    cells = rarity.total(everything.where("cells IS NOT NULL").select("cells"))
-    common, shared = rarity.common_from(cells), rarity.shared_cells(spark, cells)
-    prefix = F.col("n") - F.ceil(F.col("n") * 4 / 5) + 1
-    ranges = max(1, (rows.agg(F.sum(prefix)).first()[0] or 0) // RANGE)
-    postings = docs.select("text").mapInArrow(lambda it: indexed(it, shared, common, ranges), "range int, postings binary")
-    salted = bool(cells.max(initial=0) >= SALT_ROWS)
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first().bytes
+    ranges = max(1, size // RANGE_BYTES)
+    everything = materialise(docs.mapInArrow(lambda it: measured(it, ranges), SLICES))
+    heads = everything.where("range IS NULL")
+    rows = materialise(heads.select("doc_ids", "n", "sid").mapInArrow(documents, "doc_id long, n long, sid long"))
+    repeated = everything.where("range IS NOT NULL").groupBy("range").applyInArrow(repeated_in, "slice long, tokens binary, owner binary, steps binary")
+    nothing = F.lit(None).cast("binary")
+    together = repeated.select("slice", nothing.alias("n"), nothing.alias("sid"), "tokens", "owner", "steps").unionByName(heads.select("slice", "n", "sid", nothing.alias("tokens"), nothing.alias("owner"), nothing.alias("steps")))
+    postings = together.groupBy("slice").applyInArrow(lambda g: indexed_in(g, ranges), "range int, postings binary")
+    salted = rows.count() > SALT_ROWS  # no signature has more sets than there are
     candidates = connected_components(neighbours(postings, salted)).select(F.col("id").alias("sid"), "component")
     owners = rows.where("sid IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("doc_id"))
     members = materialise(blocks(candidates.join(owners, "sid")))
