@@ -74,7 +74,7 @@ def weights_in(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordB
         texts = strings(batch.column(1))
         for a, b in slices(texts):
             every, row = hashed(texts[a:b])
-            yield pa.record_batch([batch.column(0)[a:b], pa.array(np.bincount(row, ratio[every], b - a)), pa.array(np.bincount(row, minlength=b - a))], names=["doc_id", "log_weight", "n_features"])
+            yield pa.record_batch([batch.column(0)[a:b], pa.array(np.bincount(row, ratio[every], b - a).astype(float)), pa.array(np.bincount(row, minlength=b - a))], names=["doc_id", "log_weight", "n_features"])
 
 
 def top_k(rows: DataFrame, k: int, key: str = "key", step: float = 1e-4) -> DataFrame:

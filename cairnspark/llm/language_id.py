@@ -142,8 +142,8 @@ class Model:
                 out.ceiling[j] = own.max() * CEILING
         return out
 
-    def bits(self, words: list[str]) -> np.ndarray:
-        """Bits of each word in each language."""
+    def costs(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Bits of each character of the words, between blanks, in each language, and the places of the characters."""
         points, place = coded(words)
         keys = keys_of(points, place, len(self.keys))
         value = np.broadcast_to(self.floor, (len(points), len(self.languages))).copy()
@@ -159,6 +159,11 @@ class Model:
             at = (i, hit)
         cost = -np.log2(value)
         cost[place == 0] = 0
+        return cost, place
+
+    def bits(self, words: list[str]) -> np.ndarray:
+        """Bits of each word in each language."""
+        cost, place = self.costs(words)
         return np.add.reduceat(cost, np.flatnonzero(place == 0), axis=0)
 
     def measure(self, texts: pa.Array, cache: dict[str, int], rows: list | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -221,7 +226,7 @@ def predicted(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBa
             rate = bits / np.maximum(length, 1)[:, None]
             best = rate.argmin(axis=1) if len(model.languages) else np.zeros(b - a, int)
             lowest = rate[np.arange(b - a), best] if len(model.languages) else np.zeros(b - a)
-            score = np.where(lettered, 1 / np.exp2(-np.clip(bits - (lowest * np.maximum(length, 1))[:, None], 0, 1000)).sum(axis=1) if len(model.languages) else 0, 0)
+            score = np.where(lettered, np.minimum(1.0, 1 / np.exp2(-np.clip(bits - (lowest * np.maximum(length, 1))[:, None], 0, 1000)).sum(axis=1)) if len(model.languages) else 0, 0)
             names = [model.languages[k] if ok else UNKNOWN for k, ok in zip(best, lettered, strict=True)]
             over = ~lettered | (lowest > model.ceiling[best] if len(model.languages) else True)
             yield pa.record_batch([batch.column(0)[a:b], pa.array(names, pa.string()), pa.array(score, pa.float64()), pa.array(np.where(lettered, lowest, 0.0), pa.float64()), pa.array(over, pa.bool_())], names=["doc_id", "lang_pred", "score", "cross_entropy", "rejected"])
