@@ -2,22 +2,45 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairnspark.plans.scratch import materialise
 
+#: Distinct edges up to which one task finds the components, in a few MB and without rounds.
+ONE_TASK = 500_000
 
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
+
+def _roots(group: pa.Table) -> pa.Table:
+    """Components of a bounded edge list: larger roots are hooked to smaller ones until all edges agree."""
+    ids, inverse = np.unique(np.concatenate((group.column("x").to_numpy(), group.column("r").to_numpy())), return_inverse=True)
+    x, y = np.split(inverse, 2)
+    root = np.arange(len(ids))
+    while True:
+        a, b = root[x], root[y]
+        differ = a != b
+        if not differ.any():
+            return pa.table({"id": ids, "component": ids[root]})
+        np.minimum.at(root, np.maximum(a, b)[differ], np.minimum(a, b)[differ])
+        while (root[root] != root).any():
+            root = root[root]
+
+
+def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", one_task: int = ONE_TASK) -> DataFrame:
     """``(id, component)`` for every id on an edge; ``component`` is the smallest id of its component.
 
     Every edge points from the larger to the smaller end.  A round keeps, for each node, the edge to its smallest
     neighbour, links its other neighbours to that one (hooking), and lets every edge skip a node that points further down
     (pointer jumping); it ends when neither changes anything, after about log(diameter) rounds.  Each round is written to
-    the shared folder.  Loops and repeated edges do no harm; ids must not be null.
+    the shared folder.  Loops and repeated edges do no harm; ids must not be null.  At most ``one_task`` distinct edges go
+    to one task instead.
     """
     a, b = F.col(src), F.col(dst)
     every = materialise(edges.where(a.isNotNull() & b.isNotNull()).select(F.greatest(a, b).alias("x"), F.least(a, b).alias("r")).distinct())
+    if one_task and every.count() <= one_task:
+        return materialise(every.withColumn("one", F.lit(1)).groupBy("one").applyInArrow(_roots, "id long, component long"))
     loops, pairs = every.where("x = r").select(F.col("x").alias("id")), every.where("x <> r")
     while True:
         least = materialise(pairs.groupBy("x").agg(F.min("r").alias("m")))

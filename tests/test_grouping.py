@@ -54,7 +54,8 @@ def test_dbscan_limits(spark):
     assert dbscan(from_numpy(spark, np.array(TWO_LINES)).where("id < 0"), 0.3, 2).labels.count() == 0
 
 
-def test_components_match_union_find(spark):
+@pytest.mark.parametrize("one_task", [0, 1000])
+def test_components_match_union_find(spark, one_task):
     rng = np.random.default_rng(1)
     edges = rng.integers(0, 300, (220, 2))
     edges = np.vstack((edges, [(i, i + 1) for i in range(1000, 1100)], [(7, 7)]))
@@ -68,7 +69,7 @@ def test_components_match_union_find(spark):
     for a, b in edges.tolist():
         a, b = find(a), find(b)
         parent[max(a, b)] = min(a, b)
-    found = connected_components(spark.createDataFrame(edges.tolist(), "src long, dst long"))
+    found = connected_components(spark.createDataFrame(edges.tolist(), "src long, dst long"), one_task=one_task)
     assert {r.id: r.component for r in found.collect()} == {a: find(a) for a in {v for e in edges.tolist() for v in e}}
 
 
