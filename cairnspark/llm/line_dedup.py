@@ -27,7 +27,7 @@ from cairnspark.operators.components import connected_components
 
 from . import rarity
 from .common import hash_words, join_groups, materialise, mix, slices, strings, table, words_of
-from .groups import Overlaps, blocks, dealt, numbers, similar, spanning, with_ids
+from .groups import BROADCAST_ROWS, Overlaps, blocks, dealt, numbers, similar, spanning, with_ids
 
 #: Postings that a task compares, about; longer lists than LIST are dealt over pairs of blocks.
 RANGE, LIST = 400_000, 8192
@@ -221,49 +221,45 @@ def set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def repeated_in(group: pa.Table) -> pa.Table:
-    """The sets of one group that are similar to one that occurs earlier."""
+    """Where the sets of one group first occur that are similar to one that occurs earlier."""
     doc = group.column("doc_id").fill_null(np.iinfo(np.int64).min).to_numpy()
-    every = group.column("sid").to_numpy()
-    _, first = np.unique(every, return_index=True)  # rows that share a doc_id may bring a set twice
+    _, first = np.unique(group.column("sid").to_numpy(), return_index=True)  # rows that share a doc_id may bring a set twice
     order = first[np.lexsort((group.column("line").to_numpy()[first], doc[first]))]
-    sids = every[order]
     tokens = group.column("tokens").to_pylist()
     overlaps = Overlaps([np.frombuffer(tokens[k], dtype=np.uint64) for k in order])
-    out = [sids[k] for k in range(1, len(order)) if similar(overlaps.n[k], overlaps.n[:k], overlaps.of(k)[:k]).any()]
-    return pa.table({"sid": pa.array(out, pa.int64())})
+    out = order[[k for k in range(1, len(order)) if similar(overlaps.n[k], overlaps.n[:k], overlaps.of(k)[:k]).any()]] if len(order) > 1 else order[:0]
+    return group.select(["doc_id", "line"]).take(pa.array(out))
 
 
-def decisions(docs: DataFrame) -> DataFrame:
-    """doc_id, line (from 0), removed: a row for every line."""
+def removed(docs: DataFrame) -> DataFrame:
+    """doc_id, line (from 0) of every line that goes."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     everything = materialise(docs.mapInArrow(measured, SLICES).withColumn("slice", F.monotonically_increasing_id()))
     parts = everything.where("cells IS NULL")
     shared = rarity.shared_cells(spark, rarity.total(everything.where("cells IS NOT NULL").select("cells")))
-    rows = materialise(parts.select("doc_ids", "lines", "n", "sid").mapInArrow(listed, "doc_id long, line int, sid long"))
+    rows = materialise(parts.select("doc_ids", "lines", "n", "sid").mapInArrow(listed, "doc_id long, line int, sid long").where("sid IS NOT NULL"))
     ranges = max(1, (parts.agg(F.sum("postings")).first()[0] or 0) // RANGE)
     splits = spark.sparkContext.broadcast(list_splits(parts, shared))
     postings = parts.select("n", "sid", "tokens").mapInArrow(lambda it: indexed(it, shared, splits, ranges), "range int, postings binary")
     edges = postings.groupBy("range").applyInArrow(candidates_in, "src long, dst long")
-    members = connected_components(edges).select(F.col("id").alias("sid"), "component")
-    place = F.struct("doc_id", "line")
-    firsts = materialise(rows.where("sid IS NOT NULL").groupBy("sid").agg(F.min(place).alias("first"), F.count("*").alias("_size")))
-    wanted = blocks(members.join(firsts, "sid")).select(F.col("first.doc_id").alias("doc_id"), F.struct("sid", "component", "first.doc_id", "first.line", "parts").alias("w"))
+    members = materialise(connected_components(edges).select(F.col("id").alias("sid"), "component"))
+    firsts = materialise(rows.groupBy("sid").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("_size")))
+    wanted = blocks(with_ids(firsts, members, "sid")).select(F.col("first.doc_id").alias("doc_id"), F.struct("sid", "component", "first.doc_id", "first.line", "parts").alias("w"))
     wanted = materialise(wanted.groupBy("doc_id").agg(F.collect_list("w").alias("wanted")))  # no more than the document has lines
     found = with_ids(docs, wanted, "doc_id").select("text", "wanted").mapInArrow(set_rows, "sid long, component long, doc_id long, line int, parts array<string>, tokens binary")
     sets = found.select("sid", "component", "doc_id", "line", F.explode("parts").alias("part"), "tokens")
-    repeated = materialise(sets.groupBy("component", "part").applyInArrow(repeated_in, "sid long").distinct().withColumn("repeated", F.lit(True)))
-    known = materialise(firsts.join(repeated, "sid", "left").where("_size > 1 OR repeated"))
-    joined = join_groups(rows.where("sid IS NOT NULL"), known, "sid", "_size", rows.count())
-    removed = joined.select("doc_id", "line", (F.coalesce("repeated", F.lit(False)) | (F.struct("doc_id", "line") > F.col("first"))).alias("removed"))
-    rest = rows.join(known.select("sid"), "sid", "left_anti").select("doc_id", "line", F.lit(False).alias("removed"))
-    return removed.unionByName(rest)
+    similar_ = sets.groupBy("component", "part").applyInArrow(repeated_in, "doc_id long, line int")
+    again = materialise(firsts.where("_size > 1"))
+    n, few = rows.count(), again.count() <= BROADCAST_ROWS
+    equal = rows.join(F.broadcast(again), "sid") if few else join_groups(rows, again, "sid", "_size", n)
+    return similar_.unionByName(equal.where(F.struct("doc_id", "line") > F.col("first")).select("doc_id", "line"))
 
 
 def clean(docs: DataFrame) -> DataFrame:
     """``docs`` with the text that is left, and n_lines, n_removed and removed_lines (numbers from 0, ascending).  ``docs`` needs doc_id and text."""
-    gone = materialise(decisions(docs).where("removed").groupBy("doc_id").agg(F.array_sort(F.collect_set("line")).alias("removed_lines")).withColumnRenamed("doc_id", "_id"))
-    small = gone.count() <= 1_000_000  # broadcast only if known to be small
+    gone = materialise(removed(docs).groupBy("doc_id").agg(F.array_sort(F.collect_set("line")).alias("removed_lines")).withColumnRenamed("doc_id", "_id"))
+    small = gone.count() <= BROADCAST_ROWS
     joined = docs.join(F.broadcast(gone) if small else gone, docs["doc_id"].eqNullSafe(gone["_id"]), "left").drop("_id")
     lines = F.split(F.col("text"), "\n", -1)
     left = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("removed_lines", i)), "\n")
