@@ -54,7 +54,7 @@ def counts_in(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBa
 def log_ratios(docs: DataFrame, labels: DataFrame, most: int = TARGET_DOCS) -> np.ndarray:
     """log p_target - log p_raw of each bucket."""
     spark = docs.sparkSession
-    good = labels.where("quality = 1 AND toxic = 0 AND doc_id IS NOT NULL").select("doc_id").distinct().orderBy(F.xxhash64(F.lit(3), F.col("doc_id")), "doc_id").limit(most)
+    good = labels.where("quality = 1 AND coalesce(toxic, 0) = 0 AND doc_id IS NOT NULL").select("doc_id").distinct().orderBy(F.xxhash64(F.lit(3), F.col("doc_id")), "doc_id").limit(most)
     target = spark.sparkContext.broadcast(np.sort(np.array([r.doc_id for r in good.collect()], dtype=np.int64)))
     counted = docs.select("doc_id", "text").mapInArrow(lambda it: counts_in(it, target), "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
     raw, wanted = np.zeros(BUCKETS), np.zeros(BUCKETS)

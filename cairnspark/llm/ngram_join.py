@@ -280,14 +280,14 @@ def components(docs: DataFrame) -> DataFrame:
     together = repeated.select("slice", nothing.alias("n"), nothing.alias("sid"), "tokens", "owner", "steps").unionByName(heads.select("slice", "n", "sid", nothing.alias("tokens"), nothing.alias("owner"), nothing.alias("steps")))
     postings = together.groupBy("slice").applyInArrow(lambda g: indexed_in(g, ranges), "range int, postings binary")
     salted = rows.count() > SALT_ROWS  # no signature has more sets than there are
-    candidates = connected_components(neighbours(postings, salted)).select(F.col("id").alias("sid"), "component")
+    candidates = connected_components(neighbours(postings, salted), one_task=0).select(F.col("id").alias("sid"), "component")
     owners = rows.where("sid IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("doc_id"))
     members = materialise(blocks(candidates.join(owners, "sid")))
     found = with_ids(docs, members, "doc_id").select("sid", "component", "parts", "text").mapInArrow(set_rows, "own long, sid long, component long, parts array<string>, tokens binary")
     # a doc_id that several rows share may bring other sets
     sets = found.where("own = sid").select("sid", "component", F.explode("parts").alias("part"), "tokens")
     links = materialise(sets.groupBy("component", "part").applyInArrow(compared, "src long, dst long"))
-    labels = connected_components(links).select(F.col("id").alias("sid"), F.col("component").alias("root"))
+    labels = connected_components(links, one_task=0).select(F.col("id").alias("sid"), F.col("component").alias("root"))
     n = rows.count()
     known = materialise(rows.join(labels, "sid", "left").withColumn("root", F.coalesce("root", "sid")))
     per_root = materialise(known.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("_size")))
