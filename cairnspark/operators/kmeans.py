@@ -55,18 +55,21 @@ def local_trials(k: int) -> int:
 def greedy_seeds(cloud: DataFrame, k: int, seed: int, n: int, d: int) -> np.ndarray:
     """Greedy k-means++: the first uniform; then, of a few candidates drawn by squared distance, the one that leaves the least; uniform where all distances are 0."""
     rng = generator(seed)
+    bounds = tuple(cloud.agg(F.min("id"), F.max("id")).first())
     ids = _uniform(cloud, [float(rng.integers(n))])
     chosen = np.array([_fetch(cloud, ids)[ids[0]]])
+    total = None
     for _ in range(1, k):
-        weights = assign(cloud, chosen).select("id", F.col("d2").alias("w")).persist(StorageLevel.MEMORY_AND_DISK)
-        total = weights.agg(F.sum("w")).first()[0]
+        weights = assign(cloud, chosen).select("id", F.col("d2").alias("w"))
+        if total is None:
+            total = weights.agg(F.sum("w")).first()[0]
         draws = rng.random(local_trials(k))
-        ids = prefix_pick(weights, (draws * total).tolist()) if total > 0 else _uniform(cloud, (draws * n).tolist())
-        weights.unpersist()
+        ids = prefix_pick(weights, (draws * total).tolist(), bounds=bounds) if total > 0 else _uniform(cloud, (draws * n).tolist())
         found = _fetch(cloud, list(set(ids)))
         candidates = np.array([found[i] for i in ids])
         potential = _potentials(cloud, chosen, candidates)
-        chosen = np.vstack((chosen, candidates[int(np.argmin(potential))]))
+        best = int(np.argmin(potential))
+        chosen, total = np.vstack((chosen, candidates[best])), potential[best]
     return chosen
 
 

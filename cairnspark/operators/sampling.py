@@ -19,22 +19,22 @@ def unit_hash(seed: int, *columns: str):
     return (F.shiftrightunsigned(F.xxhash64(F.lit(seed), *[F.col(c) for c in columns]), 11).cast("double") + 0.5) / float(1 << 53)
 
 
-def prefix_sums(rows: DataFrame, value: str = "w", order: str = "id") -> DataFrame:
-    """``rows`` with ``prefix``, the inclusive prefix sum of ``value`` by ``order``: within ranges of the order, then over them."""
-    bounds = rows.agg(F.min(order).alias("a"), F.max(order).alias("b")).first()
-    if bounds.a is None:
+def prefix_sums(rows: DataFrame, value: str = "w", order: str = "id", bounds: tuple[int, int] | None = None) -> DataFrame:
+    """``rows`` with ``prefix``, the inclusive prefix sum of ``value`` by ``order``: within ranges of the order, then over them.  ``bounds``: its least and greatest value, where known."""
+    low, high = bounds or rows.agg(F.min(order), F.max(order)).first()
+    if low is None:
         return rows.withColumn("prefix", F.col(value))
-    width = max(1, -(-(bounds.b - bounds.a + 1) // RANGES))
-    ranged = rows.withColumn("_range", F.floor((F.col(order) - bounds.a) / width))
+    width = max(1, -(-(high - low + 1) // RANGES))
+    ranged = rows.withColumn("_range", F.floor((F.col(order) - low) / width))
     ahead = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     base = ranged.groupBy("_range").agg(F.sum(value).alias("s")).select("_range", F.coalesce(F.sum("s").over(ahead), F.lit(0.0)).alias("_base"))
     inner = F.sum(value).over(Window.partitionBy("_range").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
     return ranged.withColumn("_inner", inner).join(base, "_range").withColumn("prefix", F.col("_base") + F.col("_inner")).drop("_range", "_base", "_inner")
 
 
-def prefix_pick(rows: DataFrame, draws: list[float], value: str = "w", order: str = "id") -> list[int]:
+def prefix_pick(rows: DataFrame, draws: list[float], value: str = "w", order: str = "id", bounds: tuple[int, int] | None = None) -> list[int]:
     """For each draw, an amount of weight, the first id whose prefix sum exceeds it; draws beyond the total give the last id of positive weight."""
-    cumulated = prefix_sums(rows, value, order).where(F.col(value) > 0)
+    cumulated = prefix_sums(rows, value, order, bounds).where(F.col(value) > 0)
     picks = [F.min(F.when(F.col("prefix") > u, F.col(order))).alias(f"p{k}") for k, u in enumerate(draws)]
     row = cumulated.agg(F.max(order).alias("last"), *picks).first()
     return [row.last if row[f"p{k}"] is None else row[f"p{k}"] for k in range(len(draws))]
