@@ -4,7 +4,7 @@ Lines (between line feeds) are sets of words, A-Z lower-cased.  Two lines match
 is 0.8 or more, and of two matching lines the later one, by doc_id and then line number, is removed.  Equal sets are one
 node that stands where it first occurs.  For the others, the words of a set are ordered by rarity and its prefix is
 indexed; two sets under one word are a candidate if their lengths allow it, if the positions of the word leave enough
-words behind it, and if 128-bit parities of the sets don't already differ in more bits than similar sets can.  Candidates
+words behind it, and if parities of the sets (64 bits, more for long ones) don't already differ in more bits than similar sets can.  Candidates
 are joined into components, whose sets are compared exactly.
 
 Defined results: a line without words never matches and stays; a null text stays null, without lines; the smallest id of a
@@ -32,8 +32,20 @@ from .groups import BROADCAST_ROWS, Overlaps, blocks, dealt, numbers, similar, s
 #: Postings that a task compares, about; longer lists than LIST are dealt over pairs of blocks.
 RANGE, LIST = 400_000, 8192
 SLICES = "doc_ids array<bigint>, lines binary, n binary, sid binary, tokens binary, postings long, cells binary"
-#: A token of a list: the list, the set, its size, the token's place in it, and the set's parities.
-POSTING = np.dtype([("key", "<u4"), ("n", "<u4"), ("place", "<u4"), ("sid", "<i8"), ("low", "<u8"), ("high", "<u8")])
+#: Parities have more words of 64 bits the more tokens a set has, as the bits in which similar sets may differ grow with
+#: their size; from how many tokens on, and how many words.  Wider ones fold into narrower ones.
+TIERS = ((0, 1), (64, 2), (192, 8))
+#: A token of a list: the list, the set, its size, the token's place in it, and the set's parity.
+POSTINGS = {words: np.dtype([("key", "<u4"), ("n", "<u4"), ("place", "<u4"), ("sid", "<i8"), ("parity", "<u8", (words,))]) for _, words in TIERS}
+
+
+def words_for(n: np.ndarray) -> np.ndarray:
+    return np.array([w for _, w in TIERS])[np.searchsorted([begin for begin, _ in TIERS], n, side="right") - 1]
+
+
+def folded(parity: np.ndarray, words: int) -> np.ndarray:
+    """Parities of fewer words: a bit's word is its number modulo ``words``."""
+    return np.stack([np.bitwise_xor.reduce(parity[:, k::words], axis=1) for k in range(words)], axis=1)
 
 
 class Lines:
@@ -118,9 +130,15 @@ def prefixes(n: np.ndarray, sid: np.ndarray, tokens: np.ndarray, cells: np.ndarr
         tokens = tokens[np.lexsort((tokens, rank, line))].astype(np.uint64)
     begins = np.cumsum(n) - n
     bits = mix(tokens)
-    one = np.uint64(1) << (bits & np.uint64(63))
-    half = bits & np.uint64(64) > 0
-    parities = [np.bitwise_xor.reduceat(np.where(h, one, np.uint64(0)), begins) for h in (~half, half)]
+    one, word = np.uint64(1) << (bits & np.uint64(63)), bits >> np.uint64(6)
+    parities = {}
+    for words in POSTINGS:
+        tier = words_for(n) == words
+        if tier.any():
+            mine = np.repeat(tier, n)
+            at = np.cumsum(n[tier]) - n[tier]
+            parities[words] = np.zeros((len(n), words), dtype=np.uint64)
+            parities[words][tier] = np.stack([np.bitwise_xor.reduceat(np.where(word[mine] % np.uint64(words) == k, one[mine], np.uint64(0)), at) for k in range(words)], axis=1)
     own = np.repeat(np.arange(len(n)), n)
     place = np.arange(len(tokens)) - begins[own]
     kept = np.flatnonzero(place < prefix_of(n)[own])
@@ -145,7 +163,7 @@ def indexed(batches: Iterator[pa.RecordBatch], shared, shared_splits, ranges: in
             found = prefixes(numbers(n, "<i4"), numbers(sid, "<i8"), numbers(tokens, "<u4"), cells, seen)
             if not found:
                 continue
-            n, sid, (low, high), tokens, own, place = found
+            n, sid, parities, tokens, own, place = found
             # a long list: pairs of blocks of its sets
             split = splits[(tokens >> np.uint64(32 - rarity.CELL_BITS)).astype(np.int64)].astype(np.int64)
             if split.max(initial=1) > 1:
@@ -156,10 +174,15 @@ def indexed(batches: Iterator[pa.RecordBatch], shared, shared_splits, ranges: in
                 tokens, own, place = tokens[many], own[many], place[many]
                 tokens = tokens + (low_block.astype(np.uint64) << np.uint64(32)) + (high_block.astype(np.uint64) << np.uint64(48))
             key = mix(tokens + np.uint64(1))
-            out = np.empty(len(key), dtype=POSTING)
-            for name, x in (("key", key >> np.uint64(32)), ("n", n[own]), ("place", place), ("sid", sid[own]), ("low", low[own]), ("high", high[own])):
-                out[name] = x
-            yield dealt(out, (key & np.uint64(0xFFFFFFFF)).astype(np.int64) % ranges)
+            to = (key & np.uint64(0xFFFFFFFF)).astype(np.int64) % ranges
+            tier = words_for(n)[own]
+            for words, parity in parities.items():
+                mine = tier == words
+                out = np.empty(int(mine.sum()), dtype=POSTINGS[words])
+                for name, x in (("key", key[mine] >> np.uint64(32)), ("n", n[own[mine]]), ("place", place[mine]), ("sid", sid[own[mine]]), ("parity", parity[own[mine]])):
+                    out[name] = x
+                blobs = dealt(out, to[mine])
+                yield blobs.append_column("words", pa.array(np.full(len(blobs), words, dtype=np.int32)))
 
 
 def list_splits(parts: DataFrame, shared) -> np.ndarray:
@@ -174,10 +197,19 @@ def candidates_in(group: pa.Table) -> pa.Table:
 
     By list and size, row r meets row r + k for k = 1, 2, ... while any two are of one list and of fitting length.
     """
-    rows = np.concatenate([numbers(v, POSTING) for v in group.column("postings")])
-    rows = rows[np.argsort(rows["key"].astype(np.uint64) << np.uint64(32) | rows["n"])]
-    key, sid, low, high = (np.ascontiguousarray(rows[x]) for x in ("key", "sid", "low", "high"))
-    n, place = rows["n"].astype(np.int64), rows["place"].astype(np.int64)
+    kinds = group.column("words").to_numpy()
+    tiers = {words: np.concatenate([numbers(v, kind) for v in group.column("postings").filter(pa.array(kinds == words))] or [np.zeros(0, kind)]) for words, kind in POSTINGS.items()}
+    key, n, place, sid = (np.concatenate([t[x] for t in tiers.values()]) for x in ("key", "n", "place", "sid"))
+    order = np.argsort(key.astype(np.uint64) << np.uint64(32) | n)
+    key, n, place, sid = (x[order] for x in (key, n.astype(np.int64), place.astype(np.int64), sid))
+    # for each width, the parities of the sets that have it, and where each row's is
+    widths, held = words_for(n), {}
+    for words in POSTINGS:
+        enough = widths >= words
+        at = np.full(len(n), -1)
+        at[enough] = np.arange(int(enough.sum()))
+        every = [folded(t["parity"], words) if w >= words else np.zeros((len(t), words), np.uint64) for w, t in tiers.items()]
+        held[words] = (at, np.concatenate(every)[order][enough])
     # the smaller of two sets shares a token in a shorter prefix: their overlap is at least 8/9 of its size
     short = place < n - (8 * n + 8) // 9 + 1
     at, src, dst, k = np.flatnonzero(short[:-1]), [], [], 1
@@ -185,12 +217,16 @@ def candidates_in(group: pa.Table) -> pa.Table:
         other = at + k
         at = at[(key[at] == key[other]) & (5 * n[at] >= 4 * n[other])]
         other = at + k
-        most = (n[at] + n[other]) // 9  # tokens in which similar sets differ at most
-        good = np.bitwise_count(low[at] ^ low[other]) <= most
-        x, y = at[good], other[good]
-        differ = np.bitwise_count(low[x] ^ low[y]).astype(np.int64) + np.bitwise_count(high[x] ^ high[y])
+        x, y = at, other
+        for at_of, parity in held.values():  # narrow ones first
+            if not len(parity):
+                break
+            i, j = at_of[x], at_of[y]
+            differ = np.bitwise_count(parity[i] ^ parity[j]).sum(axis=1)
+            good = (i < 0) | (j < 0) | (differ <= (n[x] + n[y]) // 9)  # tokens in which similar sets differ at most
+            x, y = x[good], y[good]
         left = np.minimum(n[x] - place[x], n[y] - place[y]) + np.minimum(place[x], place[y])
-        good = (sid[x] != sid[y]) & (differ <= most[good]) & (9 * left >= 4 * (n[x] + n[y]))
+        good = (sid[x] != sid[y]) & (9 * left >= 4 * (n[x] + n[y]))
         if good.any():
             src.append(sid[x[good]])
             dst.append(sid[y[good]])
@@ -241,9 +277,9 @@ def removed(docs: DataFrame) -> DataFrame:
     rows = materialise(parts.select("doc_ids", "lines", "n", "sid").mapInArrow(listed, "doc_id long, line int, sid long").where("sid IS NOT NULL"))
     ranges = max(1, (parts.agg(F.sum("postings")).first()[0] or 0) // RANGE)
     splits = spark.sparkContext.broadcast(list_splits(parts, shared))
-    postings = parts.select("n", "sid", "tokens").mapInArrow(lambda it: indexed(it, shared, splits, ranges), "range int, postings binary")
+    postings = parts.select("n", "sid", "tokens").mapInArrow(lambda it: indexed(it, shared, splits, ranges), "range int, postings binary, words int")
     edges = postings.groupBy("range").applyInArrow(candidates_in, "src long, dst long")
-    members = materialise(connected_components(edges).select(F.col("id").alias("sid"), "component"))
+    members = materialise(connected_components(edges, one_task=0).select(F.col("id").alias("sid"), "component"))
     firsts = materialise(rows.groupBy("sid").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("_size")))
     wanted = blocks(with_ids(firsts, members, "sid")).select(F.col("first.doc_id").alias("doc_id"), F.struct("sid", "component", "first.doc_id", "first.line", "parts").alias("w"))
     wanted = materialise(wanted.groupBy("doc_id").agg(F.collect_list("w").alias("wanted")))  # no more than the document has lines
@@ -274,3 +310,35 @@ def clean(docs: DataFrame) -> DataFrame:
 def op1_line_dedup(spark, sf_dir: str) -> DataFrame:
     out = clean(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "text", "n_lines", "n_removed", F.array_join(F.transform("removed_lines", lambda k: k.cast("string")), ",").alias("removed_lines"))
+
+
+SQL = r"""
+WITH d AS (
+  SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents
+), l AS (
+  SELECT doc_id, generate_subscripts(lines, 1) - 1 AS k, unnest(lines) AS line FROM d WHERE text IS NOT NULL
+), w AS (
+  SELECT doc_id, k, list_sort(list_distinct(list_filter(regexp_split_to_array(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> ''))) AS s
+  FROM l
+), sets AS (
+  SELECT row_number() OVER () AS id, s, first FROM (SELECT s, min((doc_id, k)) AS first FROM w WHERE len(s) > 0 GROUP BY s)
+), t AS (
+  SELECT id, len(s) AS n, unnest(s) AS tok FROM sets
+), p AS (
+  SELECT id, n, tok FROM (SELECT id, n, tok, row_number() OVER (PARTITION BY id ORDER BY c, tok) AS r FROM (SELECT *, count(*) OVER (PARTITION BY tok) AS c FROM t)) WHERE r <= n - (4 * n + 4) // 5 + 1
+), cand AS (
+  SELECT DISTINCT a.id AS a, b.id AS b FROM p a JOIN p b ON a.tok = b.tok WHERE a.id <> b.id AND a.n <= b.n AND 5 * a.n >= 4 * b.n
+), bad AS (
+  SELECT DISTINCT CASE WHEN x.first < y.first THEN y.id ELSE x.id END AS id FROM cand JOIN sets x ON x.id = a JOIN sets y ON y.id = b
+  WHERE 9 * len(list_intersect(x.s, y.s)) >= 4 * (len(x.s) + len(y.s))
+), gone AS (
+  SELECT w.doc_id, list(w.k ORDER BY w.k) AS ks FROM w JOIN sets ON w.s = sets.s LEFT JOIN bad ON bad.id = sets.id
+  WHERE (w.doc_id, w.k) <> sets.first OR bad.id IS NOT NULL GROUP BY w.doc_id
+)
+SELECT d.doc_id,
+       CASE WHEN ks IS NULL THEN text ELSE array_to_string(list_transform(list_filter(range(len(lines)), lambda k: NOT list_contains(ks, k)), lambda k: lines[k + 1]), chr(10)) END AS text,
+       CASE WHEN text IS NULL THEN 0 ELSE len(lines) END::INTEGER AS n_lines,
+       coalesce(len(ks), 0)::INTEGER AS n_removed,
+       coalesce(array_to_string(ks, ','), '') AS removed_lines
+FROM d LEFT JOIN gone ON d.doc_id = gone.doc_id
+"""

@@ -144,9 +144,10 @@ def brute_lines(rows):
     return out
 
 
-@pytest.mark.parametrize("long_list", [8192, 3])
-def test_line_dedup_matches_brute_force(docs, monkeypatch, long_list):
+@pytest.mark.parametrize("long_list,tiers", [(8192, ((0, 1), (64, 2), (192, 8))), (3, ((0, 1), (8, 2), (11, 8)))])
+def test_line_dedup_matches_brute_force(docs, monkeypatch, long_list, tiers):
     monkeypatch.setattr(line_dedup, "LIST", long_list)
+    monkeypatch.setattr(line_dedup, "TIERS", tiers)
     monkeypatch.setattr(groups, "MOST", 5)
     monkeypatch.setattr(groups, "BLOCK", 2)
     lines = [t for t in families(5, 260, 14, 60)]
