@@ -1,13 +1,15 @@
 """Quality classifier by importance resampling: hashed n-gram models of target and raw text, and Gumbel top-k.
 
-Both models are bags of hashed words and word pairs (BUCKETS of them).  The raw model counts every document; the target
-model counts the labelled documents of good quality that aren't toxic, at most TARGET_DOCS of them, chosen by a hash of
-their id.  A document's log weight is the sum, over its features, of the log ratio of the two models.  Adding Gumbel noise
-(from a hash of the id, so that reruns agree) and taking the k largest draws k documents without replacement in
-proportion to their weights.  k is ``share`` of all documents; by default the share that the labels give to good ones.
+Both models are bags of hashed words and word pairs (WORD_BUCKETS and PAIR_BUCKETS of them, apart, so that pairs don't
+drown words).  The raw model counts every document; the target model counts the labelled documents of good quality that
+aren't toxic, at most TARGET_DOCS of them, chosen by a hash of their id.  A document's log weight is the sum, over its
+features, of the log ratio of the two models without the document's own counts, so that it is no better for having been a
+target; PSEUDO counts pull ratios of rare features to 1.  Adding Gumbel noise (from a hash of the id, so that reruns agree)
+and taking the k largest draws k documents without replacement in proportion to their weights.  k is ``share`` of all
+documents; by default the share that the labels give to good ones.
 
 Defined results: a null text has no features and log weight 0; rows with equal doc_id are scored each on its own and share
-their noise; ties in the key go to the smaller id; without any label of the target kind the models are equal and the draw
+their noise; ties in the key go to the smaller id; without any label of the target kind all weights are equal and the draw
 is uniform; an empty table gives an empty result; extra columns aren't read.
 """
 
@@ -22,59 +24,79 @@ from pyspark.sql import functions as F
 
 from .common import hash_words, materialise, mix, slices, strings, table, words_of
 
-BUCKETS, TARGET_DOCS, SMOOTHING = 1 << 16, 20_000, 1.0
+WORD_BUCKETS, PAIR_BUCKETS, TARGET_DOCS, PSEUDO, FAN_IN = 1 << 19, 1 << 18, 20_000, 10.0, 4
+BUCKETS = WORD_BUCKETS + PAIR_BUCKETS
 
 
 def hashed(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of each text's words and word pairs, and offsets: of n words, first n words, then n - 1 pairs."""
+    """Buckets of all words and then of all word pairs of some texts, and the text of each."""
     ends, words = words_of(texts)
-    word = hash_words(words.dictionary)[np.asarray(words.indices)] if len(words) else np.zeros(0, np.uint64)
+    word = mix(hash_words(words.dictionary))[np.asarray(words.indices)] if len(words) else np.zeros(0, np.uint64)
     n = np.diff(ends)
-    pair = mix(word[:-1] * np.uint64(0x9E3779B97F4A7C15) + word[1:]) if len(word) else word
+    pair = mix(word[:-1] * np.uint64(0x9E3779B97F4A7C15) + word[1:])
     owner = np.repeat(np.arange(len(n)), n)
     inside = owner[:-1] == owner[1:]
-    every = np.concatenate((mix(word), pair[inside])) % np.uint64(BUCKETS)
-    row = np.concatenate((owner, owner[:-1][inside]))
-    return every.astype(np.int64), row
+    every = np.concatenate((word % np.uint64(WORD_BUCKETS), pair[inside] % np.uint64(PAIR_BUCKETS) + np.uint64(WORD_BUCKETS)))
+    return every.astype(np.int64), np.concatenate((owner, owner[:-1][inside]))
+
+
+def targets_in(ids: pa.Array, target: np.ndarray) -> np.ndarray:
+    return np.isin(ids.fill_null(0).to_numpy(zero_copy_only=False), target) & np.asarray(ids.is_valid())
 
 
 def counts_in(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
+    """The task's counts of each bucket, in all texts and in those of the target, as one row."""
     target, total = shared.value, np.zeros((2, BUCKETS), dtype=np.int64)
     for batch in batches:
-        texts = strings(batch.column(1))
-        chosen = np.isin(batch.column(0).fill_null(-1).to_numpy(zero_copy_only=False), target)
+        texts, chosen = strings(batch.column(1)), targets_in(batch.column(0), target)
         for a, b in slices(texts):
             every, row = hashed(texts[a:b])
             total[0] += np.bincount(every, minlength=BUCKETS)
             total[1] += np.bincount(every[chosen[a:b][row]], minlength=BUCKETS)
-    there = np.flatnonzero(total[0])
-    yield pa.record_batch([pa.array(there), pa.array(total[0][there]), pa.array(total[1][there])], names=["bucket", "raw", "target"])
+    yield pa.record_batch([pa.array([packed(total)], pa.binary())], names=["counts"])
 
 
-def log_ratios(docs: DataFrame, labels: DataFrame, most: int = TARGET_DOCS) -> np.ndarray:
-    """log p_target - log p_raw of each bucket."""
-    spark = docs.sparkSession
+def packed(counts: np.ndarray) -> bytes:
+    return np.minimum(counts, np.iinfo(np.uint32).max).astype("<u4").tobytes()
+
+
+def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(2 * BUCKETS, dtype=np.int64)
+    for batch in batches:
+        for value in batch.column(0):
+            total += np.frombuffer(value.as_buffer(), "<u4")
+    yield pa.record_batch([pa.array([packed(total)], pa.binary())], names=["counts"])
+
+
+def models(docs: DataFrame, target) -> np.ndarray:
+    """Counts of the raw and the target model by bucket: one row of 6 MiB a task, added up by a tree of tasks; counts stop at 2**32 - 1."""
+    rows = materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lambda it: counts_in(it, target), "counts binary"))
+    parts = rows.rdd.getNumPartitions()
+    while parts > 1:
+        parts = -(-parts // FAN_IN)
+        rows = materialise(rows.coalesce(parts).mapInArrow(added, "counts binary"))
+    return sum((np.frombuffer(r.counts, "<u4") for r in rows.collect()), np.zeros(2 * BUCKETS, dtype=np.int64)).astype(np.uint32).reshape(2, BUCKETS)
+
+
+def target_ids(labels: DataFrame, most: int = TARGET_DOCS) -> np.ndarray:
     good = labels.where("quality = 1 AND coalesce(toxic, 0) = 0 AND doc_id IS NOT NULL").select("doc_id").distinct().orderBy(F.xxhash64(F.lit(3), F.col("doc_id")), "doc_id").limit(most)
-    target = spark.sparkContext.broadcast(np.sort(np.array([r.doc_id for r in good.collect()], dtype=np.int64)))
-    counted = docs.select("doc_id", "text").mapInArrow(lambda it: counts_in(it, target), "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
-    raw, wanted = np.zeros(BUCKETS), np.zeros(BUCKETS)
-    for r in counted.collect():  # a row per bucket
-        raw[r.bucket], wanted[r.bucket] = r.raw, r.target
-    if not wanted.sum():
-        return np.zeros(BUCKETS)
-    # the raw model serves as prior of the target's, so a bucket that the bounded target sample misses only by chance isn't punished
-    p = (raw + SMOOTHING) / (raw.sum() + SMOOTHING * BUCKETS)
-    prior = SMOOTHING * BUCKETS
-    return np.log((wanted + prior * p) / (wanted.sum() + prior)) - np.log(p)
-
-
-def weights_in(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
-    ratio = shared.value
+    return np.sort(np.array([r.doc_id for r in good.collect()], dtype=np.int64))
+
+
+def weights_in(batches: Iterator[pa.RecordBatch], shared_counts, shared_target) -> Iterator[pa.RecordBatch]:
+    (raw, wanted), target = shared_counts.value, shared_target.value
+    share = wanted.sum(dtype=np.int64) / max(1, raw.sum(dtype=np.int64))
     for batch in batches:
-        texts = strings(batch.column(1))
+        texts, chosen = strings(batch.column(1)), targets_in(batch.column(0), target)
         for a, b in slices(texts):
             every, row = hashed(texts[a:b])
-            yield pa.record_batch([batch.column(0)[a:b], pa.array(np.bincount(row, ratio[every], b - a).astype(float)), pa.array(np.bincount(row, minlength=b - a))], names=["doc_id", "log_weight", "n_features"])
+            key, times = np.unique(row << 20 | every, return_counts=True)
+            doc, bucket = key >> 20, key & ((1 << 20) - 1)
+            if share:
+                ratio = np.log((wanted[bucket].astype(float) - times * chosen[a:b][doc] + PSEUDO * share) / (raw[bucket].astype(float) - times + PSEUDO) / share)
+            else:
+                ratio = np.zeros(len(key))
+            yield pa.record_batch([batch.column(0)[a:b], pa.array(np.bincount(doc, ratio * times, b - a).astype(float)), pa.array(np.bincount(row, minlength=b - a))], names=["doc_id", "log_weight", "n_features"])
 
 
 def top_k(rows: DataFrame, k: int, key: str = "key", step: float = 1e-4) -> DataFrame:
@@ -101,8 +123,9 @@ def resample(docs: DataFrame, labels: DataFrame, share: float | None = None, see
     if share is None:
         share = labels.where("quality IS NOT NULL").agg(F.avg(((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).cast("double"))).first()[0]
         share = 0.5 if share is None else share
-    ratio = spark.sparkContext.broadcast(log_ratios(docs, labels))
-    weighed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lambda it: weights_in(it, ratio), "doc_id long, log_weight double, n_features long")
+    target = spark.sparkContext.broadcast(target_ids(labels))
+    counts = spark.sparkContext.broadcast(models(docs, target))
+    weighed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lambda it: weights_in(it, counts, target), "doc_id long, log_weight double, n_features long")
     uniform = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("doc_id")), 11).cast("double") + 0.5) / float(1 << 53)
     rows = materialise(weighed.withColumn("key", F.col("log_weight") - F.log(-F.log(uniform))))
     return top_k(rows, round(share * rows.count())).select("doc_id", "n_features", "log_weight", "key", "kept")
