@@ -7,7 +7,8 @@ MOST_CHARS each at most), so the tables are of bounded size for each language; p
 nothing but the text.
 
 Rejection is calibrated on the sample: a fifth of it isn't learned from, and a document is rejected when its
-cross-entropy is above CEILING times the largest that such a document of the same language has (and when it has no letter).
+cross-entropy is above CEILING times the largest that such a document of the same language has, with an allowance for
+short texts (and when it has no letter).
 
 Defined results: a null text or one without letters is ``und`` with score 0, rejected; with no labelled document at all,
 every text is; ties go to the first language by code point; documents with a null lang aren't learned from; an empty
@@ -28,6 +29,8 @@ from pyspark.sql import functions as F
 from .common import crc_mod, mix, slices, strings, table, words_of
 
 ORDER, DOCS_A_LANGUAGE, MOST_CHARS, CEILING = 5, 400, 50_000, 1.5
+#: A text of so many characters may have twice the cross-entropy before it is rejected.
+SHORT = 32
 UNKNOWN = "und"
 #: Probability of a character that no language has seen: one of so many.
 ALPHABET = 1 << 16
@@ -228,7 +231,8 @@ def predicted(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBa
             lowest = rate[np.arange(b - a), best] if len(model.languages) else np.zeros(b - a)
             score = np.where(lettered, np.minimum(1.0, 1 / np.exp2(-np.clip(bits - (lowest * np.maximum(length, 1))[:, None], 0, 1000)).sum(axis=1)) if len(model.languages) else 0, 0)
             names = [model.languages[k] if ok else UNKNOWN for k, ok in zip(best, lettered, strict=True)]
-            over = ~lettered | (lowest > model.ceiling[best] if len(model.languages) else True)
+            # short texts vary more
+            over = ~lettered | (lowest > model.ceiling[best] * (1 + SHORT / np.maximum(length, 1)) if len(model.languages) else True)
             yield pa.record_batch([batch.column(0)[a:b], pa.array(names, pa.string()), pa.array(score, pa.float64()), pa.array(np.where(lettered, lowest, 0.0), pa.float64()), pa.array(over, pa.bool_())], names=["doc_id", "lang_pred", "score", "cross_entropy", "rejected"])
 
 
