@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MOST, BLOCK = 1000, 500
-#: Rows of (id, component) that are broadcast at most; above, the join shuffles.
-BROADCAST_ROWS = 2_000_000
+#: Entries, of some 100 bytes at most, that are broadcast at most; above, the join shuffles.
+BROADCAST_ROWS = 500_000
 
 
 def similar(n_a: np.ndarray, n_b: np.ndarray, both: np.ndarray) -> np.ndarray:
@@ -89,9 +89,10 @@ def blocks(members: DataFrame, component: str = "component", node: str = "sid")
     return rows.withColumn("parts", F.when(F.col("_b").isNull(), F.array(F.lit(""))).otherwise(pairs)).drop("_own", "_b")
 
 
-def with_ids(docs: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
-    """``docs`` joined with ``wanted`` by ``key``: by broadcast if ``wanted`` has few rows, else by shuffle."""
-    return docs.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted, key)
+def with_ids(docs: DataFrame, wanted: DataFrame, key: str, lists: str | None = None) -> DataFrame:
+    """``docs`` joined with ``wanted`` by ``key``: by broadcast if ``wanted`` has few entries, those of the column ``lists`` or else its rows; else by shuffle."""
+    entries = wanted.agg(F.coalesce(F.sum(F.size(lists)), F.lit(0)) if lists else F.count("*")).first()[0]
+    return docs.join(F.broadcast(wanted) if entries <= BROADCAST_ROWS else wanted, key)
 
 
 def without_ids(docs: DataFrame, gone: DataFrame, key: str) -> DataFrame:

@@ -283,7 +283,7 @@ def removed(docs: DataFrame) -> DataFrame:
     firsts = materialise(rows.groupBy("sid").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("_size")))
     wanted = blocks(with_ids(firsts, members, "sid")).select(F.col("first.doc_id").alias("doc_id"), F.struct("sid", "component", "first.doc_id", "first.line", "parts").alias("w"))
     wanted = materialise(wanted.groupBy("doc_id").agg(F.collect_list("w").alias("wanted")))  # no more than the document has lines
-    found = with_ids(docs, wanted, "doc_id").select("text", "wanted").mapInArrow(set_rows, "sid long, component long, doc_id long, line int, parts array<string>, tokens binary")
+    found = with_ids(docs, wanted, "doc_id", "wanted").select("text", "wanted").mapInArrow(set_rows, "sid long, component long, doc_id long, line int, parts array<string>, tokens binary")
     sets = found.select("sid", "component", "doc_id", "line", F.explode("parts").alias("part"), "tokens")
     similar_ = sets.groupBy("component", "part").applyInArrow(repeated_in, "doc_id long, line int")
     again = materialise(firsts.where("_size > 1"))
@@ -295,7 +295,7 @@ def removed(docs: DataFrame) -> DataFrame:
 def clean(docs: DataFrame) -> DataFrame:
     """``docs`` with the text that is left, and n_lines, n_removed and removed_lines (numbers from 0, ascending).  ``docs`` needs doc_id and text."""
     gone = materialise(removed(docs).groupBy("doc_id").agg(F.array_sort(F.collect_set("line")).alias("removed_lines")).withColumnRenamed("doc_id", "_id"))
-    small = gone.count() <= BROADCAST_ROWS
+    small = gone.agg(F.coalesce(F.sum(F.size("removed_lines")), F.lit(0))).first()[0] <= 8 * BROADCAST_ROWS  # a number each
     joined = docs.join(F.broadcast(gone) if small else gone, docs["doc_id"].eqNullSafe(gone["_id"]), "left").drop("_id")
     lines = F.split(F.col("text"), "\n", -1)
     left = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("removed_lines", i)), "\n")

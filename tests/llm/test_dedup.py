@@ -90,6 +90,7 @@ def test_ngram_join_matches_brute_force(docs, monkeypatch, common_from, salt_row
 def test_ngram_join_in_blocks(docs, monkeypatch):
     monkeypatch.setattr(groups, "MOST", 4)
     monkeypatch.setattr(groups, "BLOCK", 2)
+    monkeypatch.setattr(groups, "BROADCAST_ROWS", -1)
     texts = families(3, 80)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.components(docs(texts)).collect()}
     assert got == brute_components(list(enumerate(texts)))
@@ -148,6 +149,9 @@ def brute_lines(rows):
 def test_line_dedup_matches_brute_force(docs, monkeypatch, long_list, tiers):
     monkeypatch.setattr(line_dedup, "LIST", long_list)
     monkeypatch.setattr(line_dedup, "TIERS", tiers)
+    if long_list == 3:  # nothing is broadcast
+        monkeypatch.setattr(groups, "BROADCAST_ROWS", -1)
+        monkeypatch.setattr(line_dedup, "BROADCAST_ROWS", -1)
     monkeypatch.setattr(groups, "MOST", 5)
     monkeypatch.setattr(groups, "BLOCK", 2)
     lines = [t for t in families(5, 260, 14, 60)]
