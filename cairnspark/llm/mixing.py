@@ -47,8 +47,14 @@ def measured(docs: DataFrame, id_column: str = "doc_id", source_column: str = "s
     return docs.select(F.col(id_column).alias("doc_id"), F.col(source_column).cast("string").alias("source"), words.alias("size"))
 
 
+#: Keys are the first so many bits of SHA-256, a multiple of 4.
+KEY_BITS = 60
+
+
 def key_of(seed: int, doc_id: str = "doc_id", size: str = "size") -> Column:
-    return F.xxhash64(F.lit(seed), F.col(doc_id), F.col(size))
+    """A hash-random key, of equal rows equal; any engine with SHA-256 can make it."""
+    text = F.concat_ws("/", F.lit(str(seed)), F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.col(size).cast("string"))
+    return F.conv(F.substring(F.sha2(text.cast("binary"), 256), 1, KEY_BITS // 4), 16, 10).cast("long")
 
 
 def plan(docs: DataFrame, seed: int = 17, **columns: str) -> DataFrame:
@@ -63,9 +69,9 @@ def plan(docs: DataFrame, seed: int = 17, **columns: str) -> DataFrame:
     cuts = []
     for s, size in sizes.items():
         epochs = int(target[s] // size) if size else 0
-        cuts.append((s is not None, s or "", size, target[s], epochs, min(size, int(round(target[s] - epochs * size)))))
+        cuts.append((s is not None, s or "", size, target[s], epochs, min(size, math.floor(target[s] - epochs * size + 0.5))))
     cut = F.broadcast(spark.createDataFrame(cuts, schema))  # one row per source
-    shift = 64 - max(1, math.ceil(math.log2(max(2.0, math.sqrt(max(n, 1))))))
+    shift = KEY_BITS - max(1, math.ceil(math.log2(max(2.0, math.sqrt(max(n, 1))))))
     rows = rows.select("doc_id", F.col("source").isNotNull().alias("has"), F.coalesce("source", F.lit("")).alias("source"), "size", "key", F.shiftright("key", shift).alias("range"))
     group = ["has", "source"]
     ahead = Window.partitionBy(*group).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
@@ -90,7 +96,7 @@ def mix(docs: DataFrame, seed: int = 17) -> DataFrame:
     ends = planned.groupBy("source").agg(F.max("epochs").alias("_epochs"), whole.alias("_whole"), cut.alias("_cut_at")).withColumnRenamed("source", "_source")
     ends = F.broadcast(materialise(ends))  # one row per source
     words = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD)).cast("long")
-    rows = docs.withColumn("_size", words).withColumn("_key", F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("_size")))
+    rows = docs.withColumn("_size", words).withColumn("_key", key_of(seed, "doc_id", "_size"))
     rows = rows.join(ends, rows["source"].cast("string").eqNullSafe(ends["_source"]))
     again = (F.col("_key") <= F.col("_whole")) & (F.col("_size") > 0)
     times = F.when(F.col("_size") > 0, F.col("_epochs") + F.coalesce(again, F.lit(False)).cast("int")).otherwise(0).cast("int")
@@ -106,3 +112,30 @@ def mix(docs: DataFrame, seed: int = 17) -> DataFrame:
 
 def op4_source_mixing(spark, sf_dir: str) -> DataFrame:
     return plan(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents
+), k AS (
+  SELECT *, ('0x' || substr(sha256('17/' || coalesce(doc_id::VARCHAR, '') || '/' || size::VARCHAR), 1, 15))::BIGINT AS key FROM d
+), s AS (
+  SELECT source, sum(size)::BIGINT AS source_size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1.0::DOUBLE AS w FROM d GROUP BY source
+), o AS (  -- the sources that fill up are the first by size a weight
+  SELECT *, (sum(source_size) OVER () - coalesce(sum(3 * source_size) OVER (ORDER BY source_size / w, w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
+            / (sum(w) OVER (ORDER BY source_size / w, w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS unit,
+         row_number() OVER (ORDER BY source_size / w, w, source NULLS LAST) AS r FROM s
+), u AS (
+  SELECT unit, r FROM o WHERE unit * w <= 3 * source_size ORDER BY r LIMIT 1
+), t AS (
+  SELECT source, source_size, CASE WHEN o.r < coalesce((SELECT r FROM u), 9e18) THEN 3.0::DOUBLE * source_size ELSE (SELECT unit FROM u) * w END AS target FROM o
+), e AS (
+  SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS epochs FROM t
+), p AS (
+  SELECT k.doc_id, k.size, e.source_size, e.target, e.epochs,
+         least(e.source_size, floor(e.target - e.epochs * e.source_size + 0.5)::BIGINT) AS rest,
+         coalesce(sum(k.size) OVER (PARTITION BY k.source ORDER BY k.key, k.doc_id, k.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM k JOIN e ON k.source IS NOT DISTINCT FROM e.source
+)
+SELECT doc_id, size, source_size, target, (epochs * size + greatest(0, least(size, rest - before)))::BIGINT AS taken FROM p
+"""

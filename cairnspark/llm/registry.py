@@ -19,6 +19,7 @@ QUERIES = {
 
 SQL = {
     "op1_line_dedup": line_dedup.SQL,
+    "op4_source_mixing": mixing.SQL,
     "op8_exact_dedup": exact_dedup.SQL,
     "op10_ngram_jaccard_join": ngram_join.SQL,
 }

@@ -180,7 +180,7 @@ def test_registered_queries():
     assert sorted(int(re.match(r"op(\d+)_", k)[1]) for k in names) == list(range(1, 11)) and "pipeline" in __spark_entry__.queries()
 
 
-@pytest.mark.parametrize("name", ["op8_exact_dedup", "op10_ngram_jaccard_join"])
+@pytest.mark.parametrize("name", ["op1_line_dedup", "op4_source_mixing", "op8_exact_dedup", "op10_ngram_jaccard_join"])
 def test_query_matches_sql(spark, name):
     import duckdb
 
