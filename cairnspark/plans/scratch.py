@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -18,6 +20,7 @@ def scratch_root(spark: SparkSession) -> str:
         return root
     if not _own_dir:
         _own_dir.append(tempfile.mkdtemp(prefix="cairnspark-"))
+        atexit.register(shutil.rmtree, _own_dir[0], ignore_errors=True)
     return "file://" + _own_dir[0]
 
 
