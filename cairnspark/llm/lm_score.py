@@ -8,9 +8,9 @@ and an unknown one by the share that discounting frees, as one event.
 
 How it scales: text is cut into chunks (one row each) of CHUNK bytes at most with a vocabulary of their own.  Words and
 n-grams are counted chunk by chunk in numpy and meet, as sorted blobs, in ranges of their hash or key; ranges return the
-exact count of every chunk's every word, so nothing that grows with the vocabulary is broadcast.  The tries are: of each
-order, n-grams rarer than 1 in MOST_NGRAMS (and those seen once) are pruned, so at most MOST_NGRAMS are kept, some 3 bytes
-each, whatever the corpus.  Each range of n-grams becomes a trie of its own; workers map the file of all of them.
+exact count of every chunk's every word, so nothing that grows with the vocabulary is broadcast.  N-grams seen LEAST
+times are kept, the same at every size, so the tries grow with the corpus.  Each range of n-grams becomes a trie of its
+own; workers map the file of all of them.
 
 Defined results: a null text is the end alone; rows with equal doc_id are scored each on its own; a null id is trained on
 or not as the empty text is; without training documents all tokens are unknown and share one event of probability 1; an
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import crc_mod, hash_words, materialise, slices, strings, table, words_of
 from .elias_fano import LEVELS, Trie, quantised
 
-CHUNK, VOCABULARY, MOST_NGRAMS, DISCOUNT = 8 << 20, 8190, 1 << 23, 0.75
+CHUNK, VOCABULARY, LEAST, DISCOUNT = 8 << 20, 8190, 2, 0.75
 BITS = 13
 OTHER, END = VOCABULARY, VOCABULARY + 1
 END_HASH = np.int64(0x7EDC0FFEE0DDF00D)
@@ -189,13 +189,13 @@ def merged(group: pa.Table) -> pa.Table:
     return pa.Table.from_batches([rows([part], (pa.int32(), pa.int64(), pa.binary(), pa.binary()), ["range", "chunk", "keys", "counts"])])
 
 
-def built(group: pa.Table, least: int) -> pa.Table:
+def built(group: pa.Table) -> pa.Table:
     """The trie of one range; contexts aren't cut by ranges."""
     key, count = added([np.cumsum(numbers(v, "<i8")) for v in group.column("keys")], [numbers(v, "<u4") for v in group.column("counts")])
     r = group.column("range")[0].as_py()
     context, inverse = np.unique(key >> BITS, return_inverse=True)
     total = np.bincount(inverse, count)
-    keep = count >= least
+    keep = count >= LEAST
     key, count, inverse = key[keep], count[keep], inverse[keep]
     share = (count - DISCOUNT) / total[inverse]
     left = 1 - np.bincount(inverse, LEVELS[quantised(share)], len(context))
@@ -302,8 +302,7 @@ def score(docs: DataFrame, held_out) -> DataFrame:
     while groups > FAN_IN:
         groups = -(-groups // FAN_IN)
         blobs = blobs.withColumn("chunk", F.pmod(F.xxhash64("chunk"), F.lit(groups))).groupBy("range", "chunk").applyInArrow(merged, BLOBS)
-    least = max(2, -(-unigrams.n // MOST_NGRAMS))
-    tries = {r["range"]: bytes(r["trie"]) for r in blobs.groupBy("range").applyInArrow(lambda g: built(g, least), "range int, trie binary").collect()}  # MOST_NGRAMS of each order at most
+    tries = {r["range"]: bytes(r["trie"]) for r in blobs.groupBy("range").applyInArrow(built, "range int, trie binary").collect()}
     by_order = [[tries.get(-1 - r, b"") for r in range(len(cuts[0]) + 1)], [tries.get(r, b"") for r in range(len(cuts[1]) + 1)]]
     model = spark.sparkContext.broadcast(Model(uuid.uuid4().hex, unigrams, cuts, by_order))
     answers = counted.where("chunk IS NOT NULL").groupBy("chunk").agg(F.collect_list(F.struct("range", "totals")).alias("answers"))

@@ -105,6 +105,14 @@ def test_lm_matches_plain_interpolation(docs):
         assert got[i] == pytest.approx(want)
 
 
+def test_lm_keeps_ngrams_whatever_the_size(docs, monkeypatch):
+    """A phrase seen twice is worth its pairs and triples, however large the corpus beside it (a small cap stands for a large corpus)."""
+    monkeypatch.setattr(lm_score, "MOST_NGRAMS", 50, raising=False)
+    texts = ["red blue green"] * 2 + [f"x{k % 7} y{k % 5} z{k % 3}" for k in range(100)]
+    got = {r.doc_id: r for r in lm_score.score(docs(texts), F.lit(False)).collect()}
+    assert got[0].score > got[0].base_score + 5
+
+
 def test_lm_edges(docs):
     assert lm_score.score(docs([]), F.lit(False)).count() == 0
     none = lm_score.score(docs(["a b", None]), F.lit(True)).collect()
