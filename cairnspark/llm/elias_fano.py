@@ -113,6 +113,10 @@ def quantised(p: np.ndarray) -> np.ndarray:
 LEVELS = 10.0 ** (np.arange(256) * LEAST / 255)
 
 
+def words_in(keys: np.ndarray, order: int, bits: int) -> list[np.ndarray]:
+    return [keys >> (bits * (order - 1 - k)) & ((1 << bits) - 1) for k in range(order)]
+
+
 class Trie:
     """N-grams of one order as a trie: a level for each of its words.
 
@@ -128,39 +132,51 @@ class Trie:
     @classmethod
     def of(cls, keys: np.ndarray, order: int, bits: int, probability: np.ndarray, left: np.ndarray) -> Trie:
         """``keys``: distinct ascending, ``bits`` for each word; ``probability`` of each; ``left`` of each distinct context, ascending."""
-        word, begin, pointer, parents = [], [], [], None
-        for k in range(order):
-            nodes = np.unique(keys >> (bits * (order - 1 - k)))
-            if parents is None:
-                word.append(EliasFano.of(nodes, 1 << bits))
+        return cls.of_words(words_in(keys, order, bits), 1 << bits, probability, left)
+
+    @classmethod
+    def of_words(cls, columns: list[np.ndarray], universe: int, probability: np.ndarray, left: np.ndarray) -> Trie:
+        """Of n-grams, distinct and ascending, whose k-th words are ``columns[k]``, below ``universe``."""
+        word, begin, pointer, n = [], [], [], len(columns[0])
+        new, parent_of = np.arange(n) < 1, None
+        for own in columns:
+            new = new.copy()
+            new[1:] |= own[1:] != own[:-1]
+            nodes = np.flatnonzero(new)
+            own = own[nodes]
+            if parent_of is None:
+                word.append(EliasFano.of(own, universe))
             else:
-                parent = np.searchsorted(parents, nodes >> bits)
-                own = nodes & ((1 << bits) - 1)
+                parent = parent_of[nodes]
                 last = np.append(np.flatnonzero(parent[1:] != parent[:-1]), len(nodes) - 1) if len(nodes) else np.zeros(0, np.int64)
                 begins = np.concatenate(([0], np.cumsum(own[last] + 1)))
                 begin.append(EliasFano.of(begins, int(begins[-1]) + 1))
                 pointer.append(EliasFano.of(np.concatenate(([0], last + 1)), len(nodes) + 1))
                 word.append(EliasFano.of(begins[parent] + own, int(begins[-1]) + 1))
-            parents = nodes
-        return cls(order, word, begin, pointer, quantised(probability), quantised(left))
-
-    def look_up(self, keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-        """For each key: its discounted probability (0 if unseen), and what its context leaves to lower orders (1 if unseen)."""
-        mask = (1 << bits) - 1
-        out, rest = np.zeros(len(keys)), np.ones(len(keys))
-        at = np.arange(len(keys))
-        node = self.word[0].find(keys >> (bits * (self.order - 1)))
+            parent_of = np.cumsum(new) - 1
+        return cls(len(columns), word, begin, pointer, quantised(probability), quantised(left))
+
+    def find(self, columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """For each n-gram: its leaf, and the node of its context; -1 if unseen."""
+        leaf, context = np.full(len(columns[0]), -1, dtype=np.int64), np.full(len(columns[0]), -1, dtype=np.int64)
+        at = np.arange(len(columns[0]))
+        node = self.word[0].find(columns[0])
         for k in range(1, self.order):
             at, node = at[node >= 0], node[node >= 0]
             if k == self.order - 1:
-                rest[at] = LEVELS[self.left[node]]
-            own = keys[at] >> (bits * (self.order - 1 - k)) & mask
+                context[at] = node
+            own = columns[k][at]
             first, end = self.begin[k - 1].get(node), self.begin[k - 1].get(node + 1)
             inside = first + own < end
             at, value = at[inside], (first + own)[inside]
             node = self.word[k].find(value)
-        out[at[node >= 0]] = LEVELS[self.probability[node[node >= 0]]]
-        return out, rest
+        leaf[at] = node
+        return leaf, context
+
+    def look_up(self, keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+        """For each key: its discounted probability (0 if unseen), and what its context leaves to lower orders (1 if unseen)."""
+        leaf, context = self.find(words_in(keys, self.order, bits))
+        return np.where(leaf >= 0, LEVELS[self.probability[leaf]], 0.0), np.where(context >= 0, LEVELS[self.left[context]], 1.0)
 
     def dump(self) -> bytes:
         arrays = {"probability": self.probability, "left": self.left, "order": np.array([self.order])}

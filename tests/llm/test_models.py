@@ -113,6 +113,18 @@ def test_lm_keeps_ngrams_whatever_the_size(docs, monkeypatch):
     assert got[0].score > got[0].base_score + 5
 
 
+def test_lm_has_ngrams_of_rare_words(docs, monkeypatch):
+    """Words beyond any most frequent ones have pairs and triples of their own, and cuts within contexts change nothing."""
+    filler = [" ".join(f"f{k * 50 + j}" for j in range(50)) for k in range(200)]
+    texts = ["rare phrase here"] * 2 + filler * 3
+    got = {r.doc_id: r for r in lm_score.score(docs(texts), F.lit(False)).collect()}
+    assert got[0].score > got[0].base_score + 9
+    monkeypatch.setattr(lm_score, "CHUNK", 10_000)
+    monkeypatch.setattr(lm_score, "RANGE", 300)
+    again = {r.doc_id: r.score for r in lm_score.score(docs(texts), F.lit(False)).collect()}
+    assert all(again[i] == pytest.approx(r.score) for i, r in got.items())
+
+
 def test_lm_edges(docs):
     assert lm_score.score(docs([]), F.lit(False)).count() == 0
     none = lm_score.score(docs(["a b", None]), F.lit(True)).collect()
