@@ -80,17 +80,18 @@ class EliasFano:
         """The index of the successor of x where it is x itself, else -1; elements are distinct and x is below the universe."""
         h, part = x >> self.width, x & ((1 << self.width) - 1)
         at, end = self._before(h), self._before(h + 1)
+        low, high = at.copy(), end.copy()
+        left = np.flatnonzero(low < high)
+        while len(left):  # values may lie close together, so the range is halved
+            middle = (low[left] + high[left]) >> 1
+            less = self._low(middle) < part[left]
+            low[left[less]] = middle[less] + 1
+            high[left[~less]] = middle[~less]
+            left = left[low[left] < high[left]]
+        inside = np.flatnonzero(low < end)
+        hit = inside[self._low(low[inside]) == part[inside]]
         out = np.full(len(x), -1, dtype=np.int64)
-        left = np.flatnonzero(at < end)
-        at = at.copy()
-        while len(left):
-            low = self._low(at[left])
-            hit = low == part[left]
-            out[left[hit]] = at[left[hit]]
-            more = low < part[left]
-            left = left[more]
-            at[left] += 1
-            left = left[at[left] < end[left]]
+        out[hit] = low[hit]
         return out
 
     def arrays(self, name: str) -> dict[str, np.ndarray]:
