@@ -26,15 +26,28 @@ def crc_mod(id_column: str, modulus: int) -> Column:
 HOT_SHARE = 0.001
 
 
-def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, n: int) -> DataFrame:
-    """Inner join of ``rows`` with ``groups`` (one row per ``key``, ``size`` rows of it in ``rows``, ``n`` rows in all).
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, n: int, how: str = "inner") -> DataFrame:
+    """Inner or left join of ``rows`` with ``groups`` (one row per ``key``, ``size`` rows of it in ``rows``, ``n`` rows in all).
 
     Hot keys, of which there are at most 1 / HOT_SHARE, are joined by broadcast, so no task gathers one key; the others by shuffle.
     """
     least = max(2.0, n * HOT_SHARE)
     hot = F.broadcast(groups.where(F.col(size) >= least))
     cold = groups.where(F.col(size) < least)
-    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(cold, key))
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(cold, key, how))
+
+
+#: Stands for a null id where ids are joined or ordered: the smallest.
+FIRST = -(1 << 63)
+
+
+def id_key(column: str = "doc_id") -> Column:
+    return F.coalesce(F.col(column).cast("long"), F.lit(FIRST))
+
+
+def text_key(column: str = "text") -> Column:
+    """64 bits that tell rows of one id apart by their text."""
+    return F.xxhash64(F.coalesce(F.col(column), F.lit("")))
 
 
 def strings(column: pa.Array | pa.ChunkedArray) -> pa.Array:

@@ -89,12 +89,7 @@ def blocks(members: DataFrame, component: str = "component", node: str = "sid")
     return rows.withColumn("parts", F.when(F.col("_b").isNull(), F.array(F.lit(""))).otherwise(pairs)).drop("_own", "_b")
 
 
-def with_ids(docs: DataFrame, wanted: DataFrame, key: str, lists: str | None = None) -> DataFrame:
-    """``docs`` joined with ``wanted`` by ``key``: by broadcast if ``wanted`` has few entries, those of the column ``lists`` or else its rows; else by shuffle."""
-    entries = wanted.agg(F.coalesce(F.sum(F.size(lists)), F.lit(0)) if lists else F.count("*")).first()[0]
-    return docs.join(F.broadcast(wanted) if entries <= BROADCAST_ROWS else wanted, key)
-
-
-def without_ids(docs: DataFrame, gone: DataFrame, key: str) -> DataFrame:
-    """``docs`` without those whose ``key`` is in ``gone``: by broadcast if ``gone`` has few rows, else by shuffle."""
-    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, key, "left_anti")
+def beside(docs: DataFrame, few: DataFrame, keys: list[str], how: str = "inner", lists: str | None = None) -> DataFrame:
+    """``docs`` joined with the materialised ``few`` by ``keys``: by broadcast if ``few`` has few entries, those of the column ``lists`` or else its rows; else by shuffle."""
+    entries = few.agg(F.coalesce(F.sum(F.size(lists)), F.lit(0)) if lists else F.count("*")).first()[0]
+    return docs.join(F.broadcast(few) if entries <= BROADCAST_ROWS else few, keys, how)

@@ -27,7 +27,7 @@ from cairnspark.operators.components import connected_components
 
 from . import rarity
 from .common import hash_words, join_groups, materialise, mix, slices, strings, table, words_of
-from .groups import BROADCAST_ROWS, Overlaps, blocks, dealt, numbers, similar, spanning, with_ids
+from .groups import BROADCAST_ROWS, Overlaps, beside, blocks, dealt, numbers, similar, spanning
 
 #: Postings that a task compares, about; longer lists than LIST are dealt over pairs of blocks.
 RANGE, LIST = 400_000, 8192
@@ -281,9 +281,9 @@ def removed(docs: DataFrame) -> DataFrame:
     edges = postings.groupBy("range").applyInArrow(candidates_in, "src long, dst long")
     members = materialise(connected_components(edges, one_task=0).select(F.col("id").alias("sid"), "component"))
     firsts = materialise(rows.groupBy("sid").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("_size")))
-    wanted = blocks(with_ids(firsts, members, "sid")).select(F.col("first.doc_id").alias("doc_id"), F.struct("sid", "component", "first.doc_id", "first.line", "parts").alias("w"))
+    wanted = blocks(beside(firsts, members, ["sid"])).select(F.col("first.doc_id").alias("doc_id"), F.struct("sid", "component", "first.doc_id", "first.line", "parts").alias("w"))
     wanted = materialise(wanted.groupBy("doc_id").agg(F.collect_list("w").alias("wanted")))  # no more than the document has lines
-    found = with_ids(docs, wanted, "doc_id", "wanted").select("text", "wanted").mapInArrow(set_rows, "sid long, component long, doc_id long, line int, parts array<string>, tokens binary")
+    found = beside(docs, wanted, ["doc_id"], lists="wanted").select("text", "wanted").mapInArrow(set_rows, "sid long, component long, doc_id long, line int, parts array<string>, tokens binary")
     sets = found.select("sid", "component", "doc_id", "line", F.explode("parts").alias("part"), "tokens")
     similar_ = sets.groupBy("component", "part").applyInArrow(repeated_in, "doc_id long, line int")
     again = materialise(firsts.where("_size > 1"))

@@ -8,38 +8,41 @@ a similar set may miss, and then two similar sets share two tokens of one subcla
 subclasses follows the set's size (one per SUBCLASS tokens, by size band), so the pairs are as many as the tokens; a set
 also joins the family of the next band, where the larger sets are.  Sets below SMALL tokens index common tokens singly.
 
-Nodes next to each other by size under one signature, sizes permitting, are joined into candidate components (this keeps
-every candidate pair together without listing it); within those all sets are compared exactly.
+Candidates are pairs of sets of fitting sizes under one signature, and each is verified by the exact size of its
+intersection, in two rounds.  The first takes, under each signature, every set and the next by size: as many pairs as
+postings, whatever the lists' lengths.  Its links give components.  The second takes, under the signatures whose sets
+aren't all of one component by then, the other pairs of different components.  A group of near copies is one component
+after the first round; documents that share passages but aren't similar are pairs that fail, and never a group.
+
+Postings are sorted by ranges of (signature, size, set), so a signature that many sets have spans several tasks.
 
 Defined results: a null text or one without words has an empty set and no links; fewer than five words are one shingle;
-rows with equal doc_id are nodes by their own texts; an empty table gives an empty result; extra columns aren't read.
+rows with equal doc_id are nodes by their own texts; a null id is the component_id only of its own row without links; an
+empty table gives an empty result; extra columns aren't read, and :func:`keep_one` carries them.
 """
 
 from __future__ import annotations
 
 import math
-import os
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairnspark.operators.components import connected_components
 
-from .common import hash_words, join_groups, materialise, mix, slices, strings, table, words_of
-from .groups import Overlaps, blocks, dealt, numbers, similar, spanning, with_ids, without_ids
+from .common import hash_words, id_key, join_groups, materialise, mix, slices, strings, table, text_key, words_of
+from .groups import beside, numbers
 
 WORDS, SUBCLASS, SMALL = 5, 16, 16
 ODD = np.uint64(0x9E3779B97F4A7C15)
-#: A signature that may have more nodes is dealt over several tasks.
-SALT_ROWS = 100_000
 #: From how many sets on a token is common, and how many bytes of text have about the tokens that a task counts.
 COMMON, RANGE_BYTES = 512, 16 << 20
-#: A signature's list, the set, its size, and whether the list is dealt over several ranges.
-POSTING = np.dtype([("key", "<u4"), ("n", "<u4"), ("sid", "<i8"), ("salted", "u1")])
+#: Sets of the smaller components under one signature that meet the others in one task.
+LIST = 1024
 
 
 def shingle_sets(texts: pa.Array, words: int = WORDS) -> Iterator[np.ndarray]:
@@ -67,77 +70,61 @@ def node_of(tokens: np.ndarray) -> int:
     return int(mix(np.array([mix(tokens).sum(dtype=np.uint64) + np.uint64(len(tokens))], dtype=np.uint64)).view(np.int64)[0])
 
 
-SLICES = "slice long, range int, doc_ids array<bigint>, n binary, sid binary, low binary, high binary, owner binary"
-
-
-def row_of(types: tuple, names: list[str], *values) -> pa.RecordBatch:
-    return pa.record_batch([pa.array([v], t) for v, t in zip(values, types, strict=True)], names=names)
+def nodes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each row its id and text key, the size of its set and the set's hash (null for an empty set)."""
+    for batch in batches:
+        texts = strings(batch.column(2))
+        for a, b in slices(texts):
+            sets = list(shingle_sets(texts[a:b]))
+            yield pa.record_batch([batch.column(0)[a:b], batch.column(1)[a:b], pa.array([len(s) for s in sets], pa.int64()), pa.array([node_of(s) if len(s) else None for s in sets], pa.int64())], names=["doc_id", "text_key", "n", "sid"])
 
 
-def measured(batches: Iterator[pa.RecordBatch], ranges: int) -> Iterator[pa.RecordBatch]:
-    """For each slice of texts a row (range null) with ids, sizes and nodes, and a row with its tokens for each range.
+def tokens_of(batches: Iterator[pa.RecordBatch], ranges: int) -> Iterator[pa.RecordBatch]:
+    """For each slice of texts, the tokens (48 bits of the hash) and the sets that have them, a row for each range of tokens.
 
-    Tokens are 48 bits of the hash, with the place of their document in the slice; sets that the task has seen, and those
-    below four tokens, to which only an equal set is similar, send none.
+    Sets that the task has seen, and those below four tokens, to which only an equal set is similar, send none.
     """
-    types, names, seen = (pa.int64(), pa.int32(), pa.list_(pa.int64()), *(pa.binary(),) * 5), ["slice", "range", "doc_ids", "n", "sid", "low", "high", "owner"], set()
+    seen: set[int] = set()
     for batch in batches:
-        texts = strings(batch.column(1))
+        texts = strings(batch.column(0))
         for a, b in slices(texts):
-            sets = list(shingle_sets(texts[a:b]))
-            n = np.array([len(s) for s in sets])
-            sid = np.array([node_of(s) if len(s) else 0 for s in sets], dtype=np.int64)
-            name = int.from_bytes(os.urandom(8), "little") >> 1
-            yield row_of(types, names, name, None, batch.column(0)[a:b].to_pylist(), n.astype("<i4").tobytes(), sid.astype("<i8").tobytes(), None, None, None)
-            new = []
-            for k in np.flatnonzero(n >= 4).tolist():
-                if int(sid[k]) not in seen:
-                    seen.add(int(sid[k]))
-                    new.append(k)
+            own, tokens = [], []
+            for s in shingle_sets(texts[a:b]):
+                if len(s) >= 4 and (sid := node_of(s)) not in seen:
+                    seen.add(sid)
+                    tokens.append(s >> np.uint64(16))
+                    own.append(np.full(len(s), sid))
             if len(seen) > 500_000:
                 seen.clear()
-            if not new:
+            if not tokens:
                 continue
-            tokens = np.concatenate([sets[k] for k in new]) >> np.uint64(16)
-            owner = np.repeat(np.array(new, dtype=np.uint32), n[new])
-            high = (tokens >> np.uint64(32)).astype(np.uint16)
-            order = np.argsort(high, kind="stable")
-            high, low, owner = high[order], (tokens & np.uint64(0xFFFFFFFF)).astype(np.uint32)[order], owner[order]
-            cut = np.searchsorted(high.astype(np.int64) * ranges >> 16, np.arange(ranges + 1))
-            for r in np.flatnonzero(np.diff(cut)).tolist():
-                x = slice(cut[r], cut[r + 1])
-                yield row_of(types, names, name, r, None, None, None, low[x].tobytes(), high[x].tobytes(), owner[x].tobytes())
-
-
-def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for docs, n, sid in zip(*(batch.column(k) for k in range(3)), strict=True):
-            n, sid = numbers(n, "<i4").astype(np.int64), numbers(sid, "<i8")
-            yield pa.record_batch([pa.array(docs.as_py(), pa.int64()), pa.array(n), pa.array(sid, mask=n == 0)], names=["doc_id", "n", "sid"])
-
-
-def repeated_in(group: pa.Table) -> pa.Table:
-    """Of one range, a row for each slice with the tokens that occur more than once, and how often they do (eight steps for each doubling)."""
-    parts = [[numbers(v, kind) for v in group.column(c)] for c, kind in (("low", "<u4"), ("high", "<u2"), ("owner", "<u4"))]
-    slices_, sizes = group.column("slice").to_numpy(), np.array([len(x) for x in parts[0]])
-    low, high, owner = (np.concatenate(x) for x in parts)
+            tokens, own = np.concatenate(tokens), np.concatenate(own)
+            to = (tokens >> np.uint64(32)).astype(np.int64) * ranges >> 16
+            order = np.argsort(to, kind="stable")
+            to, tokens, own = to[order], tokens[order], own[order]
+            there, begin = np.unique(to, return_index=True)
+            parts = lambda x: pa.array([p.tobytes() for p in np.split(x, begin[1:])], pa.binary())  # noqa: B023, E731
+            yield pa.record_batch([pa.array(there.astype(np.int32)), parts(tokens.astype(np.uint32)), parts((tokens >> np.uint64(32)).astype(np.uint16)), parts(own)], names=["range", "low", "high", "sid"])
+
+
+def repeated_in(group: pa.Table, buckets: int) -> pa.Table:
+    """Of one range, the tokens that several sets have, with how many (eight steps for each doubling), a row for each bucket of sets."""
+    low, high, sid = (np.concatenate([numbers(v, kind) for v in group.column(c)]) for c, kind in (("low", "<u4"), ("high", "<u2"), ("sid", "<i8")))
     tokens = high.astype(np.uint64) << np.uint64(32) | low
-    order = np.argsort(tokens)
-    ranked = tokens[order]
-    first = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1]))
-    counts = np.diff(np.append(first, len(ranked)))
-    often = np.empty(len(tokens), dtype=np.int64)
-    often[order] = np.repeat(counts, counts)
-    keep = often > 1
-    steps = np.minimum(255, np.ceil(8 * np.log2(np.maximum(often, 1)))).astype(np.uint8)
-    begin = np.cumsum(sizes) - sizes
-    out = []
-    for name, a, k in zip(slices_.tolist(), begin.tolist(), sizes.tolist(), strict=True):
-        own = np.flatnonzero(keep[a : a + k]) + a
-        if len(own):
-            out.append((name, tokens[own].tobytes(), owner[own].tobytes(), steps[own].tobytes()))
-    columns = list(zip(*out, strict=True)) if out else [[]] * 4
-    return pa.table({n: pa.array(c, t) for n, c, t in zip(("slice", "tokens", "owner", "steps"), columns, (pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)})
+    order = np.lexsort((sid, tokens))
+    tokens, sid = tokens[order], sid[order]
+    fresh = np.append(True, (tokens[1:] != tokens[:-1]) | (sid[1:] != sid[:-1]))  # tasks may have sent a set twice
+    tokens, sid = tokens[fresh], sid[fresh]
+    first = np.flatnonzero(np.append(True, tokens[1:] != tokens[:-1]))
+    counts = np.diff(np.append(first, len(tokens)))
+    often = np.repeat(counts, counts)
+    keep = np.flatnonzero(often > 1)
+    steps = np.minimum(255, np.ceil(8 * np.log2(often[keep]))).astype(np.uint8)
+    to = sid[keep] & (buckets - 1)
+    order = np.argsort(to, kind="stable")
+    there, begin = np.unique(to[order], return_index=True)
+    parts = lambda x: pa.array([p.tobytes() for p in np.split(x[order], begin[1:])] if len(x) else [], pa.binary())
+    return pa.table({"bucket": pa.array(there, pa.int64()), "sid": parts(sid[keep]), "tokens": parts(tokens[keep]), "steps": parts(steps)})
 
 
 def needed(n: int) -> int:
@@ -145,8 +132,8 @@ def needed(n: int) -> int:
     return (4 * n + 4) // 5
 
 
-def signatures(tokens: np.ndarray, often: np.ndarray, n: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Signatures of a set of n tokens, with how often their tokens occur at most.
+def signatures(tokens: np.ndarray, often: np.ndarray, n: int) -> Iterator[np.ndarray]:
+    """Signatures of a set of n tokens.
 
     ``tokens``: those that occur in other sets too, by rarity; ``often``: of each.  The others come before them in the
     order, and share no signature with any set.
@@ -155,11 +142,11 @@ def signatures(tokens: np.ndarray, often: np.ndarray, n: int) -> Iterator[tuple[
     if prefix <= 0:
         return
     rare = int(np.searchsorted(often, COMMON))
-    yield tokens[: min(prefix, rare)], often[: min(prefix, rare)]
+    yield tokens[: min(prefix, rare)]
     if rare >= prefix:
         return
     if n < SMALL * 5 // 4 + 1:
-        yield mix(tokens[rare:prefix]), often[rare:prefix]
+        yield mix(tokens[rare:prefix])
     if n < SMALL:
         return
     band = int(math.log(n) / math.log(1.25) + 1e-9)
@@ -177,133 +164,160 @@ def signatures(tokens: np.ndarray, often: np.ndarray, n: int) -> Iterator[tuple[
             if len(at) > 1:
                 i, j = np.triu_indices(len(at), 1)
                 a, b = np.minimum(tokens[at[i]], tokens[at[j]]), np.maximum(tokens[at[i]], tokens[at[j]])
-                yield mix(mix(a * ODD + np.uint64(family)) + b), np.minimum(often[at[i]], often[at[j]])
-
-
-def indexed_in(group: pa.Table, ranges: int) -> pa.Table:
-    """Postings of one slice's signatures, a row for each range of signatures."""
-    head = np.asarray(group.column("n").is_valid())
-    at = int(np.flatnonzero(head)[0])
-    n, sid = numbers(group.column("n")[at], "<i4"), numbers(group.column("sid")[at], "<i8")
-    kept = group.filter(pa.array(~head))
-    sig, most, owner, size = [], [], [], []
-    if len(kept):
-        tokens, own, steps = (np.concatenate([numbers(v, kind) for v in kept.column(c)]) for c, kind in (("tokens", "<u8"), ("owner", "<u4"), ("steps", "u1")))
-        order = np.lexsort((tokens, steps, own))
-        tokens, own, often = tokens[order], own[order], np.exp2(steps[order] / 8.0)
-        there, begin = np.unique(own, return_index=True)
-        for k, a, b in zip(there.tolist(), begin.tolist(), np.append(begin[1:], len(own)).tolist(), strict=True):
-            for signature, count in signatures(tokens[a:b], often[a:b], int(n[k])):
-                sig.append(signature)
-                most.append(count)
-                owner.append(np.full(len(signature), sid[k]))
-                size.append(np.full(len(signature), n[k], dtype=np.uint32))
-    if not sig:
-        return pa.table({"range": pa.array([], pa.int32()), "postings": pa.array([], pa.binary())})
-    sigs, own = np.concatenate(sig), np.concatenate(owner)
-    salts = (np.concatenate(most) / SALT_ROWS).astype(np.uint64) + np.uint64(1)
-    key = mix(sigs)
-    to = mix(key + mix(own.view(np.uint64)) % salts) if salts.max() > 1 else key
-    out = np.empty(len(key), dtype=POSTING)
-    out["key"], out["n"], out["sid"], out["salted"] = key >> np.uint64(32), np.concatenate(size), own, salts > 1
-    return pa.Table.from_batches([dealt(out, (to & np.uint64(0xFFFFFFFF)).astype(np.int64) % ranges)])
-
-
-def neighbours_in(group: pa.Table) -> pa.Table:
-    """Edges (src, dst) that join, under each signature, every node to the next by size if their sizes may be similar.
-
-    Of a signature that is dealt over several ranges, the first node of each size comes back too, with the signature.
+                yield mix(mix(a * ODD + np.uint64(family)) + b)
+
+
+def indexed_in(found: pa.Table, nodes: pa.Table) -> pa.Table:
+    """Postings (signature, set, size) of a bucket of sets."""
+    names = {"key": pa.int64(), "sid": pa.int64(), "n": pa.int64()}
+    if not len(found) or not len(nodes):
+        return pa.table({name: pa.array([], t) for name, t in names.items()})
+    own, tokens, steps = (np.concatenate([numbers(v, kind) for v in found.column(c)]) for c, kind in (("sid", "<i8"), ("tokens", "<u8"), ("steps", "u1")))
+    order = np.lexsort((tokens, steps, own))
+    own, tokens, often = own[order], tokens[order], np.exp2(steps[order] / 8.0)
+    known, size = nodes.column("sid").to_numpy(), nodes.column("n").to_numpy()
+    by = np.argsort(known)
+    there, begin = np.unique(own, return_index=True)
+    sizes = size[by[np.searchsorted(known, there, sorter=by)]]
+    key, sid, n = [np.zeros(0, np.uint64)], [], []
+    for s, k, a, b in zip(there.tolist(), sizes.tolist(), begin.tolist(), np.append(begin[1:], len(own)).tolist(), strict=True):
+        signature = list(signatures(tokens[a:b], often[a:b], k))
+        key += signature
+        number = sum(map(len, signature))
+        sid.append(np.full(number, s))
+        n.append(np.full(number, k))
+    return pa.table({"key": np.concatenate(key).view(np.int64), "sid": np.concatenate(sid), "n": np.concatenate(n)})
+
+
+def adjacent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of sorted postings, each set and the next under its signature if their sizes fit, and (dst null) the first and the last posting of the partition."""
+    names, last = ["src", "dst", "key", "n"], None
+    for batch in batches:
+        if not len(batch):
+            continue
+        key, sid, n = (batch.column(k).to_numpy() for k in range(3))
+        if last is None:
+            yield pa.record_batch([sid[:1], pa.nulls(1, pa.int64()), key[:1], n[:1]], names=names)
+        else:
+            key, sid, n = (np.append(x, y) for x, y in zip(last, (key, sid, n), strict=True))
+        last = key[-1:], sid[-1:], n[-1:]
+        at = np.flatnonzero((key[1:] == key[:-1]) & (sid[1:] != sid[:-1]) & (5 * n[:-1] >= 4 * n[1:]))
+        yield pa.record_batch([sid[at], sid[at + 1], key[at], n[at]], names=names)
+    if last is not None:
+        yield pa.record_batch([last[1], pa.nulls(1, pa.int64()), last[0], last[2]], names=names)
+
+
+def neighbours(postings: DataFrame) -> DataFrame:
+    """Distinct pairs (src < dst) of sets next to each other by size under a signature."""
+    ordered = postings.repartitionByRange("key", "n", "sid").sortWithinPartitions("key", "n", "sid")
+    found = materialise(ordered.mapInArrow(adjacent, "src long, dst long, key long, n long"))
+    ends = sorted((r.key, r.n, r.src) for r in found.where("dst IS NULL").collect())  # two for each task
+    across = [(a[2], b[2]) for a, b in zip(ends, ends[1:], strict=False) if a[0] == b[0] and a[2] != b[2] and 5 * a[1] >= 4 * b[1]]
+    pairs = found.where("dst IS NOT NULL").select("src", "dst")
+    if across:
+        pairs = pairs.unionByName(postings.sparkSession.createDataFrame(across, "src long, dst long"))
+    return pairs.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
+
+
+def crossing(postings: DataFrame, labels: DataFrame) -> DataFrame:
+    """Distinct pairs (src < dst) of sets of different components (``labels``: sid, root) and fitting sizes under a signature.
+
+    Under each signature the sets outside its largest component meet all; where there are many, in several tasks.
     """
-    rows = np.concatenate([numbers(v, POSTING) for v in group.column("postings")])
-    rows = rows[np.lexsort((rows["sid"], rows["n"], rows["key"]))]
-    key, n, sid = rows["key"], rows["n"].astype(np.int64), rows["sid"]
-    a, b = spanning(*chained(key, n, sid))
-    first = np.append(True, (key[1:] != key[:-1]) | (n[1:] != n[:-1])) & (rows["salted"] > 0)
-    k = int(first.sum())
-    return pa.table({"src": np.concatenate((a, sid[first])), "dst": pa.array(np.concatenate((b, sid[first])), mask=np.append(np.zeros(len(a), bool), np.ones(k, bool))), "sig": np.concatenate((np.zeros(len(a), np.int64), key[first].astype(np.int64))), "n": np.concatenate((np.zeros(len(a), np.int64), n[first]))})
+    rows = materialise(postings.join(labels, "sid", "left").withColumn("root", F.coalesce("root", "sid")))
+    per_root = rows.groupBy("key", "root").agg(F.count("*").alias("m"))
+    lists = per_root.groupBy("key").agg(F.max(F.struct("m", "root")).alias("most"), F.sum("m").alias("all"), F.count("*").alias("roots")).where("roots > 1")
+    lists = materialise(lists.select("key", F.col("most.root").alias("main"), "all", F.ceil((F.col("all") - F.col("most.m")) / LIST).alias("parts")))
+    several = materialise(join_groups(rows, lists, "key", "all", rows.count()))
+    few = several.where("root <> main").select("key", F.pmod(F.xxhash64("sid"), "parts").alias("part"), F.col("sid").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
+    every = several.select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
+    fits = (F.col("ra") != F.col("rb")) & (5 * F.least("na", "nb") >= 4 * F.greatest("na", "nb"))
+    return few.join(every, ["key", "part"]).where(fits).select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct()
 
 
-def chained(key: np.ndarray, n: np.ndarray, sid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    next_to = (key[1:] == key[:-1]) & (sid[1:] != sid[:-1]) & (5 * n[:-1] >= 4 * n[1:])
-    return sid[:-1][next_to], sid[1:][next_to]
+def set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The tokens of the wanted sets."""
+    seen: set[int] = set()
+    for batch in batches:
+        texts = strings(batch.column(1))
+        for a, b in slices(texts):
+            wanted, kept = batch.column(0)[a:b].to_pylist(), []
+            for sid, own in zip(wanted, shingle_sets(texts[a:b]), strict=True):
+                if len(own) and sid not in seen and node_of(own) == sid:
+                    seen.add(sid)
+                    kept.append((sid, own))
+            ends = np.cumsum([0, *(len(s) for _, s in kept)]).astype(np.int32)
+            tokens = np.concatenate([s for _, s in kept]).view(np.int64) if kept else np.zeros(0, np.int64)
+            yield pa.record_batch([pa.array([s for s, _ in kept], pa.int64()), pa.ListArray.from_arrays(ends, tokens)], names=["sid", "tokens"])
 
 
-def neighbours(postings: DataFrame, salted: bool) -> DataFrame:
-    found = postings.groupBy("range").applyInArrow(neighbours_in, "src long, dst long, sig long, n long")
-    if not salted:
-        return found.select("src", "dst")
-    found = materialise(found)
-    order = Window.partitionBy("sig").orderBy("n", "src")
-    firsts = found.where("dst IS NULL").withColumn("p", F.lag("src").over(order)).withColumn("pn", F.lag("n").over(order))
-    return found.where("dst IS NOT NULL").select("src", "dst").unionByName(firsts.where("p <> src AND 5 * pn >= 4 * n").select("src", F.col("p").alias("dst")))
+def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (src, dst) with a Jaccard coefficient of at least 0.8, in integers: 100 * both >= 80 * (n_a + n_b - both)."""
+    a, b = (sets.select(F.col("sid").alias(name), F.col("tokens").alias(x)) for name, x in (("src", "x"), ("dst", "y")))
+    both = F.size(F.array_intersect("x", "y"))
+    return pairs.join(a, "src").join(b, "dst").where(9 * both >= 4 * (F.size("x") + F.size("y"))).select("src", "dst")
 
 
-def set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = strings(batch.column(3))
-        for a, b in slices(texts):
-            sets = list(shingle_sets(texts[a:b]))
-            yield pa.record_batch([pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()), *(batch.column(k)[a:b] for k in range(3)), pa.array([s.tobytes() for s in sets], pa.binary())], names=["own", "sid", "component", "parts", "tokens"])
-
-
-def compared(group: pa.Table) -> pa.Table:
-    """Edges of a spanning forest of the links within one group."""
-    sids, first = np.unique(group.column("sid").to_numpy(), return_index=True)  # rows that share a doc_id may bring a set twice
-    tokens = group.column("tokens").take(pa.array(first))
-    sets = [numbers(v, np.uint64) for v in tokens]
-    overlaps, root = Overlaps(sets), np.arange(len(sets))
-    src, dst = [], []
-    for k in range(len(sets)):
-        both = overlaps.of(k)
-        hit = similar(overlaps.n[k], overlaps.n, both) & (root != root[k])
-        for other in np.unique(root[hit]):
-            member = int(np.flatnonzero(hit & (root == other))[0])
-            src.append(sids[k])
-            dst.append(sids[member])
-            root[root == other] = root[k]
-        if (root == root[0]).all():
-            break
-    return pa.table({"src": pa.array(src, pa.int64()), "dst": pa.array(dst, pa.int64())})
+def links_of(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame | None:
+    """Links (src, dst) between sets, enough of them to give the components; None without a candidate.  ``docs``: doc_id, text; ``nodes``: sid, n, owner."""
+    ranges = max(1, size // RANGE_BYTES)
+    buckets = 1 << (ranges - 1).bit_length()
+    repeated = docs.select("text").mapInArrow(lambda it: tokens_of(it, ranges), "range int, low binary, high binary, sid binary").groupBy("range").applyInArrow(lambda g: repeated_in(g, buckets), "bucket long, sid binary, tokens binary, steps binary")
+    sized = nodes.select(F.col("sid").bitwiseAND(F.lit(buckets - 1)).alias("bucket"), "sid", "n")
+    postings = materialise(repeated.groupBy("bucket").cogroup(sized.groupBy("bucket")).applyInArrow(indexed_in, "key long, sid long, n long"))
+    pairs = materialise(neighbours(postings))
+    if pairs.isEmpty():
+        return None
+    ends = pairs.select(F.col("src").alias("sid")).unionByName(pairs.select(F.col("dst").alias("sid"))).distinct()
+    wanted = materialise(ends.join(nodes, "sid").select("sid", F.col("owner.id").alias("id_key"), F.col("owner.text").alias("text_key")))
+    found = beside(docs.select(id_key().alias("id_key"), text_key().alias("text_key"), "text"), wanted, ["id_key", "text_key"])
+    sets = materialise(found.select("sid", "text").mapInArrow(set_rows, "sid long, tokens array<bigint>"))
+    if sets.count() > wanted.count():  # repeated rows were read by several tasks
+        sets = materialise(sets.dropDuplicates(["sid"]))
+    links = materialise(linked(pairs, sets))
+    labels = connected_components(links, one_task=0).select(F.col("id").alias("sid"), F.col("component").alias("root"))
+    more = crossing(postings, labels).join(pairs, ["src", "dst"], "left_anti")
+    return links.unionByName(materialise(linked(more, sets)))
 
 
-def components(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, sid (null for an empty set) and component_id: one row per document."""
-    spark = docs.sparkSession
+def labelled(docs: DataFrame) -> DataFrame:
+    """doc_id, text_key, n, sid (null for an empty set), component_id and ``keep``, the smallest (id, text) of the component (null without one): one row per row."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first().bytes
-    ranges = max(1, size // RANGE_BYTES)
-    everything = materialise(docs.mapInArrow(lambda it: measured(it, ranges), SLICES))
-    heads = everything.where("range IS NULL")
-    rows = materialise(heads.select("doc_ids", "n", "sid").mapInArrow(documents, "doc_id long, n long, sid long"))
-    repeated = everything.where("range IS NOT NULL").groupBy("range").applyInArrow(repeated_in, "slice long, tokens binary, owner binary, steps binary")
-    nothing = F.lit(None).cast("binary")
-    together = repeated.select("slice", nothing.alias("n"), nothing.alias("sid"), "tokens", "owner", "steps").unionByName(heads.select("slice", "n", "sid", nothing.alias("tokens"), nothing.alias("owner"), nothing.alias("steps")))
-    postings = together.groupBy("slice").applyInArrow(lambda g: indexed_in(g, ranges), "range int, postings binary")
-    salted = rows.count() > SALT_ROWS  # no signature has more sets than there are
-    candidates = connected_components(neighbours(postings, salted), one_task=0).select(F.col("id").alias("sid"), "component")
-    owners = rows.where("sid IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("doc_id"))
-    members = materialise(blocks(candidates.join(owners, "sid")))
-    found = with_ids(docs, members, "doc_id").select("sid", "component", "parts", "text").mapInArrow(set_rows, "own long, sid long, component long, parts array<string>, tokens binary")
-    # a doc_id that several rows share may bring other sets
-    sets = found.where("own = sid").select("sid", "component", F.explode("parts").alias("part"), "tokens")
-    links = materialise(sets.groupBy("component", "part").applyInArrow(compared, "src long, dst long"))
-    labels = connected_components(links, one_task=0).select(F.col("id").alias("sid"), F.col("component").alias("root"))
-    n = rows.count()
-    known = materialise(rows.join(labels, "sid", "left").withColumn("root", F.coalesce("root", "sid")))
-    per_root = materialise(known.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("_size")))
-    joined = join_groups(known, per_root.where("_size > 1"), "root", "_size", n)
-    alone = known.join(per_root.where("_size > 1").select("root"), "root", "left_anti").withColumn("component_id", F.col("doc_id"))
-    return joined.select(*alone.columns).unionByName(alone).select("doc_id", F.col("n").alias("n_shingles"), "sid", "component_id")
+    rows = materialise(docs.select("doc_id", text_key().alias("text_key"), "text").mapInArrow(nodes_of, "doc_id long, text_key long, n long, sid long"))
+    owner = F.min(F.struct(id_key().alias("id"), F.col("text_key").alias("text"))).alias("owner")
+    nodes = materialise(rows.where("sid IS NOT NULL").groupBy("sid").agg(F.max("n").alias("n"), owner, F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")))
+    links = links_of(docs, nodes, size)
+    rooted = nodes.withColumn("root", F.col("sid"))
+    if links is not None:
+        labels = connected_components(links, one_task=0).select(F.col("id").alias("sid"), F.col("component").alias("root"))
+        rooted = nodes.join(labels, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    rooted = materialise(rooted.select("sid", "owner", "doc_id", "copies", "root"))
+    per_root = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.min("owner").alias("keep"), F.sum("copies").alias("rows"), F.count("*").alias("sets"))
+    several = materialise(per_root.where("rows > 1").drop("rows"))
+    known = materialise(join_groups(rooted.select("sid", "copies", "root"), several, "root", "sets", rooted.count()).select("sid", "copies", "component_id", "keep"))
+    out = join_groups(rows, known, "sid", "copies", rows.count(), "left")
+    return out.select("doc_id", "text_key", "n", "sid", F.coalesce("component_id", "doc_id").alias("component_id"), "keep")
+
+
+def components(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles and component_id: one row per row of ``docs``."""
+    return labelled(docs).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each component stays: the one with the smallest id.  Documents with an empty set all stay; ids must be unique and not null."""
-    dropped = materialise(components(docs).where("doc_id <> component_id").select("doc_id"))
-    return without_ids(docs, dropped, "doc_id")
+    """One row of each component stays, that of the smallest id, of several such that of the smallest text hash, of equal ones any; rows with an empty set all stay."""
+    own = F.struct(id_key().alias("id"), F.col("text_key").alias("text"))
+    held = labelled(docs).where("keep IS NOT NULL").select(own.alias("own"), "keep").groupBy("own").agg(F.first("keep").alias("keep"), F.count("*").alias("rows"))
+    touched = materialise(held.select((F.col("own") == F.col("keep")).alias("stays"), "rows", "own").where("NOT stays OR rows > 1"))
+    every = docs.select(F.struct(*docs.columns).alias("row"), F.struct(id_key().alias("id"), text_key().alias("text")).alias("own"))
+    marked = beside(every, touched, ["own"], "left")
+    again = marked.where("stays").dropDuplicates(["own"])  # only rows that repeat in id and text
+    return marked.where("stays IS NULL").select("row.*").unionByName(again.select("row.*"))
 
 
 def op10_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
-    return components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+    return components(table(spark, sf_dir, "documents"))
 
 
 SQL = r"""

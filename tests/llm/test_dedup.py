@@ -78,22 +78,40 @@ def families(seed, n, size=60, vocabulary=400):
 
 
 @pytest.mark.parametrize("common_from", [512, 2])
-@pytest.mark.parametrize("salt_rows", [100_000, 1])
-def test_ngram_join_matches_brute_force(docs, monkeypatch, common_from, salt_rows):
+@pytest.mark.parametrize("long_list", [1024, 1])
+def test_ngram_join_matches_brute_force(docs, monkeypatch, common_from, long_list):
     monkeypatch.setattr(ngram_join, "COMMON", common_from)
-    monkeypatch.setattr(ngram_join, "SALT_ROWS", salt_rows)
+    monkeypatch.setattr(ngram_join, "LIST", long_list)
+    monkeypatch.setattr(groups, "BROADCAST_ROWS", 500_000 if long_list > 1 else -1)
     texts = [*families(1, 120), None, "", " ", "A b c", "a B c", "a b c d", *families(2, 40, 12, 30)]
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.components(docs(texts)).collect()}
     assert got == brute_components(list(enumerate(texts)))
 
 
-def test_ngram_join_in_blocks(docs, monkeypatch):
-    monkeypatch.setattr(groups, "MOST", 4)
-    monkeypatch.setattr(groups, "BLOCK", 2)
-    monkeypatch.setattr(groups, "BROADCAST_ROWS", -1)
-    texts = families(3, 80)
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.components(docs(texts)).collect()}
-    assert got == brute_components(list(enumerate(texts)))
+def test_shared_passages_are_pairs_and_no_group(docs, monkeypatch):
+    """Documents made of shared passages, none similar: what is compared grows with the candidates, not with their components."""
+    rng, asked = random.Random(4), []
+    passages = [" ".join(f"p{k}x{j}" for j in range(60)) for k in range(600)]
+    texts = [" ".join(passages[k] for k in rng.sample(range(600), 10)) for _ in range(600)]
+    monkeypatch.setattr(ngram_join, "linked", lambda pairs, sets, real=ngram_join.linked: asked.append(pairs.count()) or real(pairs, sets))
+    got = ngram_join.components(docs(texts)).collect()
+    assert all(r.component_id == r.doc_id for r in got)
+    owners = Counter(k for t in texts for k in {int(p[1:].split("x")[0]) for p in t.split()})
+    assert 0 < sum(asked) < sum(m * (m - 1) // 2 for m in owners.values()) < 600 * 599 // 4
+
+
+def test_near_copies_are_linked_without_all_pairs(docs, monkeypatch):
+    rng, asked = random.Random(6), []
+    base = [f"w{k}" for k in range(400)]
+    texts = []
+    for k in range(300):
+        own = list(base)
+        for at in rng.sample(range(400), 3):
+            own[at] = f"v{k}x{at}"
+        texts.append(" ".join(own))
+    monkeypatch.setattr(ngram_join, "linked", lambda pairs, sets, real=ngram_join.linked: asked.append(pairs.count()) or real(pairs, sets))
+    assert {r.component_id for r in ngram_join.components(docs(texts)).collect()} == {0}
+    assert sum(asked) < 300 * 299 / 4
 
 
 def test_pair_signatures_are_complete():
@@ -110,14 +128,22 @@ def test_pair_signatures_are_complete():
         found = []
         for t in (x, y):
             order = np.lexsort((t, often(t)))
-            found.append({int(v) for s, _ in ngram_join.signatures(t[order], often(t)[order], len(t)) for v in s})
+            found.append({int(v) for s in ngram_join.signatures(t[order], often(t)[order], len(t)) for v in s})
         assert found[0] & found[1]
 
 
 def test_keep_one(docs):
     texts = ["a b c d e f g", "A b c d e f g", "other words are here too now", "", None]
     assert sorted(r.doc_id for r in ngram_join.keep_one(docs(texts)).collect()) == [0, 2, 3, 4]
-    assert ngram_join.components(docs([])).count() == 0
+    assert ngram_join.components(docs([])).count() == 0 and ngram_join.keep_one(docs([])).count() == 0
+
+
+def test_keep_one_decides_by_row(docs):
+    """Repeated rows, null ids, and an id that a copy shares with a clean text."""
+    row = lambda i, t: (i, t, "en", "a", len(t))
+    copy, clean = "one two three four five six", "clean words that nothing else has here"
+    kept = ngram_join.keep_one(docs([row(1, copy), row(1, copy), row(2, copy), row(2, clean), row(None, "q w e r t y u"), row(7, "Q w e r t y u"), row(None, "alone here with a null id"), row(3, ""), row(3, "")]))
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter({(1, copy): 1, (2, clean): 1, (None, "q w e r t y u"): 1, (None, "alone here with a null id"): 1, (3, ""): 2})
 
 
 def test_ngram_join_on_edges(small):
