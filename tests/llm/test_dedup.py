@@ -6,6 +6,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from cairnspark.llm import common, exact_dedup, groups, line_dedup, ngram_join, rarity, spotsigs
 
@@ -36,6 +37,23 @@ def test_exact_dedup_edges(docs):
     assert exact_dedup.decisions(docs([])).count() == 0
     again = exact_dedup.decisions(docs([(None, "x", None, None, None), (1, "x", None, None, None), (1, "x", None, None, None)])).collect()
     assert [(r.doc_id, r.kept) for r in sorted(again, key=lambda r: (r.doc_id is not None))] == [(None, True), (1, False), (1, False)]
+    same = exact_dedup.decisions(docs([(7, "same text", None, None, None)] * 3 + [(8, "same  text", None, None, None)] * 2 + [(9, "alone", None, None, None)]))
+    assert Counter((r.doc_id, r.keep_id, r.group_size, r.kept) for r in same.collect()) == {(7, 8, 5, False): 3, (8, 8, 5, True): 1, (8, 8, 5, False): 1, (9, 9, 1, True): 1}
+    kept = exact_dedup.keep_unique(docs([(7, "same text", None, None, None)] * 3 + [(7, "other", None, None, None), (None, "o t h e r", None, None, None), (None, "x", None, None, None)]))
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == {(7, "same text"): 1, (None, "o t h e r"): 1, (None, "x"): 1}
+
+
+@pytest.mark.parametrize("filter_bits", [1 << 28, 1 << 12])
+def test_few_rows_are_flagged_at_every_size(spark, monkeypatch, filter_bits):
+    """A third of the rows are one text; of the others every tenth has a copy.  Only those and few more may shuffle, whatever the size."""
+    monkeypatch.setattr(exact_dedup, "FILTER_BITS", filter_bits)
+    for n in (300, 3_000, 30_000):
+        text = F.when(F.col("id") % 3 == 0, F.lit("hot")).when(F.col("id") % 10 == 1, F.concat(F.lit("t"), (F.col("id") - 1).cast("string"))).otherwise(F.concat(F.lit("t"), F.col("id").cast("string")))
+        digest = exact_dedup.digests(spark.range(0, n, 1, 7).select(F.col("id").alias("doc_id"), text.alias("text"))).cache()
+        flags = exact_dedup.possibly_repeated(digest, n).groupBy("h").agg(F.count("*").alias("n"), F.min("maybe").alias("all"), F.max("maybe").alias("any")).collect()
+        assert sum(r.n for r in flags) == n
+        assert all(r["all"] for r in flags if r.n > 1)
+        assert sum(r.n for r in flags if r["any"] and r.n == 1) <= 0.15 * n
 
 
 def linked(a, b):
