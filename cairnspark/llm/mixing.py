@@ -6,8 +6,8 @@ of the one that crosses it only its first words.  Keys are uniform, so ranges of
 holds a third of all rows: prefix sums run within about sqrt(n) ranges, and then over the totals of the ranges.
 
 Defined results: a null text has no words and none are taken; a null source is a source of its own, the last; equal rows
-are taken one after the other; documents without words get 0; an empty table gives an empty result; a target is 0 where
-the source has no words; extra columns aren't touched.
+are taken one after the other, so of equal rows some may be taken and others not; documents without words get 0; an empty table gives an empty result; a target is 0 where
+the source has no words; extra columns are carried.
 """
 
 from __future__ import annotations
@@ -83,31 +83,43 @@ def plan(docs: DataFrame, seed: int = 17, **columns: str) -> DataFrame:
     return out.withColumn("taken", F.col("epochs") * F.col("size") + F.col("part"))
 
 
+def numbered(rows: DataFrame, group: str) -> DataFrame:
+    """``rows`` with ``number``, from 1 in each ``group``: by the task that wrote them and within it, so that no task gathers a group."""
+    rows = materialise(rows.withColumn("task", F.spark_partition_id()))
+    ahead = Window.partitionBy(group).orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    totals = rows.groupBy(group, "task").count().select(group, "task", F.coalesce(F.sum("count").over(ahead), F.lit(0)).alias("base"))
+    inner = F.row_number().over(Window.partitionBy(group, "task").orderBy(F.lit(0)))
+    return rows.withColumn("inner", inner).join(F.broadcast(totals), [group, "task"]).withColumn("number", F.col("base") + F.col("inner")).drop("base", "inner", "task")
+
+
 def mix(docs: DataFrame, seed: int = 17) -> DataFrame:
     """The mixed documents, with the columns of ``docs``: one row for every whole copy taken, and one with the first words where a cut runs through the document.
 
-    ``docs`` needs doc_id, text and source; other columns are carried, and n_chars, where present, follows the text.  The
-    plan comes down to a row per source: the key up to which documents are taken whole, and the document with the cut.  So
-    texts neither shuffle nor join with anything larger; rows of equal doc_id and size are taken alike.
+    ``docs`` needs doc_id, text and source; other columns are carried, whatever their names, and n_chars, where present,
+    follows the text.  The plan comes down to a row per source: the key before which documents are taken whole, and of the
+    rows with this key, of which there are several only if they agree in doc_id and size, how many are whole and the words
+    taken of one more.  So texts neither shuffle nor join with anything larger, but for the rows with such a key.
     """
-    planned = plan(docs, seed)
-    whole = F.max(F.when((F.col("part") == F.col("size")) & (F.col("size") > 0), F.col("key")))
-    cut = F.max(F.when((F.col("part") > 0) & (F.col("part") < F.col("size")), F.struct("key", "part")))
-    ends = planned.groupBy("source").agg(F.max("epochs").alias("_epochs"), whole.alias("_whole"), cut.alias("_cut_at")).withColumnRenamed("source", "_source")
-    ends = F.broadcast(materialise(ends))  # one row per source
+    by_key = plan(docs, seed).where("part > 0").groupBy("source", "key").agg(F.sum((F.col("part") == F.col("size")).cast("long")).alias("whole"), F.max(F.when(F.col("part") < F.col("size"), F.col("part"))).alias("rest"))
+    ends = by_key.groupBy("source").agg(F.max(F.struct("key", "whole", "rest")).alias("end"))
+    epochs = plan(docs, seed).groupBy("source").agg(F.max("epochs").alias("epochs"))
+    ends = epochs.join(ends.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left").select(F.col("source").alias("of"), "epochs", "end.*")
+    ends = F.broadcast(materialise(ends.withColumn("end", F.monotonically_increasing_id())))  # one row per source
     words = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD)).cast("long")
-    rows = docs.withColumn("_size", words).withColumn("_key", key_of(seed, "doc_id", "_size"))
-    rows = rows.join(ends, rows["source"].cast("string").eqNullSafe(ends["_source"]))
-    again = (F.col("_key") <= F.col("_whole")) & (F.col("_size") > 0)
-    times = F.when(F.col("_size") > 0, F.col("_epochs") + F.coalesce(again, F.lit(False)).cast("int")).otherwise(0).cast("int")
-    last = F.when(F.col("_key") == F.col("_cut_at.key"), F.array(F.col("_cut_at.part"))).otherwise(F.array().cast("array<bigint>"))
-    rows = rows.withColumn("_cut", F.explode(F.concat(F.array_repeat(F.lit(None).cast("long"), times), last)))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id"), F.col("source").cast("string").alias("from"), words.alias("size"))
+    rows = rows.withColumn("at", key_of(seed)).where("size > 0").join(ends, F.col("from").eqNullSafe(F.col("of")))
+    times = F.col("epochs").cast("int")
+    plain = rows.where("at <> key OR key IS NULL").select("row", F.when(F.col("at") < F.col("key"), times + 1).otherwise(times).alias("times"), F.lit(None).cast("long").alias("cut"))
+    border = numbered(rows.where("at = key").select("row", "epochs", "whole", "rest", "end"), "end")
+    border = border.select("row", F.when(F.col("number") <= F.col("whole"), times + 1).otherwise(times).alias("times"), F.when(F.col("number") == F.col("whole") + 1, F.col("rest")).alias("cut"))
+    every = plain.unionByName(border)
+    last = F.when(F.col("cut").isNotNull(), F.array("cut")).otherwise(F.array().cast("array<bigint>"))
+    every = every.select("row", F.explode(F.concat(F.array_repeat(F.lit(None).cast("long"), F.col("times")), last)).alias("cut"))
     # the first words and the blanks before each
-    head = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), 1, F.col("_cut").cast("int")), "")
-    out = rows.withColumn("text", F.when(F.col("_cut").isNull(), F.col("text")).otherwise(head))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast("long"))
-    return out.select(*docs.columns)
+    head = F.array_join(F.slice(F.regexp_extract_all("row.text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), 1, F.col("cut").cast("int")), "")
+    text = F.when(F.col("cut").isNull(), F.col("row.text")).otherwise(head)
+    own = {"text": text, "n_chars": F.length(text).cast("long")}
+    return every.select(*[own.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
 
 
 def op4_source_mixing(spark, sf_dir: str) -> DataFrame:
