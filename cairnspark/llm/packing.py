@@ -219,11 +219,11 @@ def place(rows: DataFrame, size: int = SIZE) -> DataFrame:
     runs, _ = plan_of(histogram, size)
     shared = spark.sparkContext.broadcast(runs)
     groups = 1 << max(0, (int(histogram.sum()) // 20_000).bit_length())
-    salted = rows.withColumn("_group", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups)))
-    ahead = Window.partitionBy("length").orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)
-    base = salted.groupBy("length", "_group").count().select("length", "_group", F.coalesce(F.sum("count").over(ahead), F.lit(0)).alias("_base"))
-    ranked = salted.withColumn("_inner", F.row_number().over(Window.partitionBy("length", "_group").orderBy("doc_id", "piece")) - 1).join(base, ["length", "_group"])
-    ranked = ranked.select(*rows.columns, (F.col("_base") + F.col("_inner")).alias("_rank"))
+    salted = rows.select(F.struct(*rows.columns).alias("row"), "length", "doc_id", "piece", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups)).alias("group"))
+    ahead = Window.partitionBy("length").orderBy("group").rowsBetween(Window.unboundedPreceding, -1)
+    base = salted.groupBy("length", "group").count().select("length", "group", F.coalesce(F.sum("count").over(ahead), F.lit(0)).alias("base"))
+    ranked = salted.withColumn("inner", F.row_number().over(Window.partitionBy("length", "group").orderBy("doc_id", "piece")) - 1).join(base, ["length", "group"])
+    ranked = ranked.select("row", F.col("length").cast("long").alias("length"), (F.col("base") + F.col("inner")).alias("rank"))
 
     @F.pandas_udf("sequence_id long, offset long")
     def look_up(length, rank):
@@ -234,7 +234,7 @@ def place(rows: DataFrame, size: int = SIZE) -> DataFrame:
         at = np.searchsorted(key, length.to_numpy(np.int64) << 40 | rank.to_numpy(np.int64), side="right") - 1
         return pd.DataFrame({"sequence_id": plan[at, 3] + rank.to_numpy(np.int64) - plan[at, 1], "offset": plan[at, 4]})
 
-    return ranked.withColumn("_at", look_up(F.col("length").cast("long"), "_rank")).select(*rows.columns, "_at.sequence_id", "_at.offset")
+    return ranked.select("row", look_up("length", "rank").alias("at")).select("row.*", "at.sequence_id", "at.offset")
 
 
 def pack(docs: DataFrame, paths: tuple[str, str | None] | None = None, size: int = SIZE) -> DataFrame:
