@@ -50,6 +50,14 @@ def text_key(column: str = "text") -> Column:
     return F.xxhash64(F.coalesce(F.col(column), F.lit("")))
 
 
+def unused(name: str, names: list[str]) -> str:
+    """``name`` with underscores behind it until it is none of ``names``, in any case."""
+    taken = {x.lower() for x in names}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def strings(column: pa.Array | pa.ChunkedArray) -> pa.Array:
     """One array of large strings, null as empty text."""
     array = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column

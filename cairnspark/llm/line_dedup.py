@@ -7,10 +7,10 @@ indexed; two sets under one word are a candidate if their lengths allow it, if t
 words behind it, and if parities of the sets (64 bits, more for long ones) don't already differ in more bits than similar sets can.  Candidates
 are joined into components, whose sets are compared exactly.
 
-Defined results: a line without words never matches and stays; a null text stays null, without lines; the smallest id of a
-document counts as its place, null before all; rows with equal doc_id are read in any order but as one sequence by line
-number, so equal lines of such rows at the same number both stay; text that loses no line is untouched; an empty table
-gives an empty result; extra columns are carried by :func:`clean`.
+Defined results: a line without words never matches and stays; a null text stays null, without lines; a line's place is its
+doc_id, null before all, its number, and then a hash of its text, so rows with equal doc_id are merged by line number, and
+rows equal in id and text are one (equal lines of theirs at the same number all stay); text that loses no line is
+untouched; an empty table gives an empty result; extra columns are carried by :func:`clean`.
 """
 
 from __future__ import annotations
@@ -26,12 +26,12 @@ from pyspark.sql import functions as F
 from cairnspark.operators.components import connected_components
 
 from . import rarity
-from .common import hash_words, join_groups, materialise, mix, slices, strings, table, words_of
+from .common import hash_words, id_key, join_groups, materialise, mix, slices, strings, table, text_key, unused, words_of
 from .groups import BROADCAST_ROWS, Overlaps, beside, blocks, dealt, numbers, similar, spanning
 
 #: Postings that a task compares, about; longer lists than LIST are dealt over pairs of blocks.
 RANGE, LIST = 400_000, 8192
-SLICES = "doc_ids array<bigint>, lines binary, n binary, sid binary, tokens binary, postings long, cells binary"
+SLICES = "doc_ids array<bigint>, text_keys array<bigint>, lines binary, n binary, sid binary, tokens binary, postings long, cells binary"
 #: Parities have more words of 64 bits the more tokens a set has, as the bits in which similar sets may differ grow with
 #: their size; from how many tokens on, and how many words.  Wider ones fold into narrower ones.
 TIERS = ((0, 1), (64, 2), (192, 8))
@@ -80,31 +80,31 @@ def prefix_of(n: np.ndarray) -> np.ndarray:
 
 def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each slice of texts, with all its lines; tokens are kept by the upper halves of their hashes, which serves to find candidates."""
-    counter, names = rarity.Counter(), ["doc_ids", "lines", "n", "sid", "tokens", "postings", "cells"]
-    types = (pa.list_(pa.int64()), *(pa.binary(),) * 4, pa.int64(), pa.binary())
+    counter, names = rarity.Counter(), ["doc_ids", "text_keys", "lines", "n", "sid", "tokens", "postings", "cells"]
+    types = (*(pa.list_(pa.int64()),) * 2, *(pa.binary(),) * 4, pa.int64(), pa.binary())
     for batch in batches:
-        texts = strings(batch.column(1))
-        there = np.asarray(batch.column(1).is_valid())
+        texts = strings(batch.column(2))
+        there = np.asarray(batch.column(2).is_valid())
         for a, b in slices(texts):
             lines = Lines(texts[a:b])
             counter.add(lines.words)
-            row = (batch.column(0)[a:b].to_pylist(), np.diff(lines.ends) * there[a:b], lines.n, lines.sid, lines.words >> np.uint64(32), int(prefix_of(lines.n[lines.n >= 4]).sum()), None)
+            row = (batch.column(0)[a:b].to_pylist(), batch.column(1)[a:b].to_pylist(), np.diff(lines.ends) * there[a:b], lines.n, lines.sid, lines.words >> np.uint64(32), int(prefix_of(lines.n[lines.n >= 4]).sum()), None)
             # a null text is one line without words here, and has none in ``lines``
-            row = [x if k in (0, 5, 6) else np.ascontiguousarray(x, kind).tobytes() for k, (x, kind) in enumerate(zip(row, ("", "<i4", "<i4", "<i8", "<u4", "", ""), strict=True))]
+            row = [np.ascontiguousarray(x, kind).tobytes() if kind else x for x, kind in zip(row, ("", "", "<i4", "<i4", "<i8", "<u4", "", ""), strict=True)]
             yield pa.record_batch([pa.array([x], t) for x, t in zip(row, types, strict=True)], names=names)
-    yield pa.record_batch([pa.array([x], t) for x, t in zip([None] * 6 + [counter.value()], types, strict=True)], names=names)
+    yield pa.record_batch([pa.array([x], t) for x, t in zip([None] * 7 + [counter.value()], types, strict=True)], names=names)
 
 
 def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, line and sid of every line; sid is null for a line without words."""
+    """doc_id, text_key, line and sid of every line; sid is null for a line without words."""
     for batch in batches:
-        for docs, lines, n, sid in zip(*(batch.column(k) for k in range(4)), strict=True):
+        for docs, keys, lines, n, sid in zip(*(batch.column(k) for k in range(5)), strict=True):
             count, n, sid = numbers(lines, "<i4").astype(np.int64), numbers(n, "<i4"), numbers(sid, "<i8")
             held = np.maximum(count, 1)
             row = np.repeat(np.arange(len(held)), held)
             at = np.arange(len(row)) - np.repeat(np.cumsum(held) - held, held)
             real = np.repeat(count > 0, held)
-            yield pa.record_batch([pa.array(docs.as_py(), pa.int64()).take(pa.array(row[real])), pa.array(at[real], pa.int32()), pa.array(sid[real], mask=n[real] == 0)], names=["doc_id", "line", "sid"])
+            yield pa.record_batch([*(x.values.take(pa.array(row[real])) for x in (docs, keys)), pa.array(at[real], pa.int32()), pa.array(sid[real], mask=n[real] == 0)], names=["doc_id", "text_key", "line", "sid"])
 
 
 def prefixes(n: np.ndarray, sid: np.ndarray, tokens: np.ndarray, cells: np.ndarray, seen: set) -> tuple | None:
@@ -251,60 +251,60 @@ def set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for w in wanted[a + k]:
                     at = begin + w["line"]
                     if at < end and int(lines.sid[at]) == w["sid"]:
-                        rows.append((w["sid"], w["component"], w["doc_id"], w["line"], w["parts"], lines.set_of(at).tobytes()))
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.string()), pa.binary()), strict=True)], names=["sid", "component", "doc_id", "line", "parts", "tokens"])
+                        rows.append((w["sid"], w["component"], w["doc_id"], w["line"], w["text_key"], w["parts"], lines.set_of(at).tobytes()))
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * 7
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.string()), pa.binary()), strict=True)], names=["sid", "component", "doc_id", "line", "text_key", "parts", "tokens"])
 
 
 def repeated_in(group: pa.Table) -> pa.Table:
     """Where the sets of one group first occur that are similar to one that occurs earlier."""
-    doc = group.column("doc_id").fill_null(np.iinfo(np.int64).min).to_numpy()
-    _, first = np.unique(group.column("sid").to_numpy(), return_index=True)  # rows that share a doc_id may bring a set twice
-    order = first[np.lexsort((group.column("line").to_numpy()[first], doc[first]))]
+    text, line, doc = (group.column(c).to_numpy() for c in ("text_key", "line", "doc_id"))
+    _, first = np.unique(group.column("sid").to_numpy(), return_index=True)  # repeated rows may bring a set twice
+    order = first[np.lexsort((text[first], line[first], doc[first]))]
     tokens = group.column("tokens").to_pylist()
     overlaps = Overlaps([np.frombuffer(tokens[k], dtype=np.uint64) for k in order])
     out = order[[k for k in range(1, len(order)) if similar(overlaps.n[k], overlaps.n[:k], overlaps.of(k)[:k]).any()]] if len(order) > 1 else order[:0]
-    return group.select(["doc_id", "line"]).take(pa.array(out))
+    return group.select(["doc_id", "text_key", "line"]).take(pa.array(out))
 
 
 def removed(docs: DataFrame) -> DataFrame:
-    """doc_id, line (from 0) of every line that goes."""
+    """doc_id (FIRST for a null), text_key and line (from 0) of every line that goes."""
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select(id_key().alias("doc_id"), text_key().alias("text_key"), "text")
     everything = materialise(docs.mapInArrow(measured, SLICES).withColumn("slice", F.monotonically_increasing_id()))
     parts = everything.where("cells IS NULL")
     shared = rarity.shared_cells(spark, rarity.total(everything.where("cells IS NOT NULL").select("cells")))
-    rows = materialise(parts.select("doc_ids", "lines", "n", "sid").mapInArrow(listed, "doc_id long, line int, sid long").where("sid IS NOT NULL"))
+    rows = materialise(parts.select("doc_ids", "text_keys", "lines", "n", "sid").mapInArrow(listed, "doc_id long, text_key long, line int, sid long").where("sid IS NOT NULL"))
     ranges = max(1, (parts.agg(F.sum("postings")).first()[0] or 0) // RANGE)
     splits = spark.sparkContext.broadcast(list_splits(parts, shared))
     postings = parts.select("n", "sid", "tokens").mapInArrow(lambda it: indexed(it, shared, splits, ranges), "range int, postings binary, words int")
     edges = postings.groupBy("range").applyInArrow(candidates_in, "src long, dst long")
     members = materialise(connected_components(edges, one_task=0).select(F.col("id").alias("sid"), "component"))
-    firsts = materialise(rows.groupBy("sid").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("_size")))
-    wanted = blocks(beside(firsts, members, ["sid"])).select(F.col("first.doc_id").alias("doc_id"), F.struct("sid", "component", "first.doc_id", "first.line", "parts").alias("w"))
-    wanted = materialise(wanted.groupBy("doc_id").agg(F.collect_list("w").alias("wanted")))  # no more than the document has lines
-    found = beside(docs, wanted, ["doc_id"], lists="wanted").select("text", "wanted").mapInArrow(set_rows, "sid long, component long, doc_id long, line int, parts array<string>, tokens binary")
-    sets = found.select("sid", "component", "doc_id", "line", F.explode("parts").alias("part"), "tokens")
-    similar_ = sets.groupBy("component", "part").applyInArrow(repeated_in, "doc_id long, line int")
+    firsts = materialise(rows.groupBy("sid").agg(F.min(F.struct("doc_id", "line", "text_key")).alias("first"), F.count("*").alias("_size")))
+    wanted = blocks(beside(firsts, members, ["sid"])).select("first.doc_id", "first.text_key", F.struct("sid", "component", "first.*", "parts").alias("w"))
+    wanted = materialise(wanted.groupBy("doc_id", "text_key").agg(F.collect_list("w").alias("wanted")))  # no more than the document has lines
+    found = beside(docs, wanted, ["doc_id", "text_key"], lists="wanted").select("text", "wanted").mapInArrow(set_rows, "sid long, component long, doc_id long, line int, text_key long, parts array<string>, tokens binary")
+    sets = found.select("sid", "component", "doc_id", "line", "text_key", F.explode("parts").alias("part"), "tokens")
+    similar_ = sets.groupBy("component", "part").applyInArrow(repeated_in, "doc_id long, text_key long, line int")
     again = materialise(firsts.where("_size > 1"))
     n, few = rows.count(), again.count() <= BROADCAST_ROWS
     equal = rows.join(F.broadcast(again), "sid") if few else join_groups(rows, again, "sid", "_size", n)
-    return similar_.unionByName(equal.where(F.struct("doc_id", "line") > F.col("first")).select("doc_id", "line"))
+    return similar_.unionByName(equal.where(F.struct("doc_id", "line", "text_key") > F.col("first")).select("doc_id", "text_key", "line"))
 
 
 def clean(docs: DataFrame) -> DataFrame:
-    """``docs`` with the text that is left, and n_lines, n_removed and removed_lines (numbers from 0, ascending).  ``docs`` needs doc_id and text."""
-    gone = materialise(removed(docs).groupBy("doc_id").agg(F.array_sort(F.collect_set("line")).alias("removed_lines")).withColumnRenamed("doc_id", "_id"))
-    small = gone.agg(F.coalesce(F.sum(F.size("removed_lines")), F.lit(0))).first()[0] <= 8 * BROADCAST_ROWS  # a number each
-    joined = docs.join(F.broadcast(gone) if small else gone, docs["doc_id"].eqNullSafe(gone["_id"]), "left").drop("_id")
-    lines = F.split(F.col("text"), "\n", -1)
-    left = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("removed_lines", i)), "\n")
-    out = joined.withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)))
-    out = out.withColumn("text", F.when(F.col("removed_lines").isNull(), F.col("text")).otherwise(left))
-    out = out.withColumn("removed_lines", F.coalesce("removed_lines", F.array().cast("array<int>"))).withColumn("n_removed", F.size("removed_lines"))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast("long"))
-    return out.select(*docs.columns, "n_lines", "n_removed", "removed_lines")
+    """``docs`` with the text that is left, and n_lines, n_removed and removed_lines (numbers from 0, ascending).
+
+    ``docs`` needs doc_id and text; n_chars, where present, follows the text.  A column of ``docs`` that has the name of an
+    added one keeps it, and the added one gets underscores behind its name.
+    """
+    gone = materialise(removed(docs).select(F.col("doc_id").alias("id"), F.col("text_key").alias("key"), "line").groupBy("id", "key").agg(F.array_sort(F.collect_set("line")).alias("gone")))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), id_key().alias("id"), text_key().alias("key"), F.split(F.col("text"), "\n", -1).alias("lines"), "text")
+    joined = beside(rows, gone, ["id", "key"], "left", "gone")
+    kept = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.filter("lines", lambda x, i: ~F.array_contains("gone", i)), "\n"))
+    own = {"text": kept, "n_chars": F.length(kept).cast("long")}
+    added = {"n_lines": F.when(F.col("text").isNull(), 0).otherwise(F.size("lines")), "n_removed": F.coalesce(F.size("gone"), F.lit(0)), "removed_lines": F.coalesce("gone", F.array().cast("array<int>"))}
+    return joined.select(*[own.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns], *[c.alias(unused(name, docs.columns)) for name, c in added.items()])
 
 
 def op1_line_dedup(spark, sf_dir: str) -> DataFrame:
