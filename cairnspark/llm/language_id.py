@@ -2,17 +2,17 @@
 
 A text is the sequence of its words that have a letter, in lower case, each with a blank before (context only) and after.
 The model of order ORDER gives every language the log probability of those characters; the lowest cross-entropy per
-character wins.  Learning uses a bounded sample of labelled documents (DOCS_A_LANGUAGE, chosen by a hash of their id, of
-MOST_CHARS each at most), so the tables are of bounded size for each language; prediction reads every text whole and
-nothing but the text.
+character wins.  Learning uses a bounded sample of labelled documents (DOCS_A_LANGUAGE whole ones, chosen by a hash of id and
+text); prediction reads every text whole and nothing but the text.
 
 Rejection is calibrated on the sample: a fifth of it isn't learned from, and a document is rejected when its
 cross-entropy is above CEILING times the largest that such a document of the same language has, with an allowance for
 short texts (and when it has no letter).
 
 Defined results: a null text or one without letters is ``und`` with score 0, rejected; with no labelled document at all,
-every text is; ties go to the first language by code point; documents with a null lang aren't learned from; an empty
-table gives an empty result; a null id is held out or not as the empty text is.
+every text is; ties go to the first language by code point; documents with a null lang aren't learned from, rows with a
+null id are; rows equal in id and text are learned from once; an empty table gives an empty result; a null id is held out
+or not as the empty text is; extra columns are carried by :func:`keep_identified`.
 """
 
 from __future__ import annotations
@@ -26,9 +26,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import crc_mod, mix, slices, strings, table, words_of
+from .common import crc_mod, id_key, mix, slices, strings, table, text_key, words_of
 
-ORDER, DOCS_A_LANGUAGE, MOST_CHARS, CEILING = 5, 400, 50_000, 1.5
+ORDER, DOCS_A_LANGUAGE, CEILING = 5, 400, 1.5
 #: A text of so many characters may have twice the cross-entropy before it is rejected.
 SHORT = 32
 UNKNOWN = "und"
@@ -202,21 +202,21 @@ class Model:
 
 
 def sample(docs: DataFrame, learnable, docs_a_language: int = DOCS_A_LANGUAGE) -> dict[str, list[str]]:
-    """At most ``docs_a_language`` whole texts of each language, those with the smallest hash of their id."""
-    rows = docs.where(learnable & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= MOST_CHARS)).withColumn("_key", F.xxhash64(F.lit(7), F.col("doc_id")))
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # a row per language
+    """At most ``docs_a_language`` distinct whole texts of each language, those with the smallest hash of id and text."""
+    own = F.xxhash64(F.lit(7), id_key(), text_key())
+    rows = docs.where(learnable & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", own.alias("key"))
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.approx_count_distinct("key").alias("n")).collect()}  # a row per language
     if not counts:
         return {}
     # first a share of each language that holds enough of its rows all but surely, so that no task sorts a whole language
     span = float(2**64)
-    bound = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, 4.0 * docs_a_language / n) * span - span / 2)])
-    few = rows.where(F.col("_key").cast("double") <= bound[F.col("lang")]).select("doc_id", "lang", "_key")
-    ranked = few.withColumn("_k", F.row_number().over(Window.partitionBy("lang").orderBy("_key", "doc_id"))).where(F.col("_k") <= docs_a_language)
-    ids = F.broadcast(ranked.select("doc_id").distinct())  # at most docs_a_language for each language
+    bound = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, 4.0 * docs_a_language / max(n, 1)) * span - span / 2)])
+    few = rows.where(F.col("key").cast("double") <= bound[F.col("lang")]).select("lang", "key").distinct()
+    ranked = few.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("key"))).where(F.col("k") <= docs_a_language).select("lang", "key")
     found: dict[str, list[tuple[int, str]]] = {}
-    for r in rows.join(ids, "doc_id").select("lang", "_key", "text").collect():
-        found.setdefault(r["lang"], []).append((r["_key"], r["text"]))
-    return {lang: [t for _, t in sorted(x)[:docs_a_language]] for lang, x in found.items()}
+    for r in rows.join(F.broadcast(ranked), ["lang", "key"]).dropDuplicates(["lang", "key"]).collect():  # at most docs_a_language for each language
+        found.setdefault(r["lang"], []).append((r["key"], r["text"]))
+    return {lang: [t for _, t in sorted(x)] for lang, x in found.items()}
 
 
 def predicted(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
@@ -253,6 +253,8 @@ def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def pairs(held: list) -> Iterator[pa.RecordBatch]:
             for batch in batches:
+                if not len(batch):
+                    continue
                 held.append(batch)
                 yield pa.record_batch([pa.nulls(len(batch), pa.int64()), batch.column(text)], names=["doc_id", "text"])
 
