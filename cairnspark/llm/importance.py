@@ -9,7 +9,7 @@ and taking the k largest draws k documents without replacement in proportion to
 documents; by default the share that the labels give to good ones.
 
 Defined results: a null text has no features and log weight 0; rows with equal doc_id are scored each on its own and share
-their noise; ties in the key go to the smaller id; without any label of the target kind all weights are equal and the draw
+their noise; ties in the key go to the smaller id, null first, and then to the row that was read first; without any label of the target kind all weights are equal and the draw
 is uniform; an empty table gives an empty result; extra columns aren't read.
 """
 
@@ -19,10 +19,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_words, materialise, mix, slices, strings, table, words_of
+from .common import hash_words, id_key, materialise, mix, slices, strings, table, words_of
 
 WORD_BUCKETS, PAIR_BUCKETS, TARGET_DOCS, PSEUDO, FAN_IN = 1 << 19, 1 << 18, 20_000, 10.0, 4
 BUCKETS = WORD_BUCKETS + PAIR_BUCKETS
@@ -57,25 +57,25 @@ def counts_in(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBa
 
 
 def packed(counts: np.ndarray) -> bytes:
-    return np.minimum(counts, np.iinfo(np.uint32).max).astype("<u4").tobytes()
+    return counts.astype("<i8").tobytes()
 
 
 def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(2 * BUCKETS, dtype=np.int64)
     for batch in batches:
         for value in batch.column(0):
-            total += np.frombuffer(value.as_buffer(), "<u4")
+            total += np.frombuffer(value.as_buffer(), "<i8")
     yield pa.record_batch([pa.array([packed(total)], pa.binary())], names=["counts"])
 
 
 def models(docs: DataFrame, target) -> np.ndarray:
-    """Counts of the raw and the target model by bucket: one row of 6 MiB a task, added up by a tree of tasks; counts stop at 2**32 - 1."""
+    """Counts of the raw and the target model by bucket: one row of 12 MiB a task, added up by a tree of tasks."""
     rows = materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lambda it: counts_in(it, target), "counts binary"))
     parts = rows.rdd.getNumPartitions()
     while parts > 1:
         parts = -(-parts // FAN_IN)
         rows = materialise(rows.coalesce(parts).mapInArrow(added, "counts binary"))
-    return sum((np.frombuffer(r.counts, "<u4") for r in rows.collect()), np.zeros(2 * BUCKETS, dtype=np.int64)).astype(np.uint32).reshape(2, BUCKETS)
+    return sum((np.frombuffer(r.counts, "<i8") for r in rows.collect()), np.zeros(2 * BUCKETS, dtype=np.int64)).reshape(2, BUCKETS)
 
 
 def target_ids(labels: DataFrame, most: int = TARGET_DOCS) -> np.ndarray:
@@ -99,22 +99,43 @@ def weights_in(batches: Iterator[pa.RecordBatch], shared_counts, shared_target)
             yield pa.record_batch([batch.column(0)[a:b], pa.array(np.bincount(doc, ratio * times, b - a).astype(float)), pa.array(np.bincount(row, minlength=b - a))], names=["doc_id", "log_weight", "n_features"])
 
 
-def top_k(rows: DataFrame, k: int, key: str = "key", step: float = 1e-4) -> DataFrame:
-    """``rows`` with ``kept``: true for the ``k`` rows of largest ``key``, ties to the smaller doc_id.
+#: Values that the driver sorts at most.
+FEW = 50_000
 
-    Quantiles bracket the cut; only the rows between them, about 4 * ``step`` of all, are ranked.
+
+def kth(rows: DataFrame, column: str, k: int) -> float:
+    """The k-th smallest value of ``column`` (no nulls; 1 <= k <= rows): quantiles bracket it until few rows are left between them."""
+    n, value = rows.count(), F.col(column)
+    while n > FEW:
+        low, high = rows.select(F.percentile_approx(column, [max(0.0, k / n - 1e-3), min(1.0, k / n + 1e-3)], 10_000).alias("q")).first().q
+        below, at, upto = rows.agg(*(F.sum(x.cast("long")) for x in (value < low, value <= low, value <= high))).first()
+        if k <= below:
+            rows, n = rows.where(value < low), below
+        elif k <= at:
+            return low
+        elif k <= upto:
+            rows, k, n = rows.where((value > low) & (value <= high)), k - at, upto - at
+        else:
+            rows, k, n = rows.where(value > high), k - upto, n - upto
+    return sorted(r[0] for r in rows.select(column).collect())[k - 1]
+
+
+def top_k(rows: DataFrame, k: int, key: str = "key") -> DataFrame:
+    """``rows`` (key, doc_id, row) with ``kept``: true for the ``k`` rows of largest ``key``, ties to the smaller doc_id (null first), then the smaller row.
+
+    The cut is found by value and not by sorting, column by column, so that equal keys gather nowhere either.
     """
-    n = rows.count()
-    if k >= n or k <= 0:
-        return rows.withColumn("kept", F.lit(k > 0))
-    share = 1 - k / n
-    low, high = rows.select(F.percentile_approx(key, [max(0.0, share - 2 * step), min(1.0, share + 2 * step)], int(1 / step)).alias("q")).first().q
-    above = rows.where(F.col(key) > high).count()
-    if above > k or rows.where(F.col(key) >= low).count() < k:  # the bracket missed, as its error allows
-        low, high, above = float("-inf"), float("inf"), 0
-    between = rows.where((F.col(key) >= low) & (F.col(key) <= high))
-    ranked = between.withColumn("_r", F.row_number().over(Window.orderBy(F.desc(key), "doc_id")))
-    return rows.where(F.col(key) > high).withColumn("kept", F.lit(True)).unionByName(rows.where(F.col(key) < low).withColumn("kept", F.lit(False))).unionByName(ranked.withColumn("kept", F.col("_r") <= k - above).drop("_r"))
+    k = min(k, rows.count())
+    if k <= 0:
+        return rows.withColumn("kept", F.lit(False))
+    kept, tied, left = F.lit(False), F.lit(True), k
+    ordered = rows.withColumns({"_1": -F.col(key), "_2": id_key(), "_3": F.col("row")})
+    for column in ("_1", "_2", "_3"):
+        own = ordered.where(tied)
+        cut = kth(own, column, left)
+        left -= own.where(F.col(column) < cut).count()
+        kept, tied = kept | (tied & (F.col(column) < cut)), tied & (F.col(column) == cut)
+    return ordered.withColumn("kept", kept | tied).drop("_1", "_2", "_3")
 
 
 def resample(docs: DataFrame, labels: DataFrame, share: float | None = None, seed: int = 29) -> DataFrame:
@@ -127,7 +148,7 @@ def resample(docs: DataFrame, labels: DataFrame, share: float | None = None, see
     counts = spark.sparkContext.broadcast(models(docs, target))
     weighed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lambda it: weights_in(it, counts, target), "doc_id long, log_weight double, n_features long")
     uniform = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("doc_id")), 11).cast("double") + 0.5) / float(1 << 53)
-    rows = materialise(weighed.withColumn("key", F.col("log_weight") - F.log(-F.log(uniform))))
+    rows = materialise(weighed.withColumns({"key": F.col("log_weight") - F.log(-F.log(uniform)), "row": F.monotonically_increasing_id()}))
     return top_k(rows, round(share * rows.count())).select("doc_id", "n_features", "log_weight", "key", "kept")
 
 
