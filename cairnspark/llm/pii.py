@@ -28,7 +28,7 @@ from .common import slices, strings, table
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "secret")
 TAGS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
-RESULT = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
+RESULT = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_secret long, n_spans long"
 
 # Patterns: each as leftmost non-overlapping matches, in forms that take linear time on any text.
 LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
@@ -65,6 +65,10 @@ def digits_of(s: str) -> str:
     return "".join(c for c in s if "0" <= c <= "9")
 
 
+def is_card(word: str) -> bool:
+    return 13 <= len(word) <= 19 and word.isascii() and word.isdigit() and luhn(word)
+
+
 def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
     out = {k: [] for k in BASE}
     if "@" in text:
@@ -89,11 +93,11 @@ ODD = r"(?i)[0-9@=+]|[\[(](at|dot)[\])]"
 def shape(word: str) -> str:
     """Letters as a or A, digits as 0, runs of one kind as one, other characters as they are."""
     out = []
-    for c in word[:80]:
+    for c in word:
         s = "0" if c.isdigit() else "A" if c.isupper() else "a" if c.isalpha() else c
         if not out or out[-1] != s or s not in "0Aa":
             out.append(s)
-    return "".join(out)[:24]
+    return "".join(out)
 
 
 def features(word: str) -> tuple[str, ...]:
@@ -105,59 +109,81 @@ def features(word: str) -> tuple[str, ...]:
     if not re.search(ODD, word):
         return ("cue=" + low,) if low in CUES else ("plain",)
     found = ["shape=" + shape(core), "digits=" + str(min(digits, 20)), "long=" + str(min(len(core) // 4, 12))]
-    found += [name for name, ok in (("at", "@" in core), ("equals", "=" in core), ("plus", core.startswith("+")), ("dots3", core.count(".") == 3), ("quoted", word[:1] in "\"'"), ("paren", word[:1] == "("), ("hex", digits > 1 and len(core) >= 16 and not set(low) - set("0123456789abcdef")), ("upper_mix", digits > 0 and len(core) >= 16 and core.isalnum() and core.upper() == core and not core.isdigit()), ("all_digits", core.isdigit()), ("symbols", digits == 0)) if ok]
+    found += [name for name, ok in (("at", "@" in core), ("equals", "=" in core), ("plus", core.startswith("+")), ("dots3", core.count(".") == 3), ("quoted", word[:1] in "\"'"), ("paren", word[:1] == "("), ("luhn", is_card(core)), ("no_luhn", 13 <= digits == len(core) <= 19 and not is_card(core)), ("hex", digits > 1 and len(core) >= 16 and not set(low) - set("0123456789abcdef")), ("upper_mix", digits > 0 and len(core) >= 16 and core.isalnum() and core.upper() == core and not core.isdigit()), ("all_digits", core.isdigit()), ("symbols", digits == 0)) if ok]
     if "=" in core and (head := low.split("=")[0]) in CUES:
         found.append("head=" + head)
     return tuple(found)
 
 
-def labelled_table(n: int = 360, seed: int = 5) -> list[list[tuple[str, str]]]:
-    """A small labelled table: ``n`` lines of (word, tag), made by rule from templates and drawn syllables."""
+def with_check_digit(digits: str) -> str:
+    return next(digits + d for d in "0123456789" if luhn(digits + d))
+
+
+def labelled_table(n: int = 480, seed: int = 5) -> list[list[tuple[str, str]]]:
+    """A small labelled table: ``n`` lines of (word, tag), made by rule from templates and drawn syllables.
+
+    Templates are forms that such data has in prose, settings and code, with decoys of like shapes: numbers that fail the
+    check of cards, versions, dates, amounts, assignments of plain words, hashes of files.
+    """
     rng = np.random.default_rng(seed)
     syllables = "the and er on st ing tion ha re ou der die sch en ge lich el la de que os ar cion le un pour eau ment et".split()
     pick = lambda x: x[int(rng.integers(len(x)))]
-    word = lambda: (lambda w: w.capitalize() if rng.random() < 0.1 else w)("".join(pick(syllables) for _ in range(int(rng.integers(1, 4))))) + (pick([",", "."]) if rng.random() < 0.15 else "")
+    upto = lambda a, b: int(rng.integers(a, b))
+    stem = lambda a=1, b=4: "".join(pick(syllables) for _ in range(upto(a, b)))
+    word = lambda: (lambda w: w.capitalize() if rng.random() < 0.1 else w)(stem()) + (pick([",", "."]) if rng.random() < 0.15 else "")
     number = lambda k: "".join(str(int(d)) for d in rng.integers(0, 10, k))
     hexes = lambda k: "".join(pick("0123456789abcdef") for _ in range(k - 3)) + "a7" + pick("0123456789")
     mixed = lambda k: "".join(pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(k - 2)) + "Q7"
+    cue = lambda: pick(["token", "secret", "key", "password", "passwd", "pwd", "apikey", "api_key"])
+    host = lambda: f"{stem()}.{pick(['com', 'org', 'net', 'de', 'fr', 'es', 'io', 'co.uk'])}"
+    kinds = ["email", "spelled", "ip", "card", "phone", "phone_local", "secret_quoted", "secret_bare", "secret_colon", "secret_key", "no_card", "no_small", "no_version", "no_number", "no_word", "no_assigned", "no_date"]
 
     def item() -> list[tuple[str, str]]:
-        kind = pick(["email", "email2", "ip", "card", "cards", "phone", "phone2", "secret", "secret2", "secret3", "no", "no", "no2", "no3", "no4"])
+        kind = pick(kinds)
         end = pick(["", "", "", ".", ","])
         if kind == "email":
-            return [(f"{pick(syllables)}{pick(syllables)}.{number(2)}@mail{number(1)}.example.com{end}", "B-email")]
-        if kind == "email2":
-            return [(f"{pick(syllables)}{number(2)}", "B-email"), ("[at]", "I-email"), (f"{pick(syllables)}.example.org{end}", "I-email")]
+            return [(f"{stem()}{pick(['', '.', '_', '+'])}{stem()}{number(upto(0, 4))}@{host()}{end}", "B-email")]
+        if kind == "spelled":
+            left, right = pick([("[", "]"), ("(", ")")])
+            return [(stem(), "B-email"), (f"{left}at{right}", "I-email"), (f"{host()}{end}", "I-email")]
         if kind == "ip":
             return [(".".join(str(int(v)) for v in rng.integers(1, 255, 4)) + end, "B-ip")]
         if kind == "card":
-            return [("4" + number(15) + end, "B-card")]
-        if kind == "cards":
-            return [("4" + number(3), "B-card"), (number(4), "I-card"), (number(4), "I-card"), (number(4) + end, "I-card")]
+            return [(with_check_digit(number(pick([14, 15, 15, 15, 17]))) + end, "B-card")]
         if kind == "phone":
-            return [(f"+{1 + int(rng.integers(60))}", "B-phone"), (f"({number(3)})", "I-phone"), (f"{number(3)}-{number(4)}{end}", "I-phone")]
-        if kind == "phone2":
+            return [(f"+{1 + upto(0, 60)}", "B-phone"), (f"({number(3)})", "I-phone"), (f"{number(3)}-{number(4)}{end}", "I-phone")]
+        if kind == "phone_local":
             return [(f"({number(3)})", "B-phone"), (f"{number(3)}-{number(4)}{end}", "I-phone")]
-        if kind == "secret":
-            return [(pick(["token", "secret", "key"]), "O"), ("=", "O"), (f'"{hexes(int(rng.integers(28, 41)))}"{end}', "B-secret")]
-        if kind == "secret2":
-            return [(f"{pick(['password', 'passwd', 'token', 'key'])}={hexes(int(rng.integers(12, 20)))}{end}", "B-secret")]
-        if kind == "secret3":
-            return [("AKIA" + mixed(16) + end, "B-secret")]
-        if kind == "no":
+        if kind == "secret_quoted":
+            quote = pick("\"'")
+            return [(cue(), "O"), (pick(["=", ":="]), "O"), (f"{quote}{hexes(upto(20, 65))}{quote}{end}", "B-secret")]
+        if kind == "secret_bare":
+            return [(f"{cue()}={hexes(upto(12, 33))}{end}", "B-secret")]
+        if kind == "secret_colon":
+            return [(f"{cue()}:", "O"), (f"{hexes(upto(20, 65))}{end}", "B-secret")]
+        if kind == "secret_key":
+            return [(mixed(upto(16, 33)) + end, "B-secret")]
+        if kind == "no_card":
+            digits = number(16)
+            return [(digits + end, "B-card" if luhn(digits) else "O")]
+        if kind == "no_small":
             return [(pick(["2.0.", "4.0.", "3.", "1.2.3", "10%", "1999", "2024.", "7", "12", "365", "(3)", "3-4", "1,000", "50,000.", "x=1", "a=b", "=", "+", "C++", "@", "@@", "++"]), "O")]
-        if kind == "no2":
+        if kind == "no_version":
             return [("Version", "O"), (f"{number(1)}.{number(1)}{end}", "O")]
-        if kind == "no3":
-            return [(number(int(rng.integers(1, 9))) + end, "O")]
-        return [(pick(["at", "dot", f"{pick(syllables)}{number(int(rng.integers(1, 4)))}"]) + end, "O")]
+        if kind == "no_number":
+            return [(number(upto(1, 9)) + end, "O")]
+        if kind == "no_assigned":
+            return [(f"{stem()}={pick([stem(), number(3), 'true', 'None'])}{end}", "O")]
+        if kind == "no_date":
+            return [(f"20{number(2)}-0{1 + upto(0, 8)}-1{number(1)}{end}", "O")]
+        return [(pick(["at", "dot", f"{pick(syllables)}{number(upto(1, 4))}"]) + end, "O")]
 
     out = []
     for _ in range(n):
         line: list[tuple[str, str]] = []
-        for _ in range(int(rng.integers(0, 4))):
-            line += [(word(), "O") for _ in range(int(rng.integers(0, 5)))] + item()
-        out.append(line + [(word(), "O") for _ in range(int(rng.integers(1, 5)))])
+        for _ in range(upto(0, 4)):
+            line += [(word(), "O") for _ in range(upto(0, 5))] + item()
+        out.append(line + [(word(), "O") for _ in range(upto(1, 5))])
     return out
 
 
@@ -264,7 +290,7 @@ class Tagger:
         self.field, self.classes, self.tables = field, {}, []
 
     def class_of(self, word: str) -> int:
-        names = features(word)
+        names = tuple(f for f in features(word) if f in self.field.index)
         k = self.classes.setdefault(names, len(self.classes))
         if k == len(self.tables):
             self.tables.append(self.field.emission(names))
@@ -343,20 +369,20 @@ def found_in(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBat
             rows = []
             for k, doc in enumerate(batch.column(0)[a:b].to_pylist()):
                 if k not in maybe and k not in more:
-                    rows.append((doc, 0, 0, 0, 0, nothing, ""))
+                    rows.append((doc, 0, 0, 0, 0, nothing, "", 0, 0))
                     continue
                 base = base_spans(part[k].as_py())
                 every = [(kind, *s) for kind in BASE for s in base[kind]]
                 text = joined(every)
                 added = [s for s in more.get(k, []) if not any(s[1] < y and x < s[2] for _, x, y in every)]
-                rows.append((doc, *(len(base[kind]) for kind in BASE), hashlib.sha256(text.encode()).hexdigest(), joined(every + added)))
+                rows.append((doc, *(len(base[kind]) for kind in BASE), hashlib.sha256(text.encode()).hexdigest(), joined(every + added), sum(x[0] == "secret" for x in added), len(every) + len(added)))
             columns = list(zip(*rows, strict=True))
-            types = (pa.int64(),) * 5 + (pa.string(), pa.string())
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["doc_id", *(f"n_{k}" for k in BASE), "base_sha256", "spans"])
+            types = (pa.int64(),) * 5 + (pa.string(),) * 2 + (pa.int64(),) * 2
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["doc_id", *(f"n_{k}" for k in BASE), "base_sha256", "spans", "n_secret", "n_spans"])
 
 
 def find(docs: DataFrame, field: Field | None = None) -> DataFrame:
-    """doc_id, the numbers of pattern spans by kind, their digest, and all spans as kind:start:end."""
+    """doc_id, the numbers of pattern spans by kind, their digest, all spans as kind:start:end, and the numbers of secrets and of all spans."""
     shared = docs.sparkSession.sparkContext.broadcast(field or trained())
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lambda it: found_in(it, shared), RESULT)
 

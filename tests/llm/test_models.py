@@ -266,9 +266,11 @@ def test_importance_resampling(spark, small, docs):
     assert [r.log_weight for r in none] == [0.0] * 4 and sum(r.kept for r in none) == 2
 
 
-def test_top_k_brackets(spark):
-    rows = spark.range(2000).select(F.col("id").alias("doc_id"), (F.col("id") % 50).cast("double").alias("key"))
-    want = {r.doc_id for r in rows.orderBy(F.desc("key"), "doc_id").limit(777).collect()}
-    for step in (1e-4, 0.02):
-        assert {r.doc_id for r in importance.top_k(rows, 777, step=step).where("kept").collect()} == want
+def test_top_k_by_value(spark, monkeypatch):
+    monkeypatch.setattr(importance, "FEW", 20)
+    rows = spark.range(2000).select((F.col("id") % 700).alias("doc_id"), (F.col("id") % 5).cast("double").alias("key"), F.col("id").alias("row"))
+    want = {r.row for r in rows.orderBy(F.desc("key"), "doc_id", "row").limit(777).collect()}
+    assert {r.row for r in importance.top_k(rows, 777).where("kept").collect()} == want
     assert importance.top_k(rows, 0).where("kept").count() == 0 and importance.top_k(rows, 5000).where("kept").count() == 2000
+    values = spark.createDataFrame([(float(v),) for v in [1] * 500 + [2] * 500 + list(range(3, 40))], "v double")
+    assert [importance.kth(values, "v", k) for k in (1, 500, 501, 1000, 1001, 1037)] == [1, 1, 2, 2, 3, 39]
