@@ -8,13 +8,7 @@ a similar set may miss, and then two similar sets share two tokens of one subcla
 subclasses follows the set's size (one per SUBCLASS tokens, by size band), so the pairs are as many as the tokens; a set
 also joins the family of the next band, where the larger sets are.  Sets below SMALL tokens index common tokens singly.
 
-Candidates are pairs of sets of fitting sizes under one signature, and each is verified by the exact size of its
-intersection, in two rounds.  The first takes, under each signature, every set and the next by size: as many pairs as
-postings, whatever the lists' lengths.  Its links give components.  The second takes, under the signatures whose sets
-aren't all of one component by then, the other pairs of different components.  A group of near copies is one component
-after the first round; documents that share passages but aren't similar are pairs that fail, and never a group.
-
-Postings are sorted by ranges of (signature, size, set), so a signature that many sets have spans several tasks.
+Candidates are verified pair by pair, as :mod:`links` says.
 
 Defined results: a null text or one without words has an empty set and no links; fewer than five words are one shingle;
 rows with equal doc_id are nodes by their own texts; a null id is the component_id only of its own row without links; an
@@ -32,17 +26,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairnspark.operators.components import connected_components
-
-from .common import hash_words, id_key, join_groups, materialise, mix, slices, strings, table, text_key, words_of
+from . import links
+from .common import hash_words, id_key, materialise, mix, slices, strings, table, text_key, words_of
 from .groups import beside, numbers
 
 WORDS, SUBCLASS, SMALL = 5, 16, 16
 ODD = np.uint64(0x9E3779B97F4A7C15)
 #: From how many sets on a token is common, and how many bytes of text have about the tokens that a task counts.
 COMMON, RANGE_BYTES = 512, 16 << 20
-#: Sets of the smaller components under one signature that meet the others in one task.
-LIST = 1024
 
 
 def shingle_sets(texts: pa.Array, words: int = WORDS) -> Iterator[np.ndarray]:
@@ -70,7 +61,7 @@ def node_of(tokens: np.ndarray) -> int:
     return int(mix(np.array([mix(tokens).sum(dtype=np.uint64) + np.uint64(len(tokens))], dtype=np.uint64)).view(np.int64)[0])
 
 
-def nodes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of each row its id and text key, the size of its set and the set's hash (null for an empty set)."""
     for batch in batches:
         texts = strings(batch.column(2))
@@ -189,52 +180,6 @@ def indexed_in(found: pa.Table, nodes: pa.Table) -> pa.Table:
     return pa.table({"key": np.concatenate(key).view(np.int64), "sid": np.concatenate(sid), "n": np.concatenate(n)})
 
 
-def adjacent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of sorted postings, each set and the next under its signature if their sizes fit, and (dst null) the first and the last posting of the partition."""
-    names, last = ["src", "dst", "key", "n"], None
-    for batch in batches:
-        if not len(batch):
-            continue
-        key, sid, n = (batch.column(k).to_numpy() for k in range(3))
-        if last is None:
-            yield pa.record_batch([sid[:1], pa.nulls(1, pa.int64()), key[:1], n[:1]], names=names)
-        else:
-            key, sid, n = (np.append(x, y) for x, y in zip(last, (key, sid, n), strict=True))
-        last = key[-1:], sid[-1:], n[-1:]
-        at = np.flatnonzero((key[1:] == key[:-1]) & (sid[1:] != sid[:-1]) & (5 * n[:-1] >= 4 * n[1:]))
-        yield pa.record_batch([sid[at], sid[at + 1], key[at], n[at]], names=names)
-    if last is not None:
-        yield pa.record_batch([last[1], pa.nulls(1, pa.int64()), last[0], last[2]], names=names)
-
-
-def neighbours(postings: DataFrame) -> DataFrame:
-    """Distinct pairs (src < dst) of sets next to each other by size under a signature."""
-    ordered = postings.repartitionByRange("key", "n", "sid").sortWithinPartitions("key", "n", "sid")
-    found = materialise(ordered.mapInArrow(adjacent, "src long, dst long, key long, n long"))
-    ends = sorted((r.key, r.n, r.src) for r in found.where("dst IS NULL").collect())  # two for each task
-    across = [(a[2], b[2]) for a, b in zip(ends, ends[1:], strict=False) if a[0] == b[0] and a[2] != b[2] and 5 * a[1] >= 4 * b[1]]
-    pairs = found.where("dst IS NOT NULL").select("src", "dst")
-    if across:
-        pairs = pairs.unionByName(postings.sparkSession.createDataFrame(across, "src long, dst long"))
-    return pairs.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
-
-
-def crossing(postings: DataFrame, labels: DataFrame) -> DataFrame:
-    """Distinct pairs (src < dst) of sets of different components (``labels``: sid, root) and fitting sizes under a signature.
-
-    Under each signature the sets outside its largest component meet all; where there are many, in several tasks.
-    """
-    rows = materialise(postings.join(labels, "sid", "left").withColumn("root", F.coalesce("root", "sid")))
-    per_root = rows.groupBy("key", "root").agg(F.count("*").alias("m"))
-    lists = per_root.groupBy("key").agg(F.max(F.struct("m", "root")).alias("most"), F.sum("m").alias("all"), F.count("*").alias("roots")).where("roots > 1")
-    lists = materialise(lists.select("key", F.col("most.root").alias("main"), "all", F.ceil((F.col("all") - F.col("most.m")) / LIST).alias("parts")))
-    several = materialise(join_groups(rows, lists, "key", "all", rows.count()))
-    few = several.where("root <> main").select("key", F.pmod(F.xxhash64("sid"), "parts").alias("part"), F.col("sid").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
-    every = several.select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
-    fits = (F.col("ra") != F.col("rb")) & (5 * F.least("na", "nb") >= 4 * F.greatest("na", "nb"))
-    return few.join(every, ["key", "part"]).where(fits).select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct()
-
-
 def set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The tokens of the wanted sets."""
     seen: set[int] = set()
@@ -251,53 +196,24 @@ def set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([pa.array([s for s, _ in kept], pa.int64()), pa.ListArray.from_arrays(ends, tokens)], names=["sid", "tokens"])
 
 
-def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (src, dst) with a Jaccard coefficient of at least 0.8, in integers: 100 * both >= 80 * (n_a + n_b - both)."""
-    a, b = (sets.select(F.col("sid").alias(name), F.col("tokens").alias(x)) for name, x in (("src", "x"), ("dst", "y")))
-    both = F.size(F.array_intersect("x", "y"))
-    return pairs.join(a, "src").join(b, "dst").where(9 * both >= 4 * (F.size("x") + F.size("y"))).select("src", "dst")
-
-
-def links_of(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame | None:
-    """Links (src, dst) between sets, enough of them to give the components; None without a candidate.  ``docs``: doc_id, text; ``nodes``: sid, n, owner."""
+def labelled(docs: DataFrame) -> DataFrame:
+    """doc_id, text_key, n, sid (null for an empty set), component_id and ``keep``, the smallest (id, text) of the component (null without one): one row per row."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first().bytes
     ranges = max(1, size // RANGE_BYTES)
     buckets = 1 << (ranges - 1).bit_length()
+    rows = materialise(docs.select("doc_id", text_key().alias("text_key"), "text").mapInArrow(rows_of, "doc_id long, text_key long, n long, sid long"))
+    nodes = materialise(links.nodes_of(rows))
     repeated = docs.select("text").mapInArrow(lambda it: tokens_of(it, ranges), "range int, low binary, high binary, sid binary").groupBy("range").applyInArrow(lambda g: repeated_in(g, buckets), "bucket long, sid binary, tokens binary, steps binary")
     sized = nodes.select(F.col("sid").bitwiseAND(F.lit(buckets - 1)).alias("bucket"), "sid", "n")
     postings = materialise(repeated.groupBy("bucket").cogroup(sized.groupBy("bucket")).applyInArrow(indexed_in, "key long, sid long, n long"))
-    pairs = materialise(neighbours(postings))
-    if pairs.isEmpty():
-        return None
-    ends = pairs.select(F.col("src").alias("sid")).unionByName(pairs.select(F.col("dst").alias("sid"))).distinct()
-    wanted = materialise(ends.join(nodes, "sid").select("sid", F.col("owner.id").alias("id_key"), F.col("owner.text").alias("text_key")))
-    found = beside(docs.select(id_key().alias("id_key"), text_key().alias("text_key"), "text"), wanted, ["id_key", "text_key"])
-    sets = materialise(found.select("sid", "text").mapInArrow(set_rows, "sid long, tokens array<bigint>"))
-    if sets.count() > wanted.count():  # repeated rows were read by several tasks
-        sets = materialise(sets.dropDuplicates(["sid"]))
-    links = materialise(linked(pairs, sets))
-    labels = connected_components(links, one_task=0).select(F.col("id").alias("sid"), F.col("component").alias("root"))
-    more = crossing(postings, labels).join(pairs, ["src", "dst"], "left_anti")
-    return links.unionByName(materialise(linked(more, sets)))
 
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        owned = materialise(wanted.join(nodes, "sid").select("sid", F.col("owner.id").alias("id_key"), F.col("owner.text").alias("text_key")))
+        found = beside(docs.select(id_key().alias("id_key"), text_key().alias("text_key"), "text"), owned, ["id_key", "text_key"])
+        return found.select("sid", "text").mapInArrow(set_rows, "sid long, tokens array<bigint>")
 
-def labelled(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key, n, sid (null for an empty set), component_id and ``keep``, the smallest (id, text) of the component (null without one): one row per row."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first().bytes
-    rows = materialise(docs.select("doc_id", text_key().alias("text_key"), "text").mapInArrow(nodes_of, "doc_id long, text_key long, n long, sid long"))
-    owner = F.min(F.struct(id_key().alias("id"), F.col("text_key").alias("text"))).alias("owner")
-    nodes = materialise(rows.where("sid IS NOT NULL").groupBy("sid").agg(F.max("n").alias("n"), owner, F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")))
-    links = links_of(docs, nodes, size)
-    rooted = nodes.withColumn("root", F.col("sid"))
-    if links is not None:
-        labels = connected_components(links, one_task=0).select(F.col("id").alias("sid"), F.col("component").alias("root"))
-        rooted = nodes.join(labels, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    rooted = materialise(rooted.select("sid", "owner", "doc_id", "copies", "root"))
-    per_root = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.min("owner").alias("keep"), F.sum("copies").alias("rows"), F.count("*").alias("sets"))
-    several = materialise(per_root.where("rows > 1").drop("rows"))
-    known = materialise(join_groups(rooted.select("sid", "copies", "root"), several, "root", "sets", rooted.count()).select("sid", "copies", "component_id", "keep"))
-    out = join_groups(rows, known, "sid", "copies", rows.count(), "left")
-    return out.select("doc_id", "text_key", "n", "sid", F.coalesce("component_id", "doc_id").alias("component_id"), "keep")
+    return links.labelled(rows, nodes, links.links_of(postings, sets_of))
 
 
 def components(docs: DataFrame) -> DataFrame:

@@ -6,23 +6,25 @@ of the text is an anchor, and so is every word with more than GAP words since th
 text without common words have signatures too; a text of fewer than FEW words also has each of them as a signature.  Only
 a text without words has an empty fingerprint.
 
-:func:`similar_pairs` finds all pairs above a threshold: sets are partitioned by length, so that a set meets only its own
-and the next partition, and within them candidates share one of a set's rarest signatures (its prefix); pairs whose
-lengths alone rule the threshold out are pruned before the sets are compared.
+:func:`groups_of` joins documents whose fingerprints have a likeness of 0.8 or more.  Sets are partitioned by length: under a
+signature a set meets those of fitting length only.  Of each set only the signatures that come first in an order by rarity
+(by counts in hashed cells, which are the same everywhere and don't decide what is found) are searched, one more than a
+similar set may miss; candidates are then compared, as :mod:`links` says.
 
 Everything is DataFrame expressions.  Defined results: a null text is empty; two empty fingerprints have likeness 1;
-equal texts have equal fingerprints; a null id comes before all others; rows with equal ids are ordered by text; a table
-of one row is its own next; an empty table gives an empty result; extra columns aren't read.
+equal texts have equal fingerprints; an empty one is grouped with nothing; a null id comes before all others and names a
+group only without others; rows with equal ids are ordered by text; a table of one row is its own next; an empty table
+gives an empty result; extra columns aren't read, but for those that :func:`with_next` is told to carry.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from . import links
+from .common import FIRST, id_key, materialise, table, text_key
+from .groups import beside
 
 #: Common words of English, German, French and Spanish.
 ANCHORS = {
@@ -76,42 +78,43 @@ def as_text(signature_set: Column) -> Column:
     return F.array_join(F.transform(signature_set, lambda h: F.lower(F.lpad(F.hex(h), 16, "0"))), " ")
 
 
-FIRST = -(1 << 63)
+#: Bytes of text that a range of ids has, about, and ranges that are told apart at a time.
+RANGE_BYTES, STEP = 16 << 20, 64
 
 
-def with_next(docs: DataFrame, ranges: int | None = None) -> DataFrame:
-    """doc_id, text and next_text: the text of the following document in ascending doc_id, of the first one after the last.
+def with_next(docs: DataFrame, ranges: int | None = None, carried: list[str] | None = None, derived: dict[str, Column] | None = None) -> DataFrame:
+    """doc_id, text, next_text (the text of the following document in ascending doc_id, of the first one after the last), the columns ``carried``, and those ``derived`` from text, with those of the next as next_...
 
-    Texts are dealt by ranges of ids, once.  The first document of each range goes to the range before it too, as a ghost
-    that only serves as the next of that range's last.
+    Texts are dealt by ranges of ids, once; there are as many as the texts have multiples of RANGE_BYTES.  The first document
+    of each range goes to the range before it too, as a ghost that only serves as the next of that range's last.
     """
-    spark = docs.sparkSession
-    ids = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST)).alias("k"))
-    ranges = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    stats = ids.agg(F.min("k").alias("low"), F.percentile_approx("k", [j / ranges for j in range(1, ranges)] or [0.5], 10_000).alias("cuts")).first()
-    if stats.low is None:
-        return docs.select("doc_id", "text", F.col("text").alias("next_text"))
-    begins = sorted({stats.low, *(stats.cuts or [])})  # each is the id of a document
-    array = F.array(*[F.lit(b).cast("long") for b in begins])
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST))
-    last = len(begins) - 1
-    # the number of ranges that begin at or before the key
-    own = F.size(F.filter(array, lambda b: b <= key)) - 1
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), key.alias("k"), own.alias("own"))
-    ghost = F.struct(F.when(F.col("own") == 0, F.lit(last)).otherwise(F.col("own") - 1).alias("range"), F.lit(1).alias("ghost"))
+    carried, derived = carried or [], derived or {}
+    facts = docs.select(id_key().alias("k"), F.octet_length("text").alias("bytes")).agg(F.min("k").alias("low"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes")).first()
+    low = FIRST if facts.low is None else facts.low
+    ranges = ranges or max(8, facts.bytes // RANGE_BYTES)
+    cuts = docs.select(id_key().alias("k")).agg(F.percentile_approx("k", [j / ranges for j in range(1, ranges)] or [0.5], max(10_000, 4 * ranges))).first()[0]
+    begins = sorted({low, *(cuts or [])})  # each is the id of a document
+    array = lambda values: F.array(*[F.lit(b).cast("long") for b in values])
+    upto = lambda values: F.aggregate(values, F.lit(0), lambda n, b: n + (b <= F.col("k")).cast("int"))
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), id_key().alias("k"), *carried)
+    rows = rows.withColumn("coarse", (upto(array(begins[::STEP])) - 1) * STEP)
+    rows = rows.withColumn("own", F.col("coarse") + upto(F.slice(array(begins), F.col("coarse") + 1, STEP)) - 1)
+    ghost = F.struct(F.when(F.col("own") == 0, F.lit(len(begins) - 1)).otherwise(F.col("own") - 1).alias("range"), F.lit(1).alias("ghost"))
     self_ = F.struct(F.col("own").alias("range"), F.lit(0).alias("ghost"))
-    dealt = rows.withColumn("at", F.explode(F.when(F.array_contains(array, F.col("k")), F.array(self_, ghost)).otherwise(F.array(self_)))).select("doc_id", "text", "k", "at.*")
-    dealt = dealt.repartition(ranges, "range")
+    first = F.element_at(array(begins), F.col("own") + 1) == F.col("k")
+    dealt = rows.withColumn("at", F.explode(F.when(first, F.array(self_, ghost)).otherwise(F.array(self_)))).select("doc_id", "text", "k", *carried, "at.*")
+    dealt = dealt.repartition(max(1, ranges), "range").withColumns(derived) if derived else dealt.repartition(max(1, ranges), "range")
     order = Window.partitionBy("range").orderBy("ghost", "k", "text")
-    return dealt.withColumn("next_text", F.lead("text").over(order)).where("ghost = 0").select("doc_id", "text", "next_text")
+    ahead = {f"next_{c}": F.lead(c).over(order) for c in ("text", *derived)}
+    return dealt.select("*", *[c.alias(name) for name, c in ahead.items()]).where("ghost = 0").select("doc_id", "text", *carried, *derived, *ahead)
 
 
-def edited(docs: DataFrame) -> DataFrame:
-    """doc_id, text, next_text and edited: the last quarter of the code points replaced by as many of the next text."""
+def edited(docs: DataFrame, carried: list[str] | None = None, derived: dict[str, Column] | None = None) -> DataFrame:
+    """What :func:`with_next` gives, and edited: the last quarter of the code points replaced by as many of the next text."""
     n = F.length("text")
     cut = F.floor(n / 4).cast("int")
     text = F.concat(F.substring(F.col("text"), F.lit(1), n - cut), F.substring(F.col("next_text"), F.lit(1), cut))
-    return with_next(docs).withColumn("edited", text)
+    return with_next(docs, None, carried, derived).withColumn("edited", text)
 
 
 def fingerprint(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -119,31 +122,38 @@ def fingerprint(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     return docs.select(F.col(id_column).alias("doc_id"), signatures(F.col(text_column)).alias("signatures"))
 
 
-def similar_pairs(prints: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """Pairs (id_a < id_b, likeness) of ``prints`` (doc_id, signatures; ids unique) with likeness >= threshold, between distinct sets, and ``members``: (doc_id, rep) for copies.
+#: Cells that signatures are counted in, and the length from which a set can be similar to another.
+CELLS, LEAST = 1 << 16, 4
 
-    Returned as (pairs, members): documents with the same set are one class, represented by the smallest id.
-    """
-    rows = materialise(prints.where(F.size("signatures") > 0).withColumn("set", F.sha2(as_text(F.col("signatures")), 256)))
-    members = rows.groupBy("set").agg(F.min("doc_id").alias("rep"))
-    reps = materialise(rows.join(members, "set").where("doc_id = rep").select("rep", "signatures", F.size("signatures").alias("n")))
-    counts = reps.select(F.explode("signatures").alias("s")).groupBy("s").count()
-    step = -math.log(threshold)
-    band = F.floor(F.log(F.col("n").cast("double")) / step + 1e-9).cast("int")
-    tokens = reps.select("rep", "n", F.explode("signatures").alias("s")).join(counts.where("count > 1"), "s", "left").withColumn("count", F.coalesce("count", F.lit(1)))
-    rank = F.row_number().over(Window.partitionBy("rep").orderBy("count", "s"))
-    prefix = tokens.withColumn("r", rank).where((F.col("r") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1) & (F.col("count") > 1))
-    left = prefix.select(F.col("s"), F.col("rep").alias("id_a"), F.col("n").alias("n_a"), band.alias("band"))
-    right = prefix.select(F.col("s"), F.col("rep").alias("id_b"), F.col("n").alias("n_b"), F.explode(F.array(band, band - 1)).alias("band"))
-    ordered = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("id_a") < F.col("id_b")))
-    pairs = left.join(right, ["s", "band"]).where(ordered & (F.col("n_a") >= F.col("n_b") * threshold - 1e-9)).select("id_a", "id_b").distinct()
-    a, b = (reps.select(F.col("rep").alias(f"id_{x}"), F.col("signatures").alias(f"s_{x}")) for x in "ab")
-    checked = pairs.join(a, "id_a").join(b, "id_b").withColumn("likeness", likeness(F.col("s_a"), F.col("s_b"))).where(F.col("likeness") >= threshold)
-    out = checked.select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"), "likeness")
-    return out, rows.join(members, "set").select("doc_id", "rep")
+
+def groups_of(docs: DataFrame) -> DataFrame:
+    """doc_id, text_key and group_id, the smallest doc_id that links of likeness 0.8 or more lead to: one row per row."""
+    prints = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"), signatures(F.col("text")).alias("signatures"))
+    prints = materialise(prints.withColumns({"n": F.size("signatures").cast("long"), "sid": F.when(F.size("signatures") > 0, F.xxhash64("signatures"))}))
+    rows = prints.select("doc_id", "text_key", "n", "sid")
+    nodes = materialise(links.nodes_of(rows))
+    cell = lambda s: F.pmod(s, F.lit(CELLS).cast("long")).cast("int")
+    counts = prints.select(F.explode("signatures").alias("s")).groupBy(cell(F.col("s")).alias("cell")).agg(F.count("*").alias("often"))
+    every = prints.sparkSession.range(CELLS).select(F.col("id").cast("int").alias("cell")).join(counts, "cell", "left")
+    steps = F.struct("cell", F.round(8 * F.log2(F.coalesce("often", F.lit(1)).cast("double"))).cast("int").alias("steps"))
+    steps = every.agg(F.transform(F.array_sort(F.collect_list(steps)), lambda x: x.steps).alias("steps")).withColumn("one", F.lit(1))  # one row of CELLS numbers
+    ranked = F.array_sort(F.transform("signatures", lambda s: F.struct(F.get("steps", cell(s)).alias("steps"), s.alias("s"))))
+    prefix = F.slice(ranked, 1, (F.col("n") - F.ceil(F.col("n") * 4 / 5) + 1).cast("int"))
+    held = prints.where(F.col("n") >= LEAST).withColumn("one", F.lit(1)).join(F.broadcast(materialise(steps)), "one")
+    postings = materialise(held.select("sid", "n", F.explode(prefix).alias("x")).select(F.col("x.s").alias("key"), "sid", "n").distinct())
+
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        owned = materialise(wanted.join(nodes, "sid").select("sid", F.col("owner.id").alias("id_key"), F.col("owner.text").alias("text_key")))
+        return beside(prints.select(id_key().alias("id_key"), "text_key", F.col("signatures").alias("tokens")), owned, ["id_key", "text_key"]).select("sid", "tokens")
+
+    found = links.labelled(rows, nodes, links.links_of(postings, sets_of))
+    return found.select("doc_id", "text_key", F.col("component_id").alias("group_id"))
 
 
 def op3_spotsigs(spark, sf_dir: str) -> DataFrame:
-    rows = edited(table(spark, sf_dir, "documents"))
-    rows = rows.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), signatures(F.col("text")).alias("a"), signatures(F.col("edited")).alias("b"), signatures(F.col("next_text")).alias("c"))
-    return rows.select("doc_id", "n_chars", "edited_sha256", as_text(F.col("a")).alias("fingerprint"), as_text(F.col("b")).alias("edited_fingerprint"), likeness(F.col("a"), F.col("b")).alias("near_edited"), likeness(F.col("a"), F.col("c")).alias("near_next"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    several = groups_of(docs).where("NOT doc_id <=> group_id").select(id_key().alias("id_key"), "text_key", "group_id").distinct()
+    docs = beside(docs.withColumns({"id_key": id_key(), "text_key": text_key()}), materialise(several), ["id_key", "text_key"], "left")
+    rows = edited(docs.select("doc_id", "text", F.coalesce("group_id", "doc_id").alias("group_id")), ["group_id"], {"a": signatures(F.col("text"))})
+    rows = rows.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "a", signatures(F.col("edited")).alias("b"), F.col("next_a").alias("c"), "group_id")
+    return rows.select("doc_id", "n_chars", "edited_sha256", as_text(F.col("a")).alias("fingerprint"), as_text(F.col("b")).alias("edited_fingerprint"), likeness(F.col("a"), F.col("b")).alias("near_edited"), likeness(F.col("a"), F.col("c")).alias("near_next"), "group_id")

@@ -1,3 +1,4 @@
+import itertools
 import random
 import re
 import string
@@ -8,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cairnspark.llm import common, exact_dedup, groups, line_dedup, ngram_join, rarity, spotsigs
+from cairnspark.llm import common, exact_dedup, groups, line_dedup, links, ngram_join, rarity, spotsigs
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
@@ -99,7 +100,7 @@ def families(seed, n, size=60, vocabulary=400):
 @pytest.mark.parametrize("long_list", [1024, 1])
 def test_ngram_join_matches_brute_force(docs, monkeypatch, common_from, long_list):
     monkeypatch.setattr(ngram_join, "COMMON", common_from)
-    monkeypatch.setattr(ngram_join, "LIST", long_list)
+    monkeypatch.setattr(links, "LIST", long_list)
     monkeypatch.setattr(groups, "BROADCAST_ROWS", 500_000 if long_list > 1 else -1)
     texts = [*families(1, 120), None, "", " ", "A b c", "a B c", "a b c d", *families(2, 40, 12, 30)]
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.components(docs(texts)).collect()}
@@ -111,7 +112,7 @@ def test_shared_passages_are_pairs_and_no_group(docs, monkeypatch):
     rng, asked = random.Random(4), []
     passages = [" ".join(f"p{k}x{j}" for j in range(60)) for k in range(600)]
     texts = [" ".join(passages[k] for k in rng.sample(range(600), 10)) for _ in range(600)]
-    monkeypatch.setattr(ngram_join, "linked", lambda pairs, sets, real=ngram_join.linked: asked.append(pairs.count()) or real(pairs, sets))
+    monkeypatch.setattr(links, "linked", lambda pairs, sets, real=links.linked: asked.append(pairs.count()) or real(pairs, sets))
     got = ngram_join.components(docs(texts)).collect()
     assert all(r.component_id == r.doc_id for r in got)
     owners = Counter(k for t in texts for k in {int(p[1:].split("x")[0]) for p in t.split()})
@@ -127,7 +128,7 @@ def test_near_copies_are_linked_without_all_pairs(docs, monkeypatch):
         for at in rng.sample(range(400), 3):
             own[at] = f"v{k}x{at}"
         texts.append(" ".join(own))
-    monkeypatch.setattr(ngram_join, "linked", lambda pairs, sets, real=ngram_join.linked: asked.append(pairs.count()) or real(pairs, sets))
+    monkeypatch.setattr(links, "linked", lambda pairs, sets, real=links.linked: asked.append(pairs.count()) or real(pairs, sets))
     assert {r.component_id for r in ngram_join.components(docs(texts)).collect()} == {0}
     assert sum(asked) < 300 * 299 / 4
 
@@ -233,20 +234,54 @@ def test_hash_words_are_distinct():
     assert len(set(common.hash_words(pa.array(every)).tolist())) == len(set(every))
 
 
-def test_spotsigs_contract(small):
-    rows = {r.doc_id: r for r in spotsigs.op3_spotsigs(small.sparkSession, "/root/testdata/sf0.001").collect()}
+def plain_signatures(text):
+    """SpotSigs in plain Python: the signatures of a text as tuples of an anchor and its chain."""
+    anchors = {w for ws in spotsigs.ANCHORS.values() for w in ws.split()}
+    ws = [w for w in (x.strip(spotsigs.EDGE) for x in re.split(spotsigs.BLANK, (text or "").lower())) if w]
+    found, since = set(), 0
+    for i in range(-1, len(ws)):
+        since = 0 if i < 0 or ws[i] in anchors else since + 1
+        if since == 0 or since > spotsigs.GAP:
+            chain = list(itertools.islice((ws[j] for j in range(i + 1, len(ws)) if ws[j] not in anchors), spotsigs.CHAIN))
+            if len(chain) == spotsigs.CHAIN:
+                found.add((ws[i] if i >= 0 else None, *chain))
+    return found | ({(w,) for w in ws} if len(ws) < spotsigs.FEW else set())
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def test_spotsigs_contract(small, monkeypatch):
+    monkeypatch.setattr(spotsigs, "table", lambda *_: small)
+    rows = {r.doc_id: r for r in spotsigs.op3_spotsigs(small.sparkSession, "").collect()}
     import hashlib
 
-    base = sorted((r.doc_id, r.text or "") for r in small.sparkSession.read.parquet("/root/testdata/sf0.001/documents.parquet").collect())
-    likeness = []
+    base = sorted((r.doc_id, r.text or "") for r in small.collect())
+    sets = [plain_signatures(t) for _, t in base]
+    numbers, likeness = {}, []
     for k, (i, text) in enumerate(base):
         after, cut = base[(k + 1) % len(base)][1], len(text) // 4
+        changed = text[: len(text) - cut] + after[:cut]
         assert rows[i].n_chars == len(text)
-        assert rows[i].edited_sha256 == hashlib.sha256((text[: len(text) - cut] + after[:cut]).encode()).hexdigest()
-        a, b = (set(x.split()) for x in (rows[i].fingerprint, rows[i].edited_fingerprint))
-        assert rows[i].near_edited == pytest.approx(len(a & b) / len(a | b) if a | b else 1.0)
+        assert rows[i].edited_sha256 == hashlib.sha256(changed.encode()).hexdigest()
+        assert rows[i].near_edited == pytest.approx(jaccard(sets[k], plain_signatures(changed)))
+        assert rows[i].near_next == pytest.approx(jaccard(sets[k], sets[(k + 1) % len(base)]))
+        assert len(rows[i].fingerprint.split()) == len(sets[k])
+        assert numbers.setdefault(rows[i].fingerprint, sets[k]) == sets[k]
         likeness.append((rows[i].near_edited, rows[i].near_next))
     assert np.median([a for a, _ in likeness]) > 0.5 and np.median([b for _, b in likeness]) < 0.05
+    assert {i: r.group_id for i, r in rows.items()} == brute_groups([i for i, _ in base], sets)
+
+
+def brute_groups(ids, sets):
+    root = list(range(len(ids)))
+    find = lambda k: k if root[k] == k else find(root[k])
+    for i in range(len(ids)):
+        for j in range(i):
+            if linked(sets[i], sets[j]):
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    return {i: ids[find(k)] for k, i in enumerate(ids)}  # ids ascend, so roots are the smallest
 
 
 def test_spotsigs_on_edges(small, docs):
@@ -259,13 +294,10 @@ def test_spotsigs_on_edges(small, docs):
     assert prints[0] == prints[1] and prints[0] and prints[2] == prints[3] == prints[4] == [] and prints[5]
 
 
-def test_spotsigs_pairs_match_brute_force(docs):
-    texts = [t.replace("w1", "the").replace("w2", "of") for t in families(8, 90, 40, 200)]
-    prints = spotsigs.fingerprint(docs(texts))
-    pairs, members = spotsigs.similar_pairs(prints, 0.8)
-    sets = {r.doc_id: frozenset(r.signatures) for r in prints.collect()}
-    rep = {r.doc_id: r.rep for r in members.collect()}
-    assert rep == {i: min(j for j, t in sets.items() if t == s) for i, s in sets.items() if s}
-    reps = sorted(set(rep.values()))
-    want = {(i, j) for i in reps for j in reps if i < j and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
-    assert {(r.id_a, r.id_b) for r in pairs.collect()} == want
+@pytest.mark.parametrize("long_list", [1024, 2])
+def test_spotsigs_groups_match_brute_force(docs, monkeypatch, long_list):
+    monkeypatch.setattr(links, "LIST", long_list)
+    monkeypatch.setattr(groups, "BROADCAST_ROWS", 500_000 if long_list > 2 else -1)
+    texts = [t.replace("w1", "the").replace("w2", "of") for t in families(8, 90, 40, 200)] + [None, "", "the the", "one two"]
+    got = {r.doc_id: r.group_id for r in spotsigs.groups_of(docs(texts)).collect()}
+    assert got == brute_groups(list(range(len(texts))), [plain_signatures(t) for t in texts])
