@@ -72,6 +72,7 @@ def slices(texts: pa.Array, most: int = 8 << 20):
         end = max(begin + 1, int(np.searchsorted(ends, ends[begin] + most, side="right")) - 1)
         yield begin, min(end, len(texts))
         begin = end
+    pa.default_memory_pool().release_unused()  # workers live on
 
 
 def words_of(texts: pa.Array) -> tuple[np.ndarray, pa.DictionaryArray]:

@@ -4,8 +4,9 @@ Postings are (key, sid, n): a signature, a set that has it, and the set's size.
 signature and their sizes fit.  Candidates are verified by the exact size of their intersection, in two rounds.  The first
 takes, under each signature, every set and the next by size: as many pairs as postings, whatever the lists' lengths.  Its
 links give components.  The second takes, under the signatures whose sets aren't all of one component by then, the other
-pairs of different components.  A group of near copies is one component after the first round; documents that share
-passages but aren't similar are pairs that fail, and never a group.
+pairs of different components, if the sets' sketches allow it: parities of tokens in WIDTH words of 64 bits, which can't
+differ in more bits than the sets differ in tokens.  Near copies are mostly one component after the first round; documents
+that share passages but aren't similar are pairs that fail, and never a group.
 
 Everything is DataFrame expressions, and lists longer than LIST are dealt over several tasks.
 """
@@ -13,16 +14,21 @@ Everything is DataFrame expressions, and lists longer than LIST are dealt over s
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import add
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairnspark.operators.components import connected_components
 
 from .common import id_key, join_groups, materialise
+from .groups import beside
 
 #: Sets of a list that one task holds, about.
 LIST = 1024
+#: Words of a sketch.
+WIDTH = 16
 
 
 def neighbours(postings: DataFrame) -> DataFrame:
@@ -42,8 +48,16 @@ def neighbours(postings: DataFrame) -> DataFrame:
     return adjacent(dealt, "key", "part").unionByName(adjacent(ties, "key")).distinct()
 
 
-def crossing(postings: DataFrame, labels: DataFrame) -> DataFrame:
-    """Distinct pairs (src < dst) of sets of different components (``labels``: sid, root) and fitting sizes under a signature.
+def sketches(sets: DataFrame) -> DataFrame:
+    """(sid, w0, w1, ...): bit b of word k is the parity of the number of tokens with these remainders."""
+    bit = lambda t: F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(F.lit(63)).cast("int"))
+    word = lambda t: F.shiftright(t, 6).bitwiseAND(F.lit(WIDTH - 1))
+    parity = lambda k: F.aggregate(F.filter("tokens", lambda t: word(t) == k), F.lit(0).cast("long"), lambda x, t: x.bitwiseXOR(bit(t)))
+    return sets.select("sid", *[parity(k).alias(f"w{k}") for k in range(WIDTH)])
+
+
+def crossing(postings: DataFrame, labels: DataFrame, sketched: DataFrame) -> DataFrame:
+    """Distinct pairs (src < dst) of sets of different components (``labels``: sid, root), fitting sizes and fitting sketches under a signature.
 
     Under each signature the sets outside its largest component meet all; where there are many, in several tasks.
     """
@@ -51,10 +65,14 @@ def crossing(postings: DataFrame, labels: DataFrame) -> DataFrame:
     per_root = rows.groupBy("key", "root").agg(F.count("*").alias("m"))
     lists = per_root.groupBy("key").agg(F.max(F.struct("m", "root")).alias("most"), F.sum("m").alias("all"), F.count("*").alias("roots")).where("roots > 1")
     lists = materialise(lists.select("key", F.col("most.root").alias("main"), "all", F.ceil((F.col("all") - F.col("most.m")) / LIST).alias("parts")))
-    several = materialise(join_groups(rows, lists, "key", "all", rows.count()))
-    few = several.where("root <> main").select("key", F.pmod(F.xxhash64("sid"), "parts").alias("part"), F.col("sid").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
-    every = several.select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
-    fits = (F.col("ra") != F.col("rb")) & (5 * F.least("na", "nb") >= 4 * F.greatest("na", "nb"))
+    several = materialise(join_groups(rows, lists, "key", "all", rows.count()).join(sketched, "sid"))
+    words = [f"w{k}" for k in range(WIDTH)]
+    few = several.where("root <> main").select("key", F.pmod(F.xxhash64("sid"), "parts").alias("part"), F.col("sid").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), *[F.col(w).alias(f"a{w}") for w in words])
+    every = several.select("key", "main", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"), *words)
+    differ: Column = reduce(add, [F.bit_count(F.col(f"a{w}").bitwiseXOR(F.col(w))) for w in words])
+    # of two small components each meets the other; sets that are similar differ in a ninth of their tokens at most
+    once = (F.col("rb") == F.col("main")) | (F.col("a") < F.col("b"))
+    fits = (F.col("ra") != F.col("rb")) & once & (5 * F.least("na", "nb") >= 4 * F.greatest("na", "nb")) & (9 * differ <= F.col("na") + F.col("nb"))
     return few.join(every, ["key", "part"]).where(fits).select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct()
 
 
@@ -67,6 +85,8 @@ def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def links_of(postings: DataFrame, sets_of: Callable[[DataFrame], DataFrame]) -> DataFrame | None:
     """Links (src, dst), enough of them to give the components; None without a candidate.  ``sets_of`` gives (sid, tokens array<bigint>) of the wanted (sid)."""
+    shared = materialise(postings.groupBy("key").agg(F.min("sid").alias("low"), F.max("sid").alias("high")).where("low < high").select("key"))
+    postings = materialise(beside(postings, shared, ["key"]).distinct())
     pairs = materialise(neighbours(postings))
     if pairs.isEmpty():
         return None
@@ -76,7 +96,7 @@ def links_of(postings: DataFrame, sets_of: Callable[[DataFrame], DataFrame]) ->
         sets = materialise(sets.dropDuplicates(["sid"]))
     links = materialise(linked(pairs, sets))
     labels = connected_components(links, one_task=0).select(F.col("id").alias("sid"), F.col("component").alias("root"))
-    more = crossing(postings, labels).join(pairs, ["src", "dst"], "left_anti")
+    more = crossing(postings, labels, materialise(sketches(sets))).join(pairs, ["src", "dst"], "left_anti")
     return links.unionByName(materialise(linked(more, sets)))
 
 

@@ -33,7 +33,9 @@ from .groups import beside, numbers
 WORDS, SUBCLASS, SMALL = 5, 16, 16
 ODD = np.uint64(0x9E3779B97F4A7C15)
 #: From how many sets on a token is common, and how many bytes of text have about the tokens that a task counts.
-COMMON, RANGE_BYTES = 512, 16 << 20
+COMMON, RANGE_BYTES = 512, 8 << 20
+#: Bytes of text that a task reads at a time.
+SLICE = 2 << 20
 
 
 def shingle_sets(texts: pa.Array, words: int = WORDS) -> Iterator[np.ndarray]:
@@ -65,7 +67,7 @@ def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of each row its id and text key, the size of its set and the set's hash (null for an empty set)."""
     for batch in batches:
         texts = strings(batch.column(2))
-        for a, b in slices(texts):
+        for a, b in slices(texts, SLICE):
             sets = list(shingle_sets(texts[a:b]))
             yield pa.record_batch([batch.column(0)[a:b], batch.column(1)[a:b], pa.array([len(s) for s in sets], pa.int64()), pa.array([node_of(s) if len(s) else None for s in sets], pa.int64())], names=["doc_id", "text_key", "n", "sid"])
 
@@ -78,7 +80,7 @@ def tokens_of(batches: Iterator[pa.RecordBatch], ranges: int) -> Iterator[pa.Rec
     seen: set[int] = set()
     for batch in batches:
         texts = strings(batch.column(0))
-        for a, b in slices(texts):
+        for a, b in slices(texts, SLICE):
             own, tokens = [], []
             for s in shingle_sets(texts[a:b]):
                 if len(s) >= 4 and (sid := node_of(s)) not in seen:
@@ -185,7 +187,7 @@ def set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen: set[int] = set()
     for batch in batches:
         texts = strings(batch.column(1))
-        for a, b in slices(texts):
+        for a, b in slices(texts, SLICE):
             wanted, kept = batch.column(0)[a:b].to_pylist(), []
             for sid, own in zip(wanted, shingle_sets(texts[a:b]), strict=True):
                 if len(own) and sid not in seen and node_of(own) == sid:

@@ -140,7 +140,7 @@ def groups_of(docs: DataFrame) -> DataFrame:
     ranked = F.array_sort(F.transform("signatures", lambda s: F.struct(F.get("steps", cell(s)).alias("steps"), s.alias("s"))))
     prefix = F.slice(ranked, 1, (F.col("n") - F.ceil(F.col("n") * 4 / 5) + 1).cast("int"))
     held = prints.where(F.col("n") >= LEAST).withColumn("one", F.lit(1)).join(F.broadcast(materialise(steps)), "one")
-    postings = materialise(held.select("sid", "n", F.explode(prefix).alias("x")).select(F.col("x.s").alias("key"), "sid", "n").distinct())
+    postings = materialise(held.select("sid", "n", F.explode(prefix).alias("x")).select(F.col("x.s").alias("key"), "sid", "n"))
 
     def sets_of(wanted: DataFrame) -> DataFrame:
         owned = materialise(wanted.join(nodes, "sid").select("sid", F.col("owner.id").alias("id_key"), F.col("owner.text").alias("text_key")))
