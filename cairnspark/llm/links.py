@@ -1,12 +1,13 @@
 """Links between sets that share signatures, verified pair by pair, and the components that they give.
 
 Postings are (key, sid, n): a signature, a set that has it, and the set's size.  Two sets may be similar if they share a
-signature and their sizes fit.  Candidates are verified by the exact size of their intersection, in two rounds.  The first
+signature and their sizes fit.  Candidates are verified by the exact size of their intersection, in three rounds.  The first
 takes, under each signature, every set and the next by size: as many pairs as postings, whatever the lists' lengths.  Its
-links give components.  The second takes, under the signatures whose sets aren't all of one component by then, the other
-pairs of different components, if the sets' sketches allow it: parities of tokens in WIDTH words of 64 bits, which can't
-differ in more bits than the sets differ in tokens.  Near copies are mostly one component after the first round; documents
-that share passages but aren't similar are pairs that fail, and never a group.
+links give components.  The others look only at signatures whose sets aren't all of one component by then, at pairs of
+different components, and at those only whose sketches allow it: parities of tokens in WIDTH words of 64 bits, which can't
+differ in more bits than the sets differ in tokens.  The second takes every set and the NEAR next, the third all pairs
+that are left.  Near copies are mostly one component before it; documents that share passages but aren't similar are pairs
+that fail, and never a group.
 
 Everything is DataFrame expressions, and lists longer than LIST are dealt over several tasks.
 """
@@ -27,8 +28,8 @@ from .groups import beside
 
 #: Sets of a list that one task holds, about.
 LIST = 1024
-#: Words of a sketch.
-WIDTH = 16
+#: Words of a sketch, and how many of the next sets by size a set meets in the second round.
+WIDTH, NEAR = 16, 8
 
 
 def neighbours(postings: DataFrame) -> DataFrame:
@@ -56,24 +57,46 @@ def sketches(sets: DataFrame) -> DataFrame:
     return sets.select("sid", *[parity(k).alias(f"w{k}") for k in range(WIDTH)])
 
 
-def crossing(postings: DataFrame, labels: DataFrame, sketched: DataFrame) -> DataFrame:
-    """Distinct pairs (src < dst) of sets of different components (``labels``: sid, root), fitting sizes and fitting sketches under a signature.
-
-    Under each signature the sets outside its largest component meet all; where there are many, in several tasks.
-    """
+def unresolved(postings: DataFrame, labels: DataFrame, sketched: DataFrame) -> DataFrame:
+    """The postings of signatures whose sets are of several components (``labels``: sid, root), with root, sketch, the list's largest component ``main`` and its ``parts``."""
     rows = materialise(postings.join(labels, "sid", "left").withColumn("root", F.coalesce("root", "sid")))
     per_root = rows.groupBy("key", "root").agg(F.count("*").alias("m"))
     lists = per_root.groupBy("key").agg(F.max(F.struct("m", "root")).alias("most"), F.sum("m").alias("all"), F.count("*").alias("roots")).where("roots > 1")
-    lists = materialise(lists.select("key", F.col("most.root").alias("main"), "all", F.ceil((F.col("all") - F.col("most.m")) / LIST).alias("parts")))
-    several = materialise(join_groups(rows, lists, "key", "all", rows.count()).join(sketched, "sid"))
-    words = [f"w{k}" for k in range(WIDTH)]
-    few = several.where("root <> main").select("key", F.pmod(F.xxhash64("sid"), "parts").alias("part"), F.col("sid").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), *[F.col(w).alias(f"a{w}") for w in words])
-    every = several.select("key", "main", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"), *words)
-    differ: Column = reduce(add, [F.bit_count(F.col(f"a{w}").bitwiseXOR(F.col(w))) for w in words])
-    # of two small components each meets the other; sets that are similar differ in a ninth of their tokens at most
-    once = (F.col("rb") == F.col("main")) | (F.col("a") < F.col("b"))
-    fits = (F.col("ra") != F.col("rb")) & once & (5 * F.least("na", "nb") >= 4 * F.greatest("na", "nb")) & (9 * differ <= F.col("na") + F.col("nb"))
-    return few.join(every, ["key", "part"]).where(fits).select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct()
+    lists = materialise(lists.select("key", F.col("most.root").alias("main"), "all", F.ceil((F.col("all") - F.col("most.m")) / LIST).alias("parts"), F.ceil(F.col("all") / LIST).alias("deals")))
+    return materialise(join_groups(rows, lists, "key", "all", rows.count()).join(sketched, "sid"))
+
+
+def fits(a: str, b: str) -> Column:
+    """Whether the sets in the structs ``a`` and ``b`` are of different components and may be similar: those that are differ in a ninth of their tokens at most."""
+    x, y = (lambda name: F.col(f"{a}.{name}")), (lambda name: F.col(f"{b}.{name}"))
+    differ: Column = reduce(add, [F.bit_count(x(f"w{k}").bitwiseXOR(y(f"w{k}"))) for k in range(WIDTH)])
+    return (x("root") != y("root")) & (5 * F.least(x("n"), y("n")) >= 4 * F.greatest(x("n"), y("n"))) & (9 * differ <= x("n") + y("n"))
+
+
+def pairs_of(rows: DataFrame) -> DataFrame:
+    return rows.select(F.least("a.sid", "b.sid").alias("src"), F.greatest("a.sid", "b.sid").alias("dst")).distinct()
+
+
+NODE = ["sid", "n", "root", *[f"w{k}" for k in range(WIDTH)]]
+
+
+def nearby(rows: DataFrame) -> DataFrame:
+    """Distinct pairs of the :func:`unresolved` postings ``rows``: each set and the NEAR next by size under its signature that fit."""
+    dealt = rows.select("key", F.pmod(F.xxhash64("sid"), "deals").alias("part"), F.struct(*NODE).alias("a"))
+    order = Window.partitionBy("key", "part").orderBy("a.n", "a.sid")
+    others = dealt.select("a", F.array(*[F.lead("a", k).over(order) for k in range(1, NEAR + 1)]).alias("others"))
+    return pairs_of(others.select("a", F.explode(F.filter("others", lambda x: x.isNotNull())).alias("b")).where(fits("a", "b")))
+
+
+def crossing(rows: DataFrame) -> DataFrame:
+    """Distinct pairs of the :func:`unresolved` postings ``rows`` that fit.
+
+    Under each signature the sets outside its largest component meet all; where there are many, in several tasks.
+    """
+    few = rows.where("root <> main").select("key", F.pmod(F.xxhash64("sid"), "parts").alias("part"), F.struct(*NODE).alias("a"))
+    every = rows.select("key", "main", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.struct(*NODE).alias("b"))
+    once = (F.col("b.root") == F.col("main")) | (F.col("a.sid") < F.col("b.sid"))  # of two small components each meets the other
+    return pairs_of(few.join(every, ["key", "part"]).where(once & fits("a", "b")))
 
 
 def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -94,10 +117,13 @@ def links_of(postings: DataFrame, sets_of: Callable[[DataFrame], DataFrame]) ->
     sets = materialise(sets_of(wanted))
     if sets.count() > wanted.count():  # repeated rows were read by several tasks
         sets = materialise(sets.dropDuplicates(["sid"]))
-    links = materialise(linked(pairs, sets))
-    labels = connected_components(links, one_task=0).select(F.col("id").alias("sid"), F.col("component").alias("root"))
-    more = crossing(postings, labels, materialise(sketches(sets))).join(pairs, ["src", "dst"], "left_anti")
-    return links.unionByName(materialise(linked(more, sets)))
+    links, sketched = materialise(linked(pairs, sets)), materialise(sketches(sets))
+    for more in (nearby, crossing):
+        labels = connected_components(links, one_task=0).select(F.col("id").alias("sid"), F.col("component").alias("root"))
+        found = materialise(more(unresolved(postings, labels, sketched)).join(pairs, ["src", "dst"], "left_anti"))
+        links = materialise(links.unionByName(linked(found, sets)))
+        pairs = pairs.unionByName(found)
+    return links
 
 
 def nodes_of(rows: DataFrame) -> DataFrame:
