@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairnspark.frame import collected, dimension, matrix
+from cairnspark.frame import dimension, matrix
 from cairnspark.functions.hierarchy import prim
 from cairnspark.operators.components import connected_components
 from cairnspark.operators.knn import best, knn_graph, knn_join
@@ -110,7 +110,7 @@ def _completed(cloud: DataFrame, core: DataFrame, tree: DataFrame | None, labels
 
 
 def boruvka_mst(cloud: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
-    """Exact ``(u, v, w)`` and ``(id, core)``: rounds over all pairs of blocks; the neighbour table, which the cores need anyway, gives the edges that are surely lightest."""
+    """Exact ``(u, v, w)`` and ``(id, core)``: rounds over all pairs of blocks, quadratic work by nature; the neighbour table gives the cores."""
     graph = materialise(knn_join(cloud, k))
     core = materialise(core_distances(graph, k))
     labels = cloud.select("id", F.col("id").alias("component"))

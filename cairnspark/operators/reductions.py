@@ -35,8 +35,14 @@ def bottom_k_per_group(rows: DataFrame, group: str, k: int, value: str = "x") ->
     return rows.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+#: Points of the side that :func:`pairwise` broadcasts, at most.
+PAIRWISE_ROWS = 10_000
+
+
 def pairwise(x: DataFrame, y: DataFrame) -> DataFrame:
-    """``(i, j, d2)`` of all pairs; for a ``y`` of a few points."""
+    """``(i, j, d2)`` of all pairs; ``y`` has PAIRWISE_ROWS points at most, more raise (range and neighbour joins take any number)."""
+    if len(y.take(PAIRWISE_ROWS + 1)) > PAIRWISE_ROWS:
+        raise ValueError(f"pairwise takes at most {PAIRWISE_ROWS} points on its second side")
     return x.select(F.col("id").alias("i"), F.col("features").alias("a")).crossJoin(F.broadcast(y.select(F.col("id").alias("j"), F.col("features").alias("b")))).select("i", "j", sq_euclidean(F.col("a"), F.col("b")).alias("d2"))
 
 

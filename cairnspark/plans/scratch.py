@@ -14,10 +14,12 @@ _written: list[str] = []
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; where it is unset, as in local tests, a folder of our own."""
+    """``spark.checkpoint.dir`` of the session; where it is unset, as in local tests, a folder of our own; on a cluster that is an error, as machines don't see each other's folders."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not _own_dir:
         _own_dir.append(tempfile.mkdtemp(prefix="cairnspark-"))
         atexit.register(shutil.rmtree, _own_dir[0], ignore_errors=True)

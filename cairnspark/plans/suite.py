@@ -41,7 +41,7 @@ def heap_peak_mb(spark: SparkSession) -> float:
 
 
 def run_suite(spark: SparkSession, chosen: list[R.Recipe], sizes: list[int] | None = None, dims: list[int] | None = None) -> list[dict]:
-    """A result row per cell.  There is no second engine here: labels are held against the generator's truth, and the columns of the other side repeat ours."""
+    """A result row per cell.  There is no second engine here: labels are held against the generator's truth, and the columns of the other side are null."""
     out = []
     for recipe in chosen:
         for d in dims or recipe.dims:
@@ -58,7 +58,7 @@ def run_suite(spark: SparkSession, chosen: list[R.Recipe], sizes: list[int] | No
                         times.append(1000 * (time.perf_counter() - began))
                     peak = heap_peak_mb(spark)
                     ari, median = adjusted_rand_index(truth, labels).first().ari, statistics.median(times)
-                    out.append({"recipe_name": recipe.name, "size": n, "dims": d, "params": {k: str(v) for k, v in params.items()}, "ours_median_ms": median, "theirs_median_ms": median, "ours_peak_mb": peak, "theirs_peak_mb": peak, "ari": ari, "ours_noise_frac": noise, "theirs_noise_frac": 0.0, "speedup": 1.0, "timestamp": R.capture_metadata().timestamp, "effective_params": {}})
+                    out.append({"recipe_name": recipe.name, "size": n, "dims": d, "params": {k: str(v) for k, v in params.items()}, "ours_median_ms": median, "theirs_median_ms": None, "ours_peak_mb": peak, "theirs_peak_mb": None, "ari": ari, "ours_noise_frac": noise, "theirs_noise_frac": None, "speedup": None, "timestamp": R.capture_metadata().timestamp, "effective_params": {}})
                 data.unpersist()
     return out
 

@@ -20,6 +20,7 @@ RESULT = (
     "recipe_name string, size int, dims int, params map<string,string>, ours_median_ms double, theirs_median_ms double, ours_peak_mb double, "
     "theirs_peak_mb double, ari double, ours_noise_frac double, theirs_noise_frac double, speedup double, timestamp string, effective_params map<string,string>"
 )
+OTHER = ("theirs_median_ms", "theirs_peak_mb", "theirs_noise_frac", "speedup")
 NUMBERS = ("ours_median_ms", "theirs_median_ms", "ours_peak_mb", "theirs_peak_mb", "ari", "ours_noise_frac", "theirs_noise_frac", "speedup")
 
 
@@ -147,9 +148,9 @@ def safe_ratio(numerator: Column, denominator: Column) -> Column:
 
 
 def gates(results: DataFrame, thresholds: DataFrame) -> DataFrame:
-    """``results`` with ``reasons``, the gates that a row fails; ``thresholds`` is (recipe_name, threshold), 0.85 where missing."""
+    """``results`` with ``reasons``, the gates that a row fails; ``thresholds`` is (recipe_name, threshold), 0.85 where missing.  Numbers of the other side may be null, where there is none."""
     joined = results.join(F.broadcast(thresholds), "recipe_name", "left").withColumn("threshold", F.coalesce("threshold", F.lit(0.85)))
-    infinite = [F.when(F.isnan(n) | (F.abs(n) == float("inf")) | F.col(n).isNull(), F.lit(f"{n} not finite")) for n in NUMBERS]
+    infinite = [F.when(F.isnan(n) | (F.abs(n) == float("inf")) | (F.col(n).isNull() & F.lit(n not in OTHER)), F.lit(f"{n} not finite")) for n in NUMBERS]
     peaks = [F.when(F.col(n) <= 0, F.lit(f"{n} not positive")) for n in ("ours_peak_mb", "theirs_peak_mb")]
     low = F.when((F.col("ari") < F.col("threshold")) | F.isnan("ari"), F.lit("ari below threshold"))
     return joined.withColumn("reasons", F.array_compact(F.array(low, *peaks, *infinite)))

@@ -1,7 +1,8 @@
 """A corpus pipeline over ``documents``: language ID, line dedup, n-gram Jaccard join, mixing, packing.
 
 Every stage takes (spark, docs, sf_dir) and returns documents with the columns of ``documents``, but for the last, which
-returns the packed pieces.
+returns the packed pieces.  A stage does with nulls, empty and long texts, ties and repeated rows what its operator's
+module says; an empty table stays empty, and columns of other names are carried.
 """
 
 from __future__ import annotations
@@ -13,27 +14,27 @@ from cairnspark.llm.common import materialise, table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that language ID rejects go: those without a letter, and those that are no text of a learned language."""
+    """Documents that language ID rejects go: those without a letter (nulls and empty texts too), and those that are no text of a learned language."""
     return language_id.keep_identified(docs, language_id.fit(docs))
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that are similar to an earlier one go; documents stay, whatever is left of them."""
-    return line_dedup.clean(docs).select(*docs.columns)
+    """Lines that are similar to an earlier one go, a null id before all; documents stay, whatever is left of them."""
+    return line_dedup.clean(docs).select(*docs.columns)  # the added columns have other names
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of linked documents the one with the smallest id stays."""
+    """Of each component of linked documents the row with the smallest id stays, null first, and one of equal rows; documents without words all stay."""
     return ngram_join.keep_one(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources are cut or repeated to their targets; a repeated document has a row for each time."""
+    """Sources are cut or repeated to their targets; a repeated document has a row for each time, one without words none."""
     return mixing.mix(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents, placed in sequences."""
+    """The pieces of all documents, placed in sequences; repeated documents are packed each on its own."""
     return packing.pack(docs)
 
 
