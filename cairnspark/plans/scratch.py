@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,9 +36,24 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete every table that :func:`materialise` wrote; frames built on them can't be read afterwards."""
+def _delete(spark: SparkSession, paths: list[str]) -> None:
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+    for name in paths:
+        path = jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(conf).delete(path, True)
+
+
+def only(spark: SparkSession, build: Callable[[], DataFrame]) -> DataFrame:
+    """:func:`materialise` what ``build`` returns, and delete every table that was written on the way to it."""
+    before = len(_written)
+    kept = materialise(build())
+    *passing, last = _written[before:]
+    _written[before:] = [last]
+    _delete(spark, passing)
+    return kept
+
+
+def release(spark: SparkSession) -> None:
+    """Delete every table that :func:`materialise` wrote; frames built on them can't be read afterwards."""
+    _delete(spark, _written)
+    _written.clear()
