@@ -6,7 +6,8 @@ takes, under each signature, every set and the next by size: as many pairs as po
 links give components.  The others look only at signatures whose sets aren't all of one component by then, at pairs of
 different components, and at those only whose sketches allow it: parities of tokens in WIDTH words of 64 bits, which can't
 differ in more bits than the sets differ in tokens.  The second takes every set and the NEAR next, the third all pairs
-that are left.  Near copies are mostly one component before it; documents that share passages but aren't similar are pairs
+that are left, each under the first of the signatures that it shares: of every set a posting carries the PRIOR signatures
+before its own, and where two sets have one of them in common, the pair is met there.  Near copies are mostly one component before it; documents that share passages but aren't similar are pairs
 that fail, and never a group.
 
 Everything is DataFrame expressions, and lists longer than LIST are dealt over several tasks.
@@ -30,6 +31,8 @@ from .groups import beside
 LIST = 1024
 #: Words of a sketch, and how many of the next sets by size a set meets in the second round.
 WIDTH, NEAR = 16, 8
+#: How many of a set's earlier signatures tell that a pair has been met; more signatures between two shared ones only repeat the pair.
+PRIOR = 8
 
 
 def neighbours(postings: DataFrame) -> DataFrame:
@@ -58,19 +61,20 @@ def sketches(sets: DataFrame) -> DataFrame:
 
 
 def unresolved(postings: DataFrame, labels: DataFrame, sketched: DataFrame) -> DataFrame:
-    """The postings of signatures whose sets are of several components (``labels``: sid, root), with root, sketch, the list's largest component ``main`` and its ``parts``."""
+    """The postings of signatures whose sets are of several components (``labels``: sid, root), with root, sketch, ``prior`` (the set's last such signatures before this one), the list's largest component ``main`` and its ``parts``."""
     rows = materialise(postings.join(labels, "sid", "left").withColumn("root", F.coalesce("root", "sid")))
     per_root = rows.groupBy("key", "root").agg(F.count("*").alias("m"))
     lists = per_root.groupBy("key").agg(F.max(F.struct("m", "root")).alias("most"), F.sum("m").alias("all"), F.count("*").alias("roots")).where("roots > 1")
     lists = materialise(lists.select("key", F.col("most.root").alias("main"), "all", F.ceil((F.col("all") - F.col("most.m")) / LIST).alias("parts"), F.ceil(F.col("all") / LIST).alias("deals")))
-    return materialise(join_groups(rows, lists, "key", "all", rows.count()).join(sketched, "sid"))
+    before = Window.partitionBy("sid").orderBy("key").rowsBetween(-PRIOR, -1)
+    held = join_groups(rows, lists, "key", "all", rows.count()).withColumn("prior", F.collect_list("key").over(before))
+    return materialise(held.join(sketched, "sid"))
 
 
-def fits(a: str, b: str) -> Column:
+def fits(a: Column, b: Column) -> Column:
     """Whether the sets in the structs ``a`` and ``b`` are of different components and may be similar: those that are differ in a ninth of their tokens at most."""
-    x, y = (lambda name: F.col(f"{a}.{name}")), (lambda name: F.col(f"{b}.{name}"))
-    differ: Column = reduce(add, [F.bit_count(x(f"w{k}").bitwiseXOR(y(f"w{k}"))) for k in range(WIDTH)])
-    return (x("root") != y("root")) & (5 * F.least(x("n"), y("n")) >= 4 * F.greatest(x("n"), y("n"))) & (9 * differ <= x("n") + y("n"))
+    differ: Column = reduce(add, [F.bit_count(a[f"w{k}"].bitwiseXOR(b[f"w{k}"])) for k in range(WIDTH)])
+    return (a["root"] != b["root"]) & (5 * F.least(a["n"], b["n"]) >= 4 * F.greatest(a["n"], b["n"])) & (9 * differ <= a["n"] + b["n"])
 
 
 def pairs_of(rows: DataFrame) -> DataFrame:
@@ -85,7 +89,7 @@ def nearby(rows: DataFrame) -> DataFrame:
     dealt = rows.select("key", F.pmod(F.xxhash64("sid"), "deals").alias("part"), F.struct(*NODE).alias("a"))
     order = Window.partitionBy("key", "part").orderBy("a.n", "a.sid")
     others = dealt.select("a", F.array(*[F.lead("a", k).over(order) for k in range(1, NEAR + 1)]).alias("others"))
-    return pairs_of(others.select("a", F.explode(F.filter("others", lambda x: x.isNotNull())).alias("b")).where(fits("a", "b")))
+    return pairs_of(others.select("a", F.explode(F.filter("others", lambda b: b.isNotNull() & fits(F.col("a"), b))).alias("b")))
 
 
 def crossing(rows: DataFrame) -> DataFrame:
@@ -93,10 +97,11 @@ def crossing(rows: DataFrame) -> DataFrame:
 
     Under each signature the sets outside its largest component meet all; where there are many, in several tasks.
     """
-    few = rows.where("root <> main").select("key", F.pmod(F.xxhash64("sid"), "parts").alias("part"), F.struct(*NODE).alias("a"))
-    every = rows.select("key", "main", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.struct(*NODE).alias("b"))
+    few = rows.where("root <> main").select("key", F.pmod(F.xxhash64("sid"), "parts").alias("part"), F.struct(*NODE, "prior").alias("a"))
+    every = rows.select("key", "main", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.struct(*NODE, "prior").alias("b"))
+    first = ~F.arrays_overlap("a.prior", "b.prior")  # under the least signature of a pair, nothing before it is shared
     once = (F.col("b.root") == F.col("main")) | (F.col("a.sid") < F.col("b.sid"))  # of two small components each meets the other
-    return pairs_of(few.join(every, ["key", "part"]).where(once & fits("a", "b")))
+    return pairs_of(few.join(every, ["key", "part"]).where(once & fits(F.col("a"), F.col("b")) & first))
 
 
 def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -106,8 +111,8 @@ def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(a, "src").join(b, "dst").where(9 * both >= 4 * (F.size("x") + F.size("y"))).select("src", "dst")
 
 
-def links_of(postings: DataFrame, sets_of: Callable[[DataFrame], DataFrame]) -> DataFrame | None:
-    """Links (src, dst), enough of them to give the components; None without a candidate.  ``sets_of`` gives (sid, tokens array<bigint>) of the wanted (sid)."""
+def links_of(postings: DataFrame, sets_of: Callable[[DataFrame], DataFrame], one_task: int = 0) -> DataFrame | None:
+    """Links (src, dst), enough of them to give the components; None without a candidate.  ``sets_of`` gives (sid, tokens array<bigint>) of the wanted (sid); ``one_task`` as in :func:`connected_components`, 0 for DataFrame expressions only."""
     shared = materialise(postings.groupBy("key").agg(F.min("sid").alias("low"), F.max("sid").alias("high")).where("low < high").select("key"))
     postings = materialise(beside(postings, shared, ["key"]).distinct())
     pairs = materialise(neighbours(postings))
@@ -119,7 +124,7 @@ def links_of(postings: DataFrame, sets_of: Callable[[DataFrame], DataFrame]) ->
         sets = materialise(sets.dropDuplicates(["sid"]))
     links, sketched = materialise(linked(pairs, sets)), materialise(sketches(sets))
     for more in (nearby, crossing):
-        labels = connected_components(links, one_task=0).select(F.col("id").alias("sid"), F.col("component").alias("root"))
+        labels = connected_components(links, one_task=one_task).select(F.col("id").alias("sid"), F.col("component").alias("root"))
         found = materialise(more(unresolved(postings, labels, sketched)).join(pairs, ["src", "dst"], "left_anti"))
         links = materialise(links.unionByName(linked(found, sets)))
         pairs = pairs.unionByName(found)
@@ -132,11 +137,11 @@ def nodes_of(rows: DataFrame) -> DataFrame:
     return rows.where("sid IS NOT NULL").groupBy("sid").agg(F.max("n").alias("n"), owner, F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
 
 
-def labelled(rows: DataFrame, nodes: DataFrame, links: DataFrame | None) -> DataFrame:
+def labelled(rows: DataFrame, nodes: DataFrame, links: DataFrame | None, one_task: int = 0) -> DataFrame:
     """``rows`` with component_id, the smallest doc_id of the component, and ``keep``, its smallest (id, text), null in a component of one row."""
     rooted = nodes.withColumn("root", F.col("sid"))
     if links is not None:
-        labels = connected_components(links, one_task=0).select(F.col("id").alias("sid"), F.col("component").alias("root"))
+        labels = connected_components(links, one_task=one_task).select(F.col("id").alias("sid"), F.col("component").alias("root"))
         rooted = nodes.join(labels, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     rooted = materialise(rooted.select("sid", "owner", "doc_id", "copies", "root"))
     per_root = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.min("owner").alias("keep"), F.sum("copies").alias("rows"), F.count("*").alias("sets"))
