@@ -26,8 +26,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cairnspark.operators.components import ONE_TASK
+
 from . import links
-from .common import hash_words, id_key, materialise, mix, slices, strings, table, text_key, words_of
+from .common import hash_words, id_key, materialise, mix, only, slices, strings, table, text_key, words_of
 from .groups import beside, numbers
 
 WORDS, SUBCLASS, SMALL = 5, 16, 16
@@ -215,19 +217,23 @@ def labelled(docs: DataFrame) -> DataFrame:
         found = beside(docs.select(id_key().alias("id_key"), text_key().alias("text_key"), "text"), owned, ["id_key", "text_key"])
         return found.select("sid", "text").mapInArrow(set_rows, "sid long, tokens array<bigint>")
 
-    return links.labelled(rows, nodes, links.links_of(postings, sets_of))
+    return links.labelled(rows, nodes, links.links_of(postings, sets_of, ONE_TASK), ONE_TASK)
 
 
 def components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id: one row per row of ``docs``."""
-    return labelled(docs).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    return only(docs.sparkSession, lambda: labelled(docs)).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """One row of each component stays, that of the smallest id, of several such that of the smallest text hash, of equal ones any; rows with an empty set all stay."""
     own = F.struct(id_key().alias("id"), F.col("text_key").alias("text"))
-    held = labelled(docs).where("keep IS NOT NULL").select(own.alias("own"), "keep").groupBy("own").agg(F.first("keep").alias("keep"), F.count("*").alias("rows"))
-    touched = materialise(held.select((F.col("own") == F.col("keep")).alias("stays"), "rows", "own").where("NOT stays OR rows > 1"))
+
+    def marks() -> DataFrame:
+        held = labelled(docs).where("keep IS NOT NULL").select(own.alias("own"), "keep").groupBy("own").agg(F.first("keep").alias("keep"), F.count("*").alias("rows"))
+        return held.select((F.col("own") == F.col("keep")).alias("stays"), "rows", "own").where("NOT stays OR rows > 1")
+
+    touched = only(docs.sparkSession, marks)
     every = docs.select(F.struct(*docs.columns).alias("row"), F.struct(id_key().alias("id"), text_key().alias("text")).alias("own"))
     marked = beside(every, touched, ["own"], "left")
     again = marked.where("stays").dropDuplicates(["own"])  # only rows that repeat in id and text
