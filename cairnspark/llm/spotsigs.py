@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import links
-from .common import FIRST, id_key, materialise, table, text_key
+from .common import FIRST, id_key, materialise, only, table, text_key
 from .groups import beside
 
 #: Common words of English, German, French and Spanish.
@@ -152,8 +152,8 @@ def groups_of(docs: DataFrame) -> DataFrame:
 
 def op3_spotsigs(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    several = groups_of(docs).where("NOT doc_id <=> group_id").select(id_key().alias("id_key"), "text_key", "group_id").distinct()
-    docs = beside(docs.withColumns({"id_key": id_key(), "text_key": text_key()}), materialise(several), ["id_key", "text_key"], "left")
-    rows = edited(docs.select("doc_id", "text", F.coalesce("group_id", "doc_id").alias("group_id")), ["group_id"], {"a": signatures(F.col("text"))})
+    several = only(spark, lambda: groups_of(docs).where("NOT doc_id <=> group_id").select(id_key().alias("id_key"), "text_key", "group_id").distinct())
+    marked = beside(docs.withColumns({"id_key": id_key(), "text_key": text_key()}), several, ["id_key", "text_key"], "left")
+    rows = edited(marked.select("doc_id", "text", F.coalesce("group_id", "doc_id").alias("group_id")), ["group_id"], {"a": signatures(F.col("text"))})
     rows = rows.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "a", signatures(F.col("edited")).alias("b"), F.col("next_a").alias("c"), "group_id")
     return rows.select("doc_id", "n_chars", "edited_sha256", as_text(F.col("a")).alias("fingerprint"), as_text(F.col("b")).alias("edited_fingerprint"), likeness(F.col("a"), F.col("b")).alias("near_edited"), likeness(F.col("a"), F.col("c")).alias("near_next"), "group_id")
