@@ -26,6 +26,8 @@ from .common import hash_words, id_key, materialise, mix, slices, strings, table
 
 WORD_BUCKETS, PAIR_BUCKETS, TARGET_DOCS, PSEUDO, FAN_IN = 1 << 19, 1 << 18, 20_000, 10.0, 4
 BUCKETS = WORD_BUCKETS + PAIR_BUCKETS
+#: Bytes of text whose features a worker holds at a time; they take some 30 times as much.
+SLICE = 1 << 20
 
 
 def hashed(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -49,7 +51,7 @@ def counts_in(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBa
     target, total = shared.value, np.zeros((2, BUCKETS), dtype=np.int64)
     for batch in batches:
         texts, chosen = strings(batch.column(1)), targets_in(batch.column(0), target)
-        for a, b in slices(texts):
+        for a, b in slices(texts, SLICE):
             every, row = hashed(texts[a:b])
             total[0] += np.bincount(every, minlength=BUCKETS)
             total[1] += np.bincount(every[chosen[a:b][row]], minlength=BUCKETS)
@@ -88,7 +90,7 @@ def weights_in(batches: Iterator[pa.RecordBatch], shared_counts, shared_target)
     share = wanted.sum(dtype=np.int64) / max(1, raw.sum(dtype=np.int64))
     for batch in batches:
         texts, chosen = strings(batch.column(1)), targets_in(batch.column(0), target)
-        for a, b in slices(texts):
+        for a, b in slices(texts, SLICE):
             every, row = hashed(texts[a:b])
             key, times = np.unique(row << 20 | every, return_counts=True)
             doc, bucket = key >> 20, key & ((1 << 20) - 1)

@@ -2,8 +2,10 @@ import itertools
 import math
 import re
 import string
+import tracemalloc
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -266,6 +268,19 @@ def test_importance_resampling(spark, small, docs):
     assert [r.log_weight for r in none] == [0.0] * 4 and sum(r.kept for r in none) == 2
 
 
+def test_importance_resampling_holds_few_features():
+    rng = np.random.default_rng(5)
+    texts = [" ".join(map(str, rng.integers(0, 99_999, 400))) for _ in range(4000)]
+    batch = pa.record_batch([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+    target = SimpleNamespace(value=np.arange(0, 4000, 3))
+    counts = np.frombuffer(next(importance.counts_in(iter([batch]), target)).column(0)[0].as_buffer(), "<i8").reshape(2, -1)
+    tracemalloc.start()
+    rows = [x.num_rows for x in importance.weights_in(iter([batch]), SimpleNamespace(value=counts), target)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(rows) == len(texts) and peak < 64 << 20
+
+
 def test_top_k_by_value(spark, monkeypatch):
     monkeypatch.setattr(importance, "FEW", 20)
     rows = spark.range(2000).select((F.col("id") % 700).alias("doc_id"), (F.col("id") % 5).cast("double").alias("key"), F.col("id").alias("row"))
