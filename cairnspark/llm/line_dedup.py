@@ -5,7 +5,8 @@ is 0.8 or more, and of two matching lines the later one, by doc_id and then line
 node that stands where it first occurs.  For the others, the words of a set are ordered by rarity and its prefix is
 indexed; two sets under one word are a candidate if their lengths allow it, if the positions of the word leave enough
 words behind it, and if parities of the sets (64 bits, more for long ones) don't already differ in more bits than similar sets can.  Candidates
-are joined into components, whose sets are compared exactly.
+are joined into components, whose sets are compared exactly.  Filters of the lines wanted and of those that go travel to
+the texts, which shuffle nowhere.
 
 Defined results: a line without words never matches and stays; a null text stays null, without lines; a line's place is its
 doc_id, null before all, its number, and then a hash of its text, so rows with equal doc_id are merged by line number, and
@@ -26,8 +27,9 @@ from pyspark.sql import functions as F
 from cairnspark.operators.components import connected_components
 
 from . import rarity
-from .common import hash_words, id_key, join_groups, materialise, mix, slices, strings, table, text_key, unused, words_of
+from .common import hash_words, id_key, join_groups, materialise, mix, passing, slices, strings, table, text_key, unused, words_of
 from .groups import BROADCAST_ROWS, Overlaps, beside, blocks, dealt, numbers, similar, spanning
+from .places import cascade, filter_of, passes
 
 #: Postings that a task compares, about; longer lists than LIST are dealt over pairs of blocks.
 RANGE, LIST = 400_000, 8192
@@ -239,21 +241,27 @@ def candidates_in(group: pa.Table) -> pa.Table:
     return pa.table({"src": a, "dst": b})
 
 
-def set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sets of the wanted lines (line, component, parts) of each document."""
+def set_rows(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
+    """Sets of the lines whose places pass the filter ``shared``."""
     for batch in batches:
-        texts, wanted = strings(batch.column(0)), batch.column(1).to_pylist()
+        texts, docs, keys = strings(batch.column(0)), *(batch.column(k).to_numpy() for k in (1, 2))
+        text, line = numbered(texts)
+        hit = passes([shared.value], docs[text], keys[text], line) > 0
+        text, line = text[hit], line[hit]
+        some, at = np.unique(text, return_inverse=True)
+        texts = texts.take(pa.array(some))
         for a, b in slices(texts):
-            lines = Lines(texts[a:b])
-            rows = []
-            for k in range(b - a):
-                begin, end = lines.ends[k], lines.ends[k + 1]
-                for w in wanted[a + k]:
-                    at = begin + w["line"]
-                    if at < end and int(lines.sid[at]) == w["sid"]:
-                        rows.append((w["sid"], w["component"], w["doc_id"], w["line"], w["text_key"], w["parts"], lines.set_of(at).tobytes()))
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 7
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.string()), pa.binary()), strict=True)], names=["sid", "component", "doc_id", "line", "text_key", "parts", "tokens"])
+            lines, mine = Lines(texts[a:b]), (at >= a) & (at < b)
+            place = lines.ends[at[mine] - a] + line[mine]
+            columns = (lines.sid[place], docs[text[mine]], line[mine], keys[text[mine]], [lines.set_of(k).tobytes() for k in place])
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["sid", "doc_id", "line", "text_key", "tokens"])
+
+
+def numbered(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The text and the number of every line."""
+    n = pc.add(pc.count_substring(texts, "\n"), 1).to_numpy().astype(np.int64)
+    text = np.repeat(np.arange(len(n)), n)
+    return text, np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)
 
 
 def repeated_in(group: pa.Table) -> pa.Table:
@@ -267,29 +275,30 @@ def repeated_in(group: pa.Table) -> pa.Table:
     return group.select(["doc_id", "text_key", "line"]).take(pa.array(out))
 
 
-def removed(docs: DataFrame) -> DataFrame:
-    """doc_id (FIRST for a null), text_key and line (from 0) of every line that goes."""
+def removed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """doc_id (FIRST for a null), text_key and line (from 0) of every line, and of every line that goes."""
     spark = docs.sparkSession
     docs = docs.select(id_key().alias("doc_id"), text_key().alias("text_key"), "text")
     everything = materialise(docs.mapInArrow(measured, SLICES).withColumn("slice", F.monotonically_increasing_id()))
     parts = everything.where("cells IS NULL")
     shared = rarity.shared_cells(spark, rarity.total(everything.where("cells IS NOT NULL").select("cells")))
-    rows = materialise(parts.select("doc_ids", "text_keys", "lines", "n", "sid").mapInArrow(listed, "doc_id long, text_key long, line int, sid long").where("sid IS NOT NULL"))
+    every = materialise(parts.select("doc_ids", "text_keys", "lines", "n", "sid").mapInArrow(listed, "doc_id long, text_key long, line int, sid long"))
+    rows = every.where("sid IS NOT NULL")
     ranges = max(1, (parts.agg(F.sum("postings")).first()[0] or 0) // RANGE)
     splits = spark.sparkContext.broadcast(list_splits(parts, shared))
     postings = parts.select("n", "sid", "tokens").mapInArrow(lambda it: indexed(it, shared, splits, ranges), "range int, postings binary, words int")
     edges = postings.groupBy("range").applyInArrow(candidates_in, "src long, dst long")
     members = materialise(connected_components(edges, one_task=0).select(F.col("id").alias("sid"), "component"))
     firsts = materialise(rows.groupBy("sid").agg(F.min(F.struct("doc_id", "line", "text_key")).alias("first"), F.count("*").alias("_size")))
-    wanted = blocks(beside(firsts, members, ["sid"])).select("first.doc_id", "first.text_key", F.struct("sid", "component", "first.*", "parts").alias("w"))
-    wanted = materialise(wanted.groupBy("doc_id", "text_key").agg(F.collect_list("w").alias("wanted")))  # no more than the document has lines
-    found = beside(docs, wanted, ["doc_id", "text_key"], lists="wanted").select("text", "wanted").mapInArrow(set_rows, "sid long, component long, doc_id long, line int, text_key long, parts array<string>, tokens binary")
-    sets = found.select("sid", "component", "doc_id", "line", "text_key", F.explode("parts").alias("part"), "tokens")
+    wanted = materialise(blocks(beside(firsts, members, ["sid"])).select("sid", "component", "first.*", "parts"))
+    held = spark.sparkContext.broadcast(filter_of(wanted))
+    found = docs.select("text", "doc_id", "text_key").mapInArrow(lambda it: set_rows(it, held), "sid long, doc_id long, line int, text_key long, tokens binary")
+    sets = beside(found, wanted, ["sid", "doc_id", "line", "text_key"]).select("sid", "component", "doc_id", "line", "text_key", F.explode("parts").alias("part"), "tokens")
     similar_ = sets.groupBy("component", "part").applyInArrow(repeated_in, "doc_id long, text_key long, line int")
     again = materialise(firsts.where("_size > 1"))
     n, few = rows.count(), again.count() <= BROADCAST_ROWS
     equal = rows.join(F.broadcast(again), "sid") if few else join_groups(rows, again, "sid", "_size", n)
-    return similar_.unionByName(equal.where(F.struct("doc_id", "line", "text_key") > F.col("first")).select("doc_id", "text_key", "line"))
+    return every, materialise(similar_.unionByName(equal.where(F.struct("doc_id", "line", "text_key") > F.col("first")).select("doc_id", "text_key", "line")))
 
 
 def clean(docs: DataFrame) -> DataFrame:
@@ -298,12 +307,24 @@ def clean(docs: DataFrame) -> DataFrame:
     ``docs`` needs doc_id and text; n_chars, where present, follows the text.  A column of ``docs`` that has the name of an
     added one keeps it, and the added one gets underscores behind its name.
     """
-    gone = materialise(removed(docs).select(F.col("doc_id").alias("id"), F.col("text_key").alias("key"), "line").groupBy("id", "key").agg(F.array_sort(F.collect_set("line")).alias("gone")))
-    rows = docs.select(F.struct(*docs.columns).alias("row"), id_key().alias("id"), text_key().alias("key"), F.split(F.col("text"), "\n", -1).alias("lines"), "text")
-    joined = beside(rows, gone, ["id", "key"], "left", "gone")
-    kept = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.filter("lines", lambda x, i: ~F.array_contains("gone", i)), "\n"))
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast(passing(spark, lambda: cascade(*removed(docs))))
+
+    @F.arrow_udf("array<int>")
+    def gone_of(ids: pa.Array, keys: pa.Array, counts: pa.Array) -> pa.Array:
+        n = counts.to_numpy()
+        doc = np.repeat(np.arange(len(n)), n)
+        line = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
+        gone = passes(shared.value, ids.to_numpy()[doc], keys.to_numpy()[doc], line) % 2 > 0
+        ends = np.append(0, np.cumsum(np.bincount(doc[gone], minlength=len(n))))
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(line[gone], pa.int32()))
+
+    count = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split(F.col("text"), "\n", -1))).cast("long")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), id_key().alias("id"), text_key().alias("key"), count.alias("n"))
+    joined = rows.select("row", "n", gone_of("id", "key", "n").alias("gone"), F.col("row").getField("text").alias("text"))
+    kept = F.when(F.size("gone") == 0, F.col("text")).otherwise(F.array_join(F.filter(F.split(F.col("text"), "\n", -1), lambda x, i: ~F.array_contains("gone", i)), "\n"))
     own = {"text": kept, "n_chars": F.length(kept).cast("long")}
-    added = {"n_lines": F.when(F.col("text").isNull(), 0).otherwise(F.size("lines")), "n_removed": F.coalesce(F.size("gone"), F.lit(0)), "removed_lines": F.coalesce("gone", F.array().cast("array<int>"))}
+    added = {"n_lines": F.col("n").cast("int"), "n_removed": F.size("gone"), "removed_lines": F.col("gone")}
     return joined.select(*[own.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns], *[c.alias(unused(name, docs.columns)) for name, c in added.items()])
 
 

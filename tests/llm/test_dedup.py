@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cairnspark.llm import common, exact_dedup, groups, line_dedup, links, ngram_join, rarity, spotsigs
+from cairnspark.llm import common, exact_dedup, groups, line_dedup, links, ngram_join, places, rarity, spotsigs
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
@@ -216,6 +216,22 @@ def test_line_dedup_edges(small, docs):
     assert line_dedup.clean(docs([])).count() == 0
 
 
+def test_line_dedup_shuffles_no_text(docs, monkeypatch):
+    monkeypatch.setattr(groups, "BROADCAST_ROWS", -1)
+    out = line_dedup.clean(docs(["a b c d\ne f g h", "e f g h\na b c d", "i j"]))
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    assert {r.doc_id: r.removed_lines for r in out.collect()} == {0: [], 1: [0, 1], 2: []}
+
+
+def test_cascades_are_exact(spark):
+    table = common.materialise(spark.range(1_200_000).select((F.col("id") % 1000).alias("doc_id"), (F.col("id") % 3).alias("text_key"), F.col("id").cast("int").alias("line")))
+    filters = places.cascade(table, common.materialise(table.where("line % 3 = 1")))
+    doc, line = np.arange(1_200_000) % 1000, np.arange(1_200_000)
+    found = places.passes(filters, doc, line % 3, line)
+    assert len(filters) > 1 and found.max() > 1 and ((found % 2 == 1) == (line % 3 == 1)).all()
+    assert places.cascade(table, common.materialise(table.where("false"))) == []
+
+
 def test_overlaps_and_spanning():
     sets = [np.array([1, 2, 3], np.uint64), np.array([3], np.uint64), np.array([], np.uint64), np.array([2, 3, 9], np.uint64)]
     found = groups.Overlaps(sets)
