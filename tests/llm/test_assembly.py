@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 import __spark_entry__
 import corpus_pipeline
 from cairnspark.llm import language_id, line_dedup, mixing, ngram_join, packing
+from cairnspark.plans import scratch
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -175,6 +176,13 @@ def test_pipeline_runs_whole(spark):
     assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 100
 
 
+def test_pipeline_leaves_no_scratch_tables(spark, monkeypatch):
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [*corpus_pipeline.STAGES[1:2], corpus_pipeline.STAGES[3], ("nothing", lambda spark, docs, sf_dir: docs)])
+    before = len(scratch._written)
+    out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    assert len(scratch._written) == before + 2 and out.count() > 100  # the results of the two stages
+
+
 def test_registered_queries():
     names = [k for k in __spark_entry__.queries() if re.match(r"op\d+_", k)]
     assert sorted(int(re.match(r"op(\d+)_", k)[1]) for k in names) == list(range(1, 11)) and "pipeline" in __spark_entry__.queries()
