@@ -22,8 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import links
-from .common import FIRST, id_key, materialise, only, table, text_key
+from . import groups, links
+from .common import FIRST, brief_shuffles, id_key, materialise, only, table, text_key
 from .groups import beside
 
 #: Common words of English, German, French and Spanish.
@@ -124,6 +124,35 @@ def fingerprint(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
 
 #: Cells that signatures are counted in, and the length from which a set can be similar to another.
 CELLS, LEAST = 1 << 16, 4
+#: Postings of a signature up to which each is held against the others before any travels on.
+SHORT = 32
+
+
+def once(held: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``held`` without the copies of a set, as far as BROADCAST_ROWS repeated sets; beyond, the copies only make more postings."""
+    repeated = materialise(nodes.where("copies > 1").select(F.col("sid").alias("same"), "owner"))
+    if repeated.count() > groups.BROADCAST_ROWS:
+        return held
+    own = F.struct(id_key().alias("id"), F.col("text_key").alias("text"))
+    return held.join(F.broadcast(repeated), (F.col("sid") == F.col("same")) & (F.col("owner") != own), "left_anti")
+
+
+def meeting(held: DataFrame) -> DataFrame:
+    """Postings (key, sid, n) of the signatures that may be the first that two similar sets share; ``held``: sid, n and the sorted ``prefix``.
+
+    ``rest`` counts a set's signatures from this one on.  Two sets have nothing in common before the first that they share,
+    so their overlap is the smaller rest at most, and similar ones have 9 * overlap >= 4 * (n + n).  Under a signature of up
+    to SHORT postings those stay that pass with another; of one that has more, all stay.
+    """
+    ends = F.transform("prefix", lambda x, at: F.struct(x.s.alias("key"), (F.col("n") - at).alias("rest")))
+    every = materialise(held.select(F.explode(ends).alias("x"), "sid", "n").select("x.key", "sid", "n", "x.rest"))
+    lists = every.groupBy("key").agg(F.count("*").alias("all"), F.sum("n").alias("total"), F.min("rest").alias("least"))
+    wanted = materialise(lists.where("all > 2 OR all = 2 AND 9 * least >= 4 * total").select("key", "all"))
+    found = materialise(beside(every, wanted, ["key"]))
+    short = found.where(f"all > 2 AND all <= {SHORT}").groupBy("key").agg(F.collect_list(F.struct("sid", "n", "rest")).alias("own"))
+    passes = lambda x, y: (x.sid != y.sid) & (9 * F.least(x.rest, y.rest) >= 4 * (x.n + y.n))
+    kept = short.select("key", F.explode(F.filter("own", lambda x: F.exists("own", lambda y: passes(x, y)))).alias("x"))
+    return found.where(f"all = 2 OR all > {SHORT}").select("key", "sid", "n").unionByName(kept.select("key", "x.sid", "x.n"))
 
 
 def groups_of(docs: DataFrame) -> DataFrame:
@@ -140,7 +169,7 @@ def groups_of(docs: DataFrame) -> DataFrame:
     ranked = F.array_sort(F.transform("signatures", lambda s: F.struct(F.get("steps", cell(s)).alias("steps"), s.alias("s"))))
     prefix = F.slice(ranked, 1, (F.col("n") - F.ceil(F.col("n") * 4 / 5) + 1).cast("int"))
     held = prints.where(F.col("n") >= LEAST).withColumn("one", F.lit(1)).join(F.broadcast(materialise(steps)), "one")
-    postings = materialise(held.select("sid", "n", F.explode(prefix).alias("x")).select(F.col("x.s").alias("key"), "sid", "n"))
+    postings = only(prints.sparkSession, lambda: meeting(once(held.select("doc_id", "text_key", "sid", "n", prefix.alias("prefix")), nodes)))
 
     def sets_of(wanted: DataFrame) -> DataFrame:
         owned = materialise(wanted.join(nodes, "sid").select("sid", F.col("owner.id").alias("id_key"), F.col("owner.text").alias("text_key")))
@@ -152,7 +181,8 @@ def groups_of(docs: DataFrame) -> DataFrame:
 
 def op3_spotsigs(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    several = only(spark, lambda: groups_of(docs).where("NOT doc_id <=> group_id").select(id_key().alias("id_key"), "text_key", "group_id").distinct())
+    with brief_shuffles(spark):
+        several = only(spark, lambda: groups_of(docs).where("NOT doc_id <=> group_id").select(id_key().alias("id_key"), "text_key", "group_id").distinct())
     marked = beside(docs.withColumns({"id_key": id_key(), "text_key": text_key()}), several, ["id_key", "text_key"], "left")
     rows = edited(marked.select("doc_id", "text", F.coalesce("group_id", "doc_id").alias("group_id")), ["group_id"], {"a": signatures(F.col("text"))})
     rows = rows.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "a", signatures(F.col("edited")).alias("b"), F.col("next_a").alias("c"), "group_id")

@@ -6,12 +6,14 @@ import atexit
 import shutil
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own_dir: list[str] = []
 _written: list[str] = []
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -63,6 +65,17 @@ def passing(spark: SparkSession, build: Callable):
     return value
 
 
+@contextmanager
+def brief_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Within it a query's shuffle files go when the query ends; else they stay until the driver happens to collect its garbage."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+
+
 def release(spark: SparkSession) -> None:
     """Delete every table that :func:`materialise` wrote; frames built on them can't be read afterwards."""
     _delete(spark, _written)

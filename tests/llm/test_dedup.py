@@ -1,7 +1,10 @@
+import glob
 import itertools
+import os
 import random
 import re
 import string
+import time
 from collections import Counter
 
 import duckdb
@@ -317,3 +320,45 @@ def test_spotsigs_groups_match_brute_force(docs, monkeypatch, long_list):
     texts = [t.replace("w1", "the").replace("w2", "of") for t in families(8, 90, 40, 200)] + [None, "", "the the", "one two"]
     got = {r.doc_id: r.group_id for r in spotsigs.groups_of(docs(texts)).collect()}
     assert got == brute_groups(list(range(len(texts))), [plain_signatures(t) for t in texts])
+
+
+def test_sets_of_unlikely_pairs_stay(docs, monkeypatch):
+    """Documents that share passages and aren't similar are pairs, but their sets move for none: sketches tell."""
+    rng, asked, moved = random.Random(5), [], []
+    passages = [" ".join(f"p{k}x{j}" for j in range(60)) for k in range(60)]
+    texts = [" ".join(passages[k] for k in rng.sample(range(60), 10)) for _ in range(60)]
+    monkeypatch.setattr(links, "linked", lambda pairs, sets, real=links.linked: asked.append(pairs.count()) or real(pairs, sets))
+    monkeypatch.setattr(links, "met", lambda pairs, sets, columns, real=links.met: ("tokens" in columns and moved.append(pairs.count())) or real(pairs, sets, columns))
+    assert all(r.component_id == r.doc_id for r in ngram_join.components(docs(texts)).collect())
+    assert sum(asked) > 0 and moved and sum(moved) == 0
+
+
+@pytest.mark.parametrize("short", [32, 2])
+def test_spotsigs_postings_that_meet_none_stay(spark, monkeypatch, short):
+    monkeypatch.setattr(spotsigs, "SHORT", short)
+    own = lambda sid, n, *keys: (sid, n, [(0, k) for k in keys])
+    late, first, mixed = ([k] + list(range(1000 * k, 1000 * k + 19)) for k in (1, 2, 3))
+    rows = [own(1, 100, *late[1:], 1), own(2, 100, *range(50, 69), 1), own(3, 100, *first), own(4, 100, 2, 77), own(5, 100, *mixed), own(6, 101, 3, 78), own(7, 300, 3, 79), own(8, 90, 4), own(8, 90, 4)]
+    held = spark.createDataFrame(rows, "sid long, n long, prefix array<struct<steps: int, s: long>>")
+    got = {(r.key, r.sid) for r in spotsigs.meeting(held).collect()}
+    # 1 is the last of twenty in both sets that have it; that of size 300 fits no other under 3; 4 is of copies of one set
+    assert got - {(4, 8)} == {(2, 3), (2, 4), (3, 5), (3, 6)} | ({(3, 7)} if short == 2 else set())
+
+
+def test_spotsigs_shuffle_files_go_with_their_step(small, monkeypatch):
+    spark = small.sparkSession
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffles = lambda: {f.split("_")[1] for d in manager.localDirsString() for f in map(os.path.basename, glob.glob(f"{d}/*/shuffle_*"))}
+    before, left = shuffles(), []
+
+    def edited(*args, real=spotsigs.edited):
+        until = time.time() + 20
+        while len(shuffles() - before) > 3 and time.time() < until:  # they go in the background
+            time.sleep(0.2)
+        left.append(len(shuffles() - before))
+        return real(*args)
+
+    monkeypatch.setattr(spotsigs, "table", lambda *_: small)
+    monkeypatch.setattr(spotsigs, "edited", edited)
+    assert spotsigs.op3_spotsigs(spark, "").count() == small.count()
+    assert left[0] <= 3
