@@ -13,19 +13,28 @@ from cairnspark.plans.scratch import materialise
 ONE_TASK = 500_000
 
 
-def _roots(group: pa.Table) -> pa.Table:
-    """Components of a bounded edge list: larger roots are hooked to smaller ones until all edges agree."""
-    ids, inverse = np.unique(np.concatenate((group.column("x").to_numpy(), group.column("r").to_numpy())), return_inverse=True)
-    x, y = np.split(inverse, 2)
-    root = np.arange(len(ids))
+def hook(root: np.ndarray, x: np.ndarray, y: np.ndarray) -> None:
+    """Joins the groups of x and of y in ``root``, which names the smallest member of each place's group, pair by pair."""
     while True:
         a, b = root[x], root[y]
         differ = a != b
         if not differ.any():
-            return pa.table({"id": ids, "component": ids[root]})
+            return
         np.minimum.at(root, np.maximum(a, b)[differ], np.minimum(a, b)[differ])
-        while (root[root] != root).any():
-            root = root[root]
+        while True:
+            further = root[root]
+            if (further == root).all():
+                break
+            root[:] = further
+
+
+def _roots(group: pa.Table) -> pa.Table:
+    """Components of a bounded edge list."""
+    ids, inverse = np.unique(np.concatenate((group.column("x").to_numpy(), group.column("r").to_numpy())), return_inverse=True)
+    x, y = np.split(inverse, 2)
+    root = np.arange(len(ids))
+    hook(root, x, y)
+    return pa.table({"id": ids, "component": ids[root]})
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", one_task: int = ONE_TASK) -> DataFrame:
