@@ -98,7 +98,7 @@ def deal(cloud: DataFrame, d: int, like: Blocks | None = None, single: bool | No
     if single is None:
         single = exact_in_single(cloud)
     n, tree = cloud.count(), like.tree if like else None
-    most = max(1024, min(MOST, (1 << 20) // d))
+    most = max(1024, min(MOST, (1 << 20) // max(1, d)))
     if tree is None:
         blocks = max(1, min(LEAST, n // FEW), -(-n // most))
         tree = 0

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairnspark.frame import dimension, matrix
+from cairnspark.operators.blocks import Blocks, Side, deal, exactly, gaps, meet, roughly
 from cairnspark.operators.components import connected_components
-from cairnspark.operators.range_join import block_pairs, sides
 from cairnspark.plans.scratch import materialise
 
 
@@ -19,52 +21,114 @@ def best(rows: DataFrame, k: int) -> DataFrame:
     return rows.withColumn("rank", rank).where(F.col("rank") <= k).select("id", "rank", "nbr", "d2")
 
 
-def _nearest(ids_a: np.ndarray, x: np.ndarray, ids_b: np.ndarray, y: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The k nearest rows of y, other than itself, of each row of x: short-listed by a matrix product, ranked by exact differences."""
-    approx = (x * x).sum(axis=1)[:, None] + (y * y).sum(axis=1)[None, :] - 2 * (x @ y.T)
-    approx[ids_a[:, None] == ids_b[None, :]] = np.inf
-    short = min(len(y), k + 8)
-    near = np.argpartition(approx, short - 1, axis=1)[:, :short] if short < len(y) else np.broadcast_to(np.arange(len(y)), approx.shape)
-    row = np.repeat(np.arange(len(x)), near.shape[1])
-    col = near.ravel()
-    # everything that rounding or ties could place among the k nearest
-    edge = np.partition(approx, min(k, len(y)) - 1, axis=1)[:, min(k, len(y)) - 1]
-    margin = 1e-9 * (1 + np.abs(np.where(np.isfinite(edge), edge, 0)) + (x * x).sum(axis=1) + (y * y).sum(axis=1).max())
-    wide = (approx <= (edge + margin)[:, None]).sum(axis=1) > short
-    if wide.any():
-        more_row, more_col = np.nonzero(approx[wide] <= (edge + margin)[wide][:, None])
-        keep = ~wide[row]
-        row, col = np.concatenate((row[keep], np.flatnonzero(wide)[more_row])), np.concatenate((col[keep], more_col))
-    keep = np.isfinite(approx[row, col])
-    row, col = row[keep], col[keep]
-    d2 = ((x[row] - y[col]) ** 2).sum(axis=1)
-    order = np.lexsort((ids_b[col], d2, row))
-    row, col, d2 = row[order], col[order], d2[order]
-    counts = np.bincount(row, minlength=len(x))
-    place = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
-    top = place < k
-    return ids_a[row[top]], ids_b[col[top]], d2[top]
+def _top(row: np.ndarray, nbr: np.ndarray, d2: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k first by (d2, nbr) of each row, row after row."""
+    order = np.lexsort((nbr, d2, row))
+    ranked = row[order]
+    begins = np.append(True, ranked[1:] != ranked[:-1]).nonzero()[0] if len(ranked) else np.zeros(0, int)
+    rank = np.arange(len(ranked)) - np.repeat(begins, np.diff(np.append(begins, len(ranked))))
+    return order[rank < k]
+
+
+class _Nearest:
+    """The k nearest found so far of each point of a block, and the distance that a further one may have at most."""
+
+    def __init__(self, side: Side, k: int, bound: np.ndarray):
+        self.side, self.k, self.bound = side, k, bound
+        self.found: list[tuple] = []
+        self.held = 0
+
+    def take(self, s: slice, d2: np.ndarray, margin: np.float32, unit: float, other: Side, t: slice) -> None:
+        """``d2``: from the points ``s`` to the points ``t`` of the other block, roughly."""
+        limit = (self.bound[s] / unit).astype(np.float32)
+        wide = limit == np.inf
+        if wide.any() and d2.shape[1] > self.k:
+            limit[wide] = np.partition(d2[wide], self.k, axis=1)[:, self.k] + margin  # the point itself may be among them
+        i, j = np.nonzero(d2 <= (limit + margin)[:, None])
+        x, y = self.side.x[s], other.x[t]
+        keep = self.side.ids[s][i] != other.ids[t][j]
+        i, j = i[keep], j[keep]
+        exact = exactly(x, y, i, j)
+        keep = exact <= self.bound[s][i]
+        i, j, exact = i[keep], j[keep], exact[keep]
+        first = _top(i, other.ids[t][j], exact, self.k)
+        self.found.append((i[first] + s.start, other.ids[t][j[first]], exact[first]))
+        self.held += len(first)
+        if self.held > 4 * self.k * len(self.side.ids) + 100_000:
+            self.settle()
+
+    def settle(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        row, nbr, d2 = (np.concatenate(c) for c in zip(*self.found, strict=True)) if self.found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        first = _top(row, nbr, d2, self.k)
+        row, nbr, d2 = row[first], nbr[first], d2[first]
+        last = np.flatnonzero(np.append(row[1:] != row[:-1], True)) if len(row) else np.zeros(0, int)
+        full = np.bincount(row, minlength=len(self.side.ids))[row[last]] == self.k
+        self.bound[row[last][full]] = np.minimum(self.bound[row[last][full]], d2[last][full])
+        self.found, self.held = [(row, nbr, d2)], len(row)
+        return row, nbr, d2
+
+
+def _within(a: Side, b: Side, same: bool, k: int) -> Iterator:
+    """The k nearest of each point within its block: its own leaf first, then the leaves that may hold nearer ones."""
+    near = _Nearest(a, k, np.full(len(a.ids), np.inf))
+    for p, s in enumerate(a.leaves):
+        near.take(s, *roughly(a, p, a, p), a, s)
+    near.settle()
+    apart = gaps(a.low, a.high, a.low, a.high)
+    for p, s in enumerate(a.leaves):
+        for q in np.argsort(apart[p], kind="stable").tolist():
+            if q != p and apart[p, q] <= near.bound[s].max():
+                near.take(s, *roughly(a, p, a, q), a, a.leaves[q])
+        if len(a.leaves) > 1:
+            near.settle()
+    row, nbr, d2 = near.settle()
+    yield a.ids[row], nbr, d2
+
+
+def _beyond(a: Side, b: Side, k: int) -> Iterator:
+    """What the other block has for each point that is no farther than the k-th within its own."""
+    sides = [_Nearest(s, k, s.extra["bound"].copy()) for s in (a, b)]
+    apart = gaps(a.low, a.high, b.low, b.high)
+    far = [np.array([n.bound[s].max() for s in n.side.leaves]) for n in sides]
+    for p, q in np.argwhere(apart <= np.maximum(far[0][:, None], far[1])).tolist():
+        s, t = a.leaves[p], b.leaves[q]
+        d2, margin, unit = roughly(a, p, b, q)
+        if apart[p, q] <= far[0][p]:
+            sides[0].take(s, d2, margin, unit, b, t)
+        if apart[p, q] <= far[1][q]:
+            sides[1].take(t, d2.T, margin, unit, a, s)
+    for n in sides:
+        row, nbr, d2 = n.settle()
+        yield n.side.ids[row], nbr, d2
+
+
+def knn_blocks(dealt: Blocks, k: int) -> DataFrame:
+    """As :func:`knn_join`, of points that are dealt."""
+    schema = "id long, nbr long, d2 double"
+    own = np.repeat(np.flatnonzero(dealt.sizes)[:, None], 2, axis=1)
+    within = materialise(meet(dealt.rows, own, dealt, lambda a, b, same, _: _within(a, b, same, k), schema))
+    if len(own) == 1:
+        return best(within, k)
+    bound = within.groupBy("id").agg(F.when(F.count("*") == k, F.max("d2")).otherwise(float("inf")).alias("bound"))
+    rows = materialise(dealt.rows.join(bound, "id", "left").withColumn("bound", F.coalesce("bound", F.lit(float("inf")))))
+    far = np.zeros(len(dealt.sizes))
+    for r in rows.groupBy("block").agg(F.max("bound").alias("far")).collect():  # a row per block
+        far[r.block] = r.far
+    pairs = dealt.pairs(np.maximum(far[:, None], far))
+    beyond = meet(rows, pairs[pairs[:, 0] < pairs[:, 1]], dealt, lambda a, b, same, _: _beyond(a, b, k), schema, extra=("bound",))
+    return best(within.unionByName(beyond), k)
 
 
 def knn_join(cloud: DataFrame, k: int) -> DataFrame:
-    """``(id, rank, nbr, d2)``: the k nearest other points of each, ascending, ties to the smaller id; needs 1 <= k < n."""
-    dimension(cloud)
-    n = cloud.count()
+    """``(id, rank, nbr, d2)``: the k nearest other points of each, ascending, ties to the smaller id; needs 1 <= k < n.
+
+    The k nearest of its own block bound how far a point looks: only blocks and leaves within that distance are compared,
+    which are few in few dimensions and may be all in many.
+    """
+    d, n = dimension(cloud), cloud.count()
     if not 1 <= k < n:
         raise ValueError(f"k must be from 1 to {n - 1}")
-
-    def compare(group: pa.Table) -> pa.Table:
-        (ids_a, x), (ids_b, y), same = sides(group)
-        found = []
-        if len(x) and len(y):
-            found.append(_nearest(ids_a, x, ids_b, y, k))
-            if not same:
-                found.append(_nearest(ids_b, y, ids_a, x, k))
-        out = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
-        return pa.table({"id": pa.array(out[0], pa.int64()), "nbr": pa.array(out[1], pa.int64()), "d2": pa.array(out[2], pa.float64())})
-
-    rows = block_pairs(cloud, None).withColumn("self_join", F.lit(True)).groupBy("i", "j").applyInArrow(compare, "id long, nbr long, d2 double")
-    return best(rows, k)
+    return knn_blocks(deal(cloud, d), k)
 
 
 def k_distance(cloud: DataFrame, k: int) -> DataFrame:
