@@ -1,39 +1,22 @@
 """Similarity joins: pairs of points within a radius, exactly, each pair once.
 
-Two physical plans.  ``grid`` joins on cells of up to three coordinates, cut at the radius: two points within it are in
-the same or adjacent cells of every coordinate, so the join is an equi-join with a residual, in any number of dimensions.
-``block`` compares blocks of points by matrix product in numpy, for clouds that the radius doesn't cut into cells.
-``auto`` takes the grid if the best three coordinates give MIN_CELLS cells or more.
+Points are dealt to blocks (:mod:`cairnspark.operators.blocks`), and a task compares two of them.  ``grid`` and ``auto``
+compare the blocks and leaves whose boxes are within the radius, ``block`` compares all.
 """
 
 from __future__ import annotations
 
-from itertools import product
+from collections.abc import Iterator
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairnspark.frame import dimension, matrix
+from cairnspark.frame import dimension
 from cairnspark.functions.distance import sq_euclidean
+from cairnspark.operators.blocks import Side, deal, exact_in_single, exactly, hits, meet, tiles
 
-GRID_DIMS, MIN_CELLS, BLOCK = 3, 64, 2048
-
-
-def spread(cloud: DataFrame, d: int) -> list[float]:
-    """Range of each coordinate."""
-    if not d:
-        return []
-    aggregates = [F.max(F.get("features", F.lit(j))) - F.min(F.get("features", F.lit(j))) for j in range(d)]
-    return [v or 0.0 for v in cloud.agg(*[a.alias(f"r{j}") for j, a in enumerate(aggregates)]).first()]
-
-
-def choose(ranges: list[float], radius: float) -> tuple[str, list[int]]:
-    """The plan, and the coordinates to cut for the grid."""
-    best = sorted(range(len(ranges)), key=lambda j: (-ranges[j], j))[:GRID_DIMS]
-    cells = float(np.prod([max(1.0, ranges[j] / radius) for j in best])) if radius > 0 else float("inf")
-    return ("grid" if cells >= MIN_CELLS or len(ranges) <= GRID_DIMS else "block"), best
+PAIRS = "src long, dst long, d2 double"
 
 
 def check_radius(radius: float) -> None:
@@ -46,94 +29,31 @@ def raise_if_any(cloud: DataFrame) -> None:
         raise ValueError("points need coordinates")
 
 
-def _cells(dims: list[int], radius: float):
-    # a little over the radius, so that rounding can't put neighbours two cells apart
-    side = radius * (1 + 1e-9) or 1e-9
-    return [F.floor(F.get("features", F.lit(j)) / side).alias(f"c{k}") for k, j in enumerate(dims)]
-
-
-def _grid(a: DataFrame, b: DataFrame, radius: float, dims: list[int], self_join: bool) -> DataFrame:
-    left = a.select(F.col("id").alias("src"), F.col("features").alias("fa"), *_cells(dims, radius))
-    right = b.select(F.col("id").alias("dst"), F.col("features").alias("fb"), *_cells(dims, radius))
-    offsets = list(product((-1, 0, 1), repeat=len(dims)))
-    if self_join:  # each pair of cells once
-        offsets = [o for o in offsets if o >= (0,) * len(dims)]
-    near = F.explode(F.array(*[F.struct(*[(F.col(f"c{k}") + v).alias(f"c{k}") for k, v in enumerate(o)], F.lit(int(any(o))).alias("off")) for o in offsets]))
-    right = right.withColumn("n", near).select("dst", "fb", "n.*")
-    joined = left.join(right, [f"c{k}" for k in range(len(dims))])
-    if self_join:
-        joined = joined.where((F.col("off") == 1) | (F.col("src") <= F.col("dst")))
-    pairs = joined.withColumn("d2", sq_euclidean(F.col("fa"), F.col("fb"))).where(F.col("d2") <= radius * radius)
-    if self_join:
-        return pairs.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), "d2")
-    return pairs.select("src", "dst", "d2")
-
-
-def within(x: np.ndarray, y: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Index pairs within the radius and their squared distances: a product with a margin, then exact differences."""
-    limit = radius * radius
-    nx, ny = (x * x).sum(axis=1), (y * y).sum(axis=1)
-    approx = nx[:, None] + ny[None, :] - 2 * (x @ y.T)
-    margin = 1e-9 * (1 + limit + (nx.max(initial=0) + ny.max(initial=0)))
-    i, j = np.nonzero(approx <= limit + margin)
-    d2 = ((x[i] - y[j]) ** 2).sum(axis=1)
-    keep = d2 <= limit
-    return i[keep], j[keep], d2[keep]
-
-
-def block_pairs(a: DataFrame, b: DataFrame | None, block: int = BLOCK) -> DataFrame:
-    """Rows (id, features, side, i, j) of the tasks that compare block i with block j.  Without ``b``, a meets itself, i <= j."""
-    n_a = a.count()
-    blocks_a = max(1, -(-n_a // block))
-    own = F.pmod(F.xxhash64("id"), F.lit(blocks_a))
-    if b is None:
-        rows = a.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks_a - 1))))
-        # in task (i, j) side 0 is block i, side 1 block j; a block meets itself on both sides of (i, i)
-        return rows.select("id", "features", F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    blocks_b = max(1, -(-b.count() // block))
-    left = a.withColumn("i", own).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(blocks_b - 1)))).select("id", "features", F.lit(0).alias("side"), F.col("i").cast("long"), F.col("j").cast("long"))
-    right = b.withColumn("j", F.pmod(F.xxhash64("id"), F.lit(blocks_b))).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(blocks_a - 1)))).select("id", "features", F.lit(1).alias("side"), F.col("i").cast("long"), F.col("j").cast("long"))
-    return left.unionByName(right)
-
-
-def sides(group: pa.Table) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray], bool]:
-    """Ids and matrices of both sides of a task, and whether it is a block with itself."""
-    ids, x, side = group.column("id").to_numpy(), matrix(group.column("features")), group.column("side").to_numpy()
-    same = len(side) > 0 and group.column("self_join")[0].as_py() and group.column("i")[0].as_py() == group.column("j")[0].as_py()
-    if same:
-        return (ids, x), (ids, x), True
-    return (ids[side == 0], x[side == 0]), (ids[side == 1], x[side == 1]), False
-
-
-def _block(a: DataFrame, b: DataFrame | None, radius: float) -> DataFrame:
-    def compare(group: pa.Table) -> pa.Table:
-        (ids_a, x), (ids_b, y), same = sides(group)
-        self_join = group.column("self_join")[0].as_py()
-        out = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
-        if len(x) and len(y):
-            i, j, d2 = within(x, y, radius)
-            src, dst = ids_a[i], ids_b[j]
-            if same:
-                keep = src <= dst
-                src, dst, d2 = src[keep], dst[keep], d2[keep]
-            if self_join:
-                src, dst = np.minimum(src, dst), np.maximum(src, dst)
-            out = [src, dst, d2]
-        return pa.table({"src": pa.array(out[0], pa.int64()), "dst": pa.array(out[1], pa.int64()), "d2": pa.array(out[2], pa.float64())})
-
-    rows = block_pairs(a, b).withColumn("self_join", F.lit(b is None))
-    return rows.groupBy("i", "j").applyInArrow(compare, "src long, dst long, d2 double")
+def _near(a: Side, b: Side, same: bool, limit: float, alone: bool) -> Iterator:
+    for p, q in tiles(a, b, limit, same):
+        s, t = a.leaves[p], b.leaves[q]
+        i, j = np.nonzero(hits(a, p, b, q, limit))
+        src, dst, d2 = a.ids[s][i], b.ids[t][j], exactly(a.x[s], b.x[t], i, j)
+        if same and p == q:
+            keep = src <= dst
+            src, dst, d2 = src[keep], dst[keep], d2[keep]
+        yield (np.minimum(src, dst), np.maximum(src, dst), d2) if alone else (src, dst, d2)
 
 
 def range_join(a: DataFrame, b: DataFrame, radius: float, strategy: str = "auto") -> DataFrame:
-    """``(src, dst, d2)``: pairs of a point of ``a`` and one of ``b`` with d2 <= radius^2."""
+    """``(src, dst, d2)``: pairs of a point of ``a`` and one of ``b``, without nulls, with d2 <= radius^2."""
     check_radius(radius)
     d = dimension(a)
     if not d:
         raise_if_any(a)
         return a.select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(0.0).alias("d2"))
-    plan, dims = choose(spread(a, d), radius)
-    return _grid(a, b, radius, dims, False) if (plan if strategy == "auto" else strategy) == "grid" else _block(a, b, radius)
+    limit = radius * radius
+    b = b.where(F.col("id").isNotNull() & (F.size("features") == d) & F.forall("features", lambda x: x.isNotNull()))
+    single = exact_in_single(a) and exact_in_single(b)
+    left = deal(a, d, single=single)
+    right = deal(b, d, left, single)
+    pairs = left.pairs(np.inf if strategy == "block" else limit, right)
+    return meet(left.rows, pairs, left, lambda x, y, same, _: _near(x, y, False, limit, False), PAIRS, right.rows)
 
 
 def range_self_join(cloud: DataFrame, radius: float, strategy: str = "auto") -> DataFrame:
@@ -143,8 +63,9 @@ def range_self_join(cloud: DataFrame, radius: float, strategy: str = "auto") ->
     if not d:  # no points, or points without coordinates, which can't be told apart
         raise_if_any(cloud)
         return cloud.select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(0.0).alias("d2"))
-    plan, dims = choose(spread(cloud, d), radius)
-    return _grid(cloud, cloud, radius, dims, True) if (plan if strategy == "auto" else strategy) == "grid" else _block(cloud, None, radius)
+    limit, dealt = radius * radius, deal(cloud, d)
+    pairs = dealt.pairs(np.inf if strategy == "block" else limit)
+    return meet(dealt.rows, pairs, dealt, lambda x, y, same, _: _near(x, y, same, limit, True), PAIRS)
 
 
 def radius_query(cloud: DataFrame, q: list[float], radius: float, limit: int | None = None) -> DataFrame:
