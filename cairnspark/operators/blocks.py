@@ -92,13 +92,13 @@ class Blocks:
         return np.argwhere(near if other else np.triu(near))
 
 
-def deal(cloud: DataFrame, d: int, like: Blocks | None = None, single: bool | None = None) -> Blocks:
-    """``cloud`` in blocks, cut as those of ``like``."""
+def deal(cloud: DataFrame, d: int, like: Blocks | None = None, single: bool | None = None, most: int = MOST) -> Blocks:
+    """``cloud`` in blocks of about ``most`` points at most, cut as those of ``like``."""
     cloud = cloud.select("id", "features")
     if single is None:
         single = exact_in_single(cloud)
     n, tree = cloud.count(), like.tree if like else None
-    most = max(1024, min(MOST, (1 << 20) // max(1, d)))
+    most = max(1024, min(most, (1 << 20) // max(1, d)))
     if tree is None:
         blocks = max(1, min(LEAST, n // FEW), -(-n // most))
         tree = 0

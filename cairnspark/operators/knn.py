@@ -10,10 +10,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairnspark.frame import dimension, matrix
-from cairnspark.operators.blocks import Blocks, Side, deal, exactly, gaps, meet, roughly
+from cairnspark.operators.blocks import Blocks, Side, deal, exact_in_single, exactly, gaps, meet, roughly
 from cairnspark.operators.components import connected_components
 from cairnspark.plans.scratch import materialise
 
+#: Points whose lists are joined in one task, about.
+PIVOTS = 4096
+
 
 def best(rows: DataFrame, k: int) -> DataFrame:
     """The ``k`` nearest of each ``id``, ranked from 1 by distance, then smaller neighbour."""
@@ -136,21 +139,55 @@ def k_distance(cloud: DataFrame, k: int) -> DataFrame:
     return knn_join(cloud, k).where(F.col("rank") == k).select("id", "d2")
 
 
-def _pairs_in(group: pa.Table, k: int, new_only: bool) -> pa.Table:
-    """The k best of all pairs among the points of one bucket; with ``new_only``, pairs with at least one new point."""
-    ids, first = np.unique(group.column("id").to_numpy(), return_index=True)
-    x = matrix(group.column("features"))[first]
+def _pairs_in(ids: np.ndarray, x: np.ndarray, k: int, fresh: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best of all pairs among the points of one bucket; with ``fresh``, pairs with at least one fresh point."""
+    every, (ids, first) = ids, np.unique(ids, return_index=True)
+    x = x[first]
     d2 = np.maximum(0, ((x[:, None, :] - x[None, :, :]) ** 2).sum(axis=2)) if len(x) <= 64 else _dense(x)
     np.fill_diagonal(d2, np.inf)
-    if new_only:
-        fresh = np.zeros(len(ids), bool)
-        np.logical_or.at(fresh, np.searchsorted(ids, group.column("id").to_numpy()), group.column("fresh").to_numpy(zero_copy_only=False))
-        d2[~(fresh[:, None] | fresh[None, :])] = np.inf
+    if fresh is not None:
+        new = np.zeros(len(ids), bool)
+        new[np.searchsorted(ids, every[fresh])] = True
+        d2[~(new[:, None] | new[None, :])] = np.inf
     order = np.argsort(d2, axis=1, kind="stable")[:, :k]  # columns are in order of id, so ties go to the smaller one
     row = np.repeat(np.arange(len(ids)), order.shape[1])
     value = d2[row, order.ravel()]
     keep = np.isfinite(value)
-    return pa.table({"id": ids[row][keep], "nbr": ids[order.ravel()][keep], "d2": value[keep]})
+    return ids[row][keep], ids[order.ravel()][keep], value[keep]
+
+
+def _found(columns: tuple[np.ndarray, np.ndarray, np.ndarray]) -> pa.Table:
+    return pa.table({"id": pa.array(columns[0], pa.int64()), "nbr": pa.array(columns[1], pa.int64()), "d2": pa.array(columns[2], pa.float64())})
+
+
+def _local_join(lists: pa.Table, points: pa.Table, k: int) -> pa.Table:
+    """Of the lists of one block's pivots, the k best pairs of each that are no farther than the k-th neighbour of a point so far."""
+    order = np.argsort(points.column("id").to_numpy())
+    ids, bound, x = points.column("id").to_numpy()[order], points.column("bound").to_numpy()[order], matrix(points.column("features"))[order]
+    members, held, whole = lists.column("members").combine_chunks(), [], []
+    fresh, flat = (members.flatten().field(c).to_numpy(zero_copy_only=False) for c in ("fresh", "id"))
+    place, ends = np.searchsorted(ids, flat), np.cumsum(members.value_lengths().to_numpy())
+
+    def settle() -> None:
+        row, nbr, d2 = (np.concatenate(c) for c in zip(*held, strict=True))
+        own = np.lexsort((d2, nbr, row))
+        row, nbr, d2 = row[own], nbr[own], d2[own]
+        first = np.append(True, (row[1:] != row[:-1]) | (nbr[1:] != nbr[:-1])) if len(row) else np.zeros(0, bool)
+        held[:] = [(row[first], nbr[first], d2[first])]
+
+    size = 0
+    for begin, end in zip(np.append(0, ends[:-1]).tolist(), ends.tolist(), strict=True):
+        row, nbr, d2 = _pairs_in(flat[begin:end], x[place[begin:end]], k, fresh[begin:end])
+        near = d2 <= bound[np.searchsorted(ids, row)]
+        held.append((row[near], nbr[near], d2[near]))
+        size += int(near.sum())
+        if size > 1_000_000:
+            settle()
+            whole, held, size = [*whole, held[0]], [], 0
+    if held:
+        settle()
+        whole.append(held[0])
+    return _found(tuple(np.concatenate(c) for c in zip(*whole, strict=True)) if whole else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)))
 
 
 def _dense(x: np.ndarray) -> np.ndarray:
@@ -165,7 +202,9 @@ def knn_graph(cloud: DataFrame, k: int, max_iter: int = 10, delta: float = 1e-3,
 
     Start: ``trees`` forests of random hyperplanes split the points into leaves of about max(2k, 8); all pairs of a leaf
     are candidates.  A round: the neighbours of a point, forward and reverse, are candidates of each other if one of them
-    is new to the point; reverse lists are thinned, by a hash, to the length of the forward ones.
+    is new to the point; reverse lists are thinned, by a hash, to the length of the forward ones.  Pivots go to the task of
+    their block of near points, so that a point travels once for each block that has it on a list, not for each list; pairs
+    farther apart than the k-th neighbour so far stay behind.
     """
     d, n = dimension(cloud), cloud.count()
     if not 1 <= k < n:
@@ -184,12 +223,16 @@ def knn_graph(cloud: DataFrame, k: int, max_iter: int = 10, delta: float = 1e-3,
                 code = ((x @ planes[t].T) > 0) @ (1 << np.arange(depth)) if depth else np.zeros(len(x), np.int64)
                 yield pa.record_batch([pa.array(np.full(len(x), t)), pa.array(code.astype(np.int64)), batch.column(0), batch.column(1)], names=["tree", "leaf", "id", "features"])
 
+    single = exact_in_single(cloud)
+    kind = "array<float>" if single else "array<double>"
     cloud = cloud.select("id", "features")
-    rows = cloud.mapInArrow(leaves, "tree long, leaf long, id long, features array<double>")
+    homes = deal(cloud, d, single=single, most=PIVOTS).rows.select("id", "block")
+    cloud = materialise(cloud.select("id", F.col("features").cast(kind).alias("features")))
+    rows = cloud.mapInArrow(leaves, f"tree long, leaf long, id long, features {kind}")
     # a leaf that came out large is cut into parts of bounded size; what that parts, later rounds join
     sizes = rows.groupBy("tree", "leaf").agg(F.count("*").alias("g"))
     rows = rows.join(sizes, ["tree", "leaf"]).withColumn("part", F.pmod(F.xxhash64("id", "tree"), F.ceil(F.col("g") / 1024)))
-    found = rows.groupBy("tree", "leaf", "part").applyInArrow(lambda g: _pairs_in(g, k, False), schema)
+    found = rows.groupBy("tree", "leaf", "part").applyInArrow(lambda g: _found(_pairs_in(g.column("id").to_numpy(), matrix(g.column("features")), k)), schema)
     ids = cloud.select("id")
     chance = ids.select("id", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("j")).withColumn("slot", F.pmod(F.xxhash64(F.lit(seed), "id", "j"), F.lit(n)))
     numbered = _numbered(ids)
@@ -199,10 +242,15 @@ def knn_graph(cloud: DataFrame, k: int, max_iter: int = 10, delta: float = 1e-3,
     for _ in range(max_iter):
         forward = graph.select(F.col("id").alias("pivot"), F.col("nbr").alias("id"), "fresh")
         reverse = graph.select(F.col("nbr").alias("pivot"), "id", "fresh").withColumn("r", F.row_number().over(Window.partitionBy("pivot").orderBy(F.xxhash64(F.lit(seed), "pivot", "id")))).where(F.col("r") <= 2 * k).drop("r")
-        lists = forward.unionByName(reverse).join(cloud, "id")
-        near = lists.groupBy("pivot").applyInArrow(lambda g: _pairs_in(g, k, True), schema)
+        lists = forward.unionByName(reverse).groupBy("pivot").agg(F.collect_list(F.struct("id", "fresh")).alias("members")).where(F.exists("members", lambda m: m["fresh"]))
+        lists = materialise(lists.join(homes.withColumnRenamed("id", "pivot"), "pivot").select("block", "members"))
+        bound = graph.groupBy("id").agg(F.when(F.count("*") == k, F.max("d2")).otherwise(float("inf")).alias("bound"))
+        listed = lists.select(F.col("block").alias("home"), F.explode("members.id").alias("id")).distinct()
+        points = listed.join(cloud.join(bound, "id", "left").withColumn("bound", F.coalesce("bound", F.lit(float("inf")))), "id")
+        near = lists.groupBy("block").cogroup(points.groupBy("home")).applyInArrow(lambda a, b: _local_join(a, b, k), schema)
         old = graph.select("id", "nbr", "d2", F.lit(False).alias("fresh"))
-        merged = old.unionByName(near.dropDuplicates(["id", "nbr"]).withColumn("fresh", F.lit(True))).groupBy("id", "nbr").agg(F.min("d2").alias("d2"), F.min("fresh").alias("fresh"))
+        # by id at once, for both the pairs and their ranks
+        merged = old.unionByName(near.withColumn("fresh", F.lit(True))).repartition("id").groupBy("id", "nbr").agg(F.min("d2").alias("d2"), F.min("fresh").alias("fresh"))
         rank = F.row_number().over(Window.partitionBy("id").orderBy("d2", "nbr"))
         graph = materialise(merged.withColumn("rank", rank).where(F.col("rank") <= k))
         if graph.where("fresh").count() < delta * n * k:
@@ -222,7 +270,7 @@ def _measured(pairs: DataFrame, cloud: DataFrame) -> DataFrame:
     from cairnspark.functions.distance import sq_euclidean
 
     a, b = (cloud.select(F.col("id").alias(c), F.col("features").alias(f"f_{c}")) for c in ("id", "nbr"))
-    return pairs.join(a, "id").join(b, "nbr").select("id", "nbr", sq_euclidean(F.col("f_id"), F.col("f_nbr")).alias("d2"))
+    return pairs.join(a, "id").join(b, "nbr").select("id", "nbr", sq_euclidean(*(F.col(f"f_{c}").cast("array<double>") for c in ("id", "nbr"))).alias("d2"))
 
 
 def is_connected(graph: DataFrame, n: int) -> bool:

@@ -6,9 +6,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cairnspark.operators import blocks, mst
+from cairnspark.operators import blocks, knn, mst
 from cairnspark.operators.density import dbscan
-from cairnspark.operators.knn import knn_join
+from cairnspark.operators.knn import knn_graph, knn_join
 from cairnspark.operators.range_join import range_join
 from cairnspark.plans import scratch
 from cairnspark.sources.points import from_numpy, to_numpy
@@ -105,3 +105,14 @@ def test_a_table_of_one_partition_is_joined_in_many_tasks(spark):
     a, b = (from_numpy(spark, np.arange(n)[:, None] % 50.0).coalesce(1) for n in (6000, 1500))
     shares = [r["count"] for r in range_join(a, b, 1.0).groupBy(F.spark_partition_id()).count().collect()]
     assert sum(shares) == 6000 * 1500 // 50 * 3 - 2 * 120 * 30 and len(shares) > 3
+
+
+def test_graph_is_the_same_over_many_blocks(spark, monkeypatch):
+    x = from_numpy(spark, np.random.default_rng(8).normal(size=(300, 6)).astype(np.float32).astype(float))
+    want = sorted(map(tuple, knn_graph(x, 5, max_iter=2).collect()))
+    moved = []
+    local = knn.deal
+    monkeypatch.setattr(knn, "deal", lambda *a, **b: moved.append(local(*a, **b)) or moved[-1])
+    monkeypatch.setattr(blocks, "FEW", 32)
+    assert sorted(map(tuple, knn_graph(x, 5, max_iter=2).collect())) == want
+    assert (moved[0].sizes > 0).sum() == 9 and moved[0].single
